@@ -187,7 +187,7 @@ def outlier_distances(stats: DataFrame, support: float, steps: int, ws: Workspac
     return ws.keep(_estimates(used.withColumn("start", F.lit(0)), share).drop("start", "logdet"), "final")
 
 
-def quality(docs: DataFrame, support: float = 0.75, steps: int = 5, tail: float = 1e-7, min_group: int = 30) -> DataFrame:
+def quality(docs: DataFrame, support: float = 0.75, steps: int = 5, tail: float = 1e-6, min_group: int = 30) -> DataFrame:
     """``docs(doc_id, text, lang, source)`` -> statistics, ``base_failed``, ``distance`` and ``kept``, a row for each row.
 
     ``base_failed``: fewer than 10 words, or more than 20 percent of the words in repeated windows.  Others are kept

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, url_filter
+from . import mixing, passages, quality, url_filter
 
 #: The rules of the URL query: (action, host, path).
 URL_RULES = [
@@ -36,10 +36,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = passages.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op5_mixing": op5_mixing,
     "op8_quality": op8_quality,
+    "op10_passages": op10_passages,
 }
 
 _OP1 = r"""
@@ -80,4 +86,20 @@ SELECT doc_id, size, source_size, target, (whole + (u < cut)::BIGINT)::INTEGER A
 FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _OP1, "op5_mixing": _OP5}
+_OP10 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS win FROM w, unnest(range(1, greatest(len(words) - 18, 1))) AS r(i)),
+late AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM late, unnest(range(0, 20)) AS r(k)),
+per AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN words
+              ELSE list_transform(list_filter(range(1, len(words) + 1), lambda j: NOT list_contains(js, j)), lambda j: words[j]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN per USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_passages": _OP10,
+    "op1_url_filter": _OP1,
+    "op5_mixing": _OP5,
+}
