@@ -151,7 +151,7 @@ def _first_windows(minis: np.ndarray, d: np.ndarray, h: np.ndarray, pos: np.ndar
         text = big[starts[a] : ends[a + WIDTH - 1]]
         b = at[rank[j]]
         if text != big[starts[b] : ends[b + WIDTH - 1]]:
-            while ws[j] == ws[i] and j >= 0:
+            while j >= 0 and ws[j] == ws[i]:
                 b = at[rank[j]]
                 if text == big[starts[b] : ends[b + WIDTH - 1]]:
                     break
