@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, passages, quality, simhash, url_filter
+from . import bpe, mixing, passages, quality, simhash, url_filter
 
 #: The rules of the URL query: (action, host, path).
 URL_RULES = [
@@ -36,6 +36,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file() -> str:
+    """Vocabulary of the BPE query; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_file(), full=False)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op5_mixing": op5_mixing,
+    "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op10_passages": op10_passages,
 }
