@@ -7,6 +7,7 @@ Long or iterative plans cut their lineage by writing Parquet into the folder tha
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let the driver notice that finished shuffles are unreferenced, so that their files go at once."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
         for name in names:
