@@ -1,13 +1,14 @@
 """Substring deduplication by super-k-mer partitioning.
 
 A window is ``WIDTH`` consecutive words.  Its minimiser is the smallest mixed hash among its runs of ``MINI`` words;
-consecutive windows with one minimiser travel together, as one packed string, to the minimiser's bucket.  Equal strings
-are merged before they travel (keeping the earliest place), so copies cost one string per task.  In its bucket every
-window of every distinct string is sorted by hash, equal hashes are compared as text, and the earliest window of each
-word sequence is reported to its document; all windows that nobody reports start later than an equal one.
-
-A bucket that outgrows ``BUCKET_BYTES`` is not held: its windows go on, one row each, to an aggregation by window text,
-which spills and spreads like any other.  Memory is bounded by slices, buckets and single documents.
+consecutive windows with one minimiser travel together, as one packed string, to the minimiser's bucket; strings of one
+task that share a bucket are compressed together.  Equal strings are merged before they travel (keeping the earliest
+place), so copies cost one string per task.  In its bucket every window of every distinct string is sorted by hash,
+equal hashes are compared as text, and the earliest window of each word sequence is reported to its document; all
+windows that nobody reports start later than an equal one.
+
+A bucket that outgrows its limit is not held: its windows go on, one row each, to an aggregation by window text, which
+spills and spreads like any other.  Memory is bounded by slices, buckets and single documents.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from .text import pick, slices, to_bytes
 
 WIDTH, MINI = 20, 3
 LONGEST_RUN = 256
-SLICE_BYTES, MERGE_BYTES, CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 24 << 20, 4 << 20, 48 << 20
+SLICE_BYTES, MERGE_BYTES, CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20, 4 << 20, 48 << 20
+LEAST_BUCKETS, BUCKET_MEAN = 1024, 8 << 20
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,61 +76,83 @@ def _window_min(v: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-_PACKED = pa.schema([("mini", pa.int64()), ("d", pa.int64()), ("h", pa.int32()), ("pos", pa.int32()), ("s", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def _super_kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, tuple] = {}
-    room = 0
+def _pack(d: np.ndarray, h: np.ndarray, pos: np.ndarray, strings: list[bytes]) -> bytes:
+    """Strings of one bucket with their places, compressed; ids as differences."""
+    head = np.array([len(d)], "<i8").tobytes() + np.diff(d, prepend=0).astype("<i8").tobytes() + h.astype("<i4").tobytes() + pos.astype("<i4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"\n".join(strings))
 
-    def flush() -> pa.RecordBatch:
-        places = list(held.values())
-        d, h, pos, mini = zip(*places)
-        cols = [pa.array(mini, pa.int64()), pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(pos, pa.int32())]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(list(held), pa.binary())], schema=_PACKED)
 
-    for whole in batches:
-        for batch in slices(whole, "text", SLICE_BYTES):
-            texts = [b" ".join(t.split()) if t else b"" for t in to_bytes(batch.column("text"))]
-            counts = [t.count(b" ") + 1 for t in texts]
-            rows = [(t, n, d, h) for t, n, d, h in zip(texts, counts, batch.column("d").to_pylist(), batch.column("h").to_pylist()) if n >= WIDTH]
-            if not rows:
-                continue
-            big = b" ".join(r[0] for r in rows) + b" "
-            n = np.array([r[1] for r in rows])
-            last = np.cumsum(n)
-            starts, ends, hashes = _word_hashes(big)
-            low = _window_min(_mix(_joined(hashes, MINI)), WIDTH - MINI + 1)
-            doc = np.repeat(np.arange(len(rows)), n)[: len(low)]
-            valid = np.arange(len(low)) + WIDTH <= last[doc]
-            new = valid.copy()
-            new[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
-            at = np.flatnonzero(new)
-            nth = np.arange(len(low)) - at[np.maximum(np.cumsum(new) - 1, 0)]
-            new |= valid & (nth % LONGEST_RUN == 0)  # very long runs are cut
-            at = np.flatnonzero(new)
-            stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
-            first = (last - n)[doc[at]]
-            for a, b, k, pos, mini in zip(starts[at].tolist(), ends[stop + WIDTH - 1].tolist(), doc[at].tolist(), (at - first).tolist(), low[at].view(np.int64).tolist()):
-                s = big[a:b]
-                place = (rows[k][2], rows[k][3], pos, mini)
-                was = held.get(s)
-                if was is None:
-                    held[s] = place
-                    room += b - a + 100
-                elif place < was:
-                    held[s] = place
-            if room > MERGE_BYTES:
-                yield flush()
-                held, room = {}, 0
-    if held:
-        yield flush()
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    d = np.cumsum(np.frombuffer(raw, "<i8", n, 8))
+    h = np.frombuffer(raw, "<i4", n, 8 + 8 * n)
+    return d, h, np.frombuffer(raw, "<i4", n, 8 + 12 * n), raw[8 + 16 * n :].split(b"\n")
+
+
+def _super_kmers(buckets: int):
+    """Texts -> packed strings by bucket; equal strings are merged until ``MERGE_BYTES`` are held."""
+
+    def flush(held: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
+        strings = list(held)
+        d, h, pos, mini = (np.array(c, dtype=np.int64) for c in zip(*held.values()))
+        bucket = (_mix(mini.view(np.uint64) + _BASE) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+        blobs = [_pack(d[g], h[g], pos[g], [strings[i] for i in g.tolist()]) for g in groups]
+        numbers = [bucket[g[0]] for g in groups]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], schema=_PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+        room = 0
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                texts = [b" ".join(t.split()) if t else b"" for t in to_bytes(batch.column("text"))]
+                counts = [t.count(b" ") + 1 for t in texts]
+                rows = [(t, n, d, h) for t, n, d, h in zip(texts, counts, batch.column("d").to_pylist(), batch.column("h").to_pylist()) if n >= WIDTH]
+                if not rows:
+                    continue
+                big = b" ".join([r[0] for r in rows]) + b" "
+                n = np.array([r[1] for r in rows])
+                last = np.cumsum(n)
+                starts, ends, hashes = _word_hashes(big)
+                low = _window_min(_mix(_joined(hashes, MINI)), WIDTH - MINI + 1)
+                doc = np.repeat(np.arange(len(rows)), n)[: len(low)]
+                valid = np.arange(len(low)) + WIDTH <= last[doc]
+                new = valid.copy()
+                new[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
+                at = np.flatnonzero(new)
+                nth = np.arange(len(low)) - at[np.maximum(np.cumsum(new) - 1, 0)]
+                new |= valid & (nth % LONGEST_RUN == 0)  # very long runs are cut
+                at = np.flatnonzero(new)
+                stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
+                first = (last - n)[doc[at]]
+                for a, b, k, pos, mini in zip(starts[at].tolist(), ends[stop + WIDTH - 1].tolist(), doc[at].tolist(), (at - first).tolist(), low[at].view(np.int64).tolist()):
+                    s = big[a:b]
+                    place = (rows[k][2], rows[k][3], pos, mini)
+                    was = held.get(s)
+                    if was is None:
+                        held[s] = place
+                        room += b - a + 100
+                    elif place < was:
+                        held[s] = place
+                if room > MERGE_BYTES:
+                    yield from flush(held)
+                    held, room = {}, 0
+        if held:
+            yield from flush(held)
+
+    return run
 
 
 _NOVEL = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("s", pa.binary())])
 
 
-def _first_windows(minis: np.ndarray, d: np.ndarray, h: np.ndarray, pos: np.ndarray, strings: list[bytes]) -> pa.RecordBatch | None:
+def _first_windows(d: np.ndarray, h: np.ndarray, pos: np.ndarray, strings: list[bytes]) -> pa.RecordBatch | None:
     """Whole buckets -> runs of windows that are the earliest of their word sequence."""
     order = np.lexsort((pos, h, d)).tolist()
     seen: set[bytes] = set()
@@ -174,46 +199,46 @@ def _first_windows(minis: np.ndarray, d: np.ndarray, h: np.ndarray, pos: np.ndar
     )
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed strings in order of their minimisers -> earliest windows; strings of outgrown buckets pass through."""
-    parts: list[pa.RecordBatch] = []
-    held, passing = 0, None
+def _buckets(limit: int):
+    """Packed strings in order of their buckets -> earliest windows; strings of outgrown buckets pass through."""
 
-    def through(b: pa.RecordBatch) -> pa.RecordBatch:
-        count = pa.nulls(b.num_rows, pa.int32())
-        return pa.RecordBatch.from_arrays([b.column("d"), b.column("h"), b.column("pos"), count, b.column("s")], schema=_NOVEL)
+    def through(part: tuple) -> pa.RecordBatch:
+        d, h, pos, strings = part
+        cols = [pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(pos, pa.int32()), pa.nulls(len(d), pa.int32()), pa.array(strings, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, schema=_NOVEL)
 
-    def work(t: pa.Table) -> pa.RecordBatch | None:
-        f = lambda c: t.column(c).to_numpy()
-        return _first_windows(f("mini"), f("d"), f("h"), f("pos"), t.column("s").to_pylist())
+    def work(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        d, h, pos = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        out = _first_windows(d, h, pos, [s for p in parts for s in p[3]])
+        if out is not None:
+            yield out
 
-    for whole in batches:
-        for batch in slices(whole, "s", CHUNK_BYTES):
-            minis = batch.column("mini").to_numpy()
-            if passing is not None:  # the rest of an outgrown bucket
-                k = int(np.searchsorted(minis != passing, True))
-                if k:
-                    yield through(batch.slice(0, k))
-                if k == batch.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []  # of complete buckets
+        held: list[tuple] = []  # of the current one
+        done_bytes = held_bytes = 0
+        current, passing = None, False
+        for whole in batches:
+            for bucket, blob in zip(whole.column("bucket").to_pylist(), whole.column("blob")):
+                if bucket != current:
+                    done, done_bytes = done + held, done_bytes + held_bytes
+                    held, held_bytes, current, passing = [], 0, bucket, False
+                    if done_bytes > CHUNK_BYTES:
+                        yield from work(done)
+                        done, done_bytes = [], 0
+                part = _unpack(blob.as_py())
+                if passing:
+                    yield through(part)
                     continue
-                batch, minis, passing = batch.slice(k), minis[k:], None
-            parts.append(batch)
-            held += batch.nbytes
-            if held < CHUNK_BYTES:
-                continue
-            table = pa.Table.from_batches(parts)
-            minis = table.column("mini").to_numpy()
-            k = int(np.argmax(minis == minis[-1]))  # buckets before the last one are complete
-            if k and (out := work(table.slice(0, k))) is not None:
-                yield out
-            parts = table.slice(k).combine_chunks().to_batches()
-            held = sum(b.nbytes for b in parts)
-            if held > BUCKET_BYTES:
-                passing = minis[-1]
-                yield from map(through, parts)
-                parts, held = [], 0
-    if parts and (out := work(pa.Table.from_batches(parts))) is not None:
-        yield out
+                held.append(part)
+                held_bytes += sum(map(len, part[3]))
+                if held_bytes > limit:
+                    yield from map(through, held)
+                    held, held_bytes, passing = [], 0, True
+        if done or held:
+            yield from work(done + held)
+
+    return run
 
 
 _WINDOWS = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("pos", pa.int32()), ("s", pa.binary())])
@@ -268,7 +293,7 @@ def _cut(with_text: bool):
     return run, "doc_id long, h int, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, h, n_words, n_removed, kept_sha256[, kept_text]``, a row for each row.
 
     A word goes if a window covers it whose word sequence also starts earlier: in a smaller ``doc_id``, or before in
@@ -281,10 +306,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.withColumn("h", F.xxhash64("text").cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     d = d.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    packed = d.select("d", "h", "text").mapInArrow(_super_kmers, "mini long, d long, h int, pos int, s binary")
-    dealt = packed.repartition("mini").sortWithinPartitions("mini")
-    found = ws.keep(dealt.mapInArrow(_buckets, "d long, h int, pos int, n int, s binary"), "found")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the strings' shuffle files
+    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-3 * total // BUCKET_MEAN))  # strings take about three times the text
+    packed = d.select("d", "h", "text").mapInArrow(_super_kmers(buckets), "bucket int, blob binary")
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    found = ws.keep(dealt.mapInArrow(_buckets(bucket_bytes), "d long, h int, pos int, n int, s binary"), "found")
+    del packed, dealt
+    ws.release()
     outgrown = found.where("s is not null").select("d", "h", "pos", "s").mapInArrow(_single_windows, "d long, h int, pos int, s binary")
     least = outgrown.groupBy("s").agg(F.min(F.struct("d", "h", "pos")).alias("m")).select("m.*", F.lit(1).alias("n"))
     runs = found.where("s is null").select("d", "h", "pos", "n").unionByName(least)
