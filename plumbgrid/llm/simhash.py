@@ -5,7 +5,7 @@ exceeds the Hamming distance of the fingerprints, so all links lie within Manhat
 that distance share a point at distance 1 or less, hence a range join on the grid needs only the 33 cells around each
 distinct fingerprint, not all cells within 2; whoever shares a cell is a candidate.
 
-Candidates are verified exactly in the same manner, without forming pairs: two fingerprints differ in 2 bits or fewer
+Candidates are verified exactly: two that are alone in a cell by comparison, all others without forming pairs: two fingerprints differ in 2 bits or fewer
 if and only if they share one of the 65 values at Hamming distance 1 or less from each.  Each such value links its
 holders to the smallest of them.  The work is linear in the number of distinct fingerprints, however many meet.
 """
@@ -91,11 +91,14 @@ def _balls(fp: str) -> Column:
 def fingerprint_links(fps: DataFrame, ws: Workspace) -> DataFrame:
     """Distinct ``fps(fp)`` -> star links ``(u, v)`` whose components are those of Hamming distance 2 or less."""
     cells = fps.select("fp", F.explode(_cells("fp")).alias("cell"))
-    crowded = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("cell")
-    candidates = ws.keep(cells.join(crowded, "cell").select("fp").distinct(), "candidates")
+    met = cells.groupBy("cell").agg(F.min("fp").alias("u"), F.max("fp").alias("v"), F.count("*").alias("n"))
+    met = ws.keep(met.where("n > 1"), "met")
+    # two alone in a cell are compared at once, which settles most chance meetings; the others are verified by balls
+    pairs = met.where((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
+    candidates = ws.keep(cells.join(met.where("n > 2").select("cell"), "cell").select("fp").distinct(), "candidates")
     near = candidates.select("fp", F.explode(_balls("fp")).alias("value"))
     heads = near.groupBy("value").agg(F.min("fp").alias("u"), F.max("fp").alias("hi")).where("u != hi").select("value", "u")
-    return near.join(heads, "value").where("u != fp").select("u", F.col("fp").alias("v"))
+    return near.join(heads, "value").where("u != fp").select("u", F.col("fp").alias("v")).unionByName(pairs)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
