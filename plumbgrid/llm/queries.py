@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, passages, quality, simhash, url_filter
+from . import bpe, mixing, passages, quality, simhash, url_filter, warc
 
 #: The rules of the URL query: (action, host, path).
 URL_RULES = [
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def tokenizer_file() -> str:
     """Vocabulary of the BPE query; the operator takes any path."""
     import public_tokenizers
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op10_passages": op10_passages,
@@ -103,6 +108,19 @@ SELECT doc_id, size, source_size, target, (whole + (u < cut)::BIGINT)::INTEGER A
 FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """
 
+# base32 by five-bit groups of the digest's binary digits
+_OP6 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right((('0x' || hex[i])::INTEGER::BIT)::VARCHAR, 4)), '') AS bits,
+             max(page_id) OVER (PARTITION BY hex) AS chief FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(0, 5),
+           lambda k: bits[i * 5 + k + 1]::INTEGER * (16 >> k)))::INTEGER]), '') AS payload_digest,
+       CASE WHEN page_id = chief THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = chief THEN NULL ELSE chief END AS refers_to, true AS ok
+FROM b
+"""
+
 _OP10 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS win FROM w, unnest(range(1, greatest(len(words) - 18, 1))) AS r(i)),
@@ -118,5 +136,6 @@ FROM w LEFT JOIN per USING (doc_id)
 ORACLE_SQL: dict[str, str] = {
     "op10_passages": _OP10,
     "op1_url_filter": _OP1,
+    "op6_warc": _OP6,
     "op5_mixing": _OP5,
 }
