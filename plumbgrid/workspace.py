@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +52,10 @@ class Workspace:
 
     def release(self) -> None:
         """Let the driver notice that finished shuffles are unreferenced, so that their files go at once."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # a first collection frees what refers to the shuffles, a second the shuffles themselves
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
