@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, passages, quality, simhash, url_filter, warc
+from . import bpe, embeddings, mixing, passages, quality, simhash, url_filter, warc
 
 #: The rules of the URL query: (action, host, path).
 URL_RULES = [
@@ -32,6 +32,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op3_embeddings": op3_embeddings,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
