@@ -254,9 +254,9 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _WINDOWS.types)], schema=_WINDOWS)
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, carry: tuple[str, ...]):
     names = [("doc_id", pa.int64()), ("h", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(names + [("kept_text", pa.string())] * with_text)
+    labels = [n for n, _ in names] + ["kept_text"] * with_text + list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -288,13 +288,13 @@ def _cut(with_text: bool):
                 cols = [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
                 if with_text:
                     cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+                yield pa.RecordBatch.from_arrays([*cols, *[batch.column(f"c{k}") for k in range(len(carry))]], names=labels)
 
     return run, "doc_id long, h int, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, h, n_words, n_removed, kept_sha256[, kept_text]``, a row for each row.
+def remove_repeats(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...] = (), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, h, n_words, n_removed, kept_sha256[, kept_text]`` and the carried columns, a row for each row.
 
     A word goes if a window covers it whose word sequence also starts earlier: in a smaller ``doc_id``, or before in
     the same text; windows are judged on the input.  Null ids come last.  Rows with one id but different texts are
@@ -303,7 +303,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, bucket_bytes: int =
     space.  Other columns are ignored.  No rows give no rows.
     """
     ws = Workspace(docs.sparkSession, "passages")
-    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = dict(docs.dtypes)
+    extra = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     d = d.withColumn("h", F.xxhash64("text").cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     d = d.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1)))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -318,5 +320,6 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, bucket_bytes: int =
     runs = found.where("s is null").select("d", "h", "pos", "n").unionByName(least)
     packed_run = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     novel = runs.groupBy("d", "h").agg(F.collect_list(packed_run).alias("novel"))
-    cut, schema = _cut(with_text)
-    return d.join(novel, ["d", "h"], "left").select("doc_id", "h", "text", "novel").mapInArrow(cut, schema)
+    cut, schema = _cut(with_text, carry)
+    own = d.join(novel, ["d", "h"], "left").select("doc_id", "h", "text", "novel", *[f"c{k}" for k in range(len(carry))])
+    return own.mapInArrow(cut, schema + "".join(f", `{c}` {kinds[c]}" for c in carry))
