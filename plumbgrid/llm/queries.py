@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, mixing, passages, quality, simhash, url_filter, warc
+from plumbgrid.workspace import Workspace
+
+from . import bpe, brown, embeddings, mixing, passages, quality, simhash, token_counts, url_filter, warc
+from .text import n_words
 
 #: The rules of the URL query: (action, host, path).
 URL_RULES = [
@@ -59,6 +62,35 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents counted by two tokenizer versions, copies deleted, one version's counts revised."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    ws = Workspace(spark, "op4")
+    sized = docs.select(
+        "doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), n_words(F.col("text")).alias("words"),
+        F.coalesce(F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]|[,.]")), F.lit(0)).cast("long").alias("marks"),
+    )
+    sized = ws.keep(sized, "sized")
+    ledger = token_counts.TokenLedger(spark, ws.path("ledger"))
+    keyed = sized.select("doc_id", "source", "lang", "words", "marks")
+    versions = {"words": F.col("words"), "marks": F.col("marks")}
+    first = [keyed.select("doc_id", F.lit(v).alias("version"), F.lit(1).alias("seq"), F.lit("insert").alias("op"), "source", "lang", c.alias("n_tokens")) for v, c in versions.items()]
+    ledger.commit("load", first[0].unionByName(first[1]))
+    heads = sized.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("c")).where("c > 1")
+    copies = sized.join(heads, "digest").where("doc_id != head").select("doc_id")
+    gone = copies.select("doc_id", F.explode(F.array(*map(F.lit, versions))).alias("version"), F.lit(1).alias("seq"), F.lit("delete").alias("op"))
+    gone = gone.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_tokens", "long"))])
+    ledger.commit("copies", gone)
+    revised = keyed.select("doc_id", F.lit("marks").alias("version"), F.lit(1).alias("seq"), F.lit("revise").alias("op"), "source", "lang", (F.col("words") + F.col("marks")).alias("n_tokens"))
+    ledger.commit("marks-2", revised)
+    ledger.commit("copies", gone)  # a repeated commit changes nothing
+    return ledger.totals()
+
+
+def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -68,10 +100,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op3_embeddings": op3_embeddings,
+    "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
+    "op9_brown": op9_brown,
     "op10_passages": op10_passages,
 }
 
@@ -113,6 +147,15 @@ SELECT doc_id, size, source_size, target, (whole + (u < cut)::BIGINT)::INTEGER A
 FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """
 
+_OP4 = r"""
+WITH d AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+                  len(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]|[,.]')) AS marks,
+                  doc_id = min(doc_id) OVER (PARTITION BY text) OR text IS NULL AS head FROM documents),
+k AS (SELECT doc_id, source, lang, 'words' AS version, words AS n FROM d WHERE head
+      UNION ALL SELECT doc_id, source, lang, 'marks', words + marks FROM d WHERE head)
+SELECT source, lang, version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM k GROUP BY ALL
+"""
+
 # base32 by five-bit groups of the digest's binary digits
 _OP6 = r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -141,6 +184,7 @@ FROM w LEFT JOIN per USING (doc_id)
 ORACLE_SQL: dict[str, str] = {
     "op10_passages": _OP10,
     "op1_url_filter": _OP1,
+    "op4_token_counts": _OP4,
     "op6_warc": _OP6,
     "op5_mixing": _OP5,
 }
