@@ -32,14 +32,14 @@ def sparse_quality(points: DataFrame, registered: int, expected: int) -> DataFra
 def gate_status(registered: Column, ratio: Column, points: Column, error: Column) -> Column:
     """passed, review or blocked."""
     blocked = (registered < 3) | (ratio < BLOCK_RATIO) | (points < F.greatest(F.lit(30), registered * 10)) | F.coalesce(error > BLOCK_ERROR, F.lit(False))
-    passed = (ratio >= PASS_RATIO) & F.coalesce(error <= PASS_ERROR, F.lit(False)) & (points >= F.greatest(F.lit(100), registered))
+    passed = (ratio >= PASS_RATIO) & F.coalesce(error <= PASS_ERROR, F.lit(False)) & (points >= F.greatest(F.lit(100), registered * 50))
     return F.when(blocked, "blocked").when(passed, "passed").otherwise("review")
 
 
 def gate_checks(registered: Column, ratio: Column, points: Column, error: Column) -> Column:
     """Struct of the three checks of a pass."""
     return F.struct(
-        (ratio >= PASS_RATIO).alias("registration"), F.coalesce(error <= PASS_ERROR, F.lit(False)).alias("reprojection"), (points >= F.greatest(F.lit(100), registered)).alias("points")
+        (ratio >= PASS_RATIO).alias("registration"), F.coalesce(error <= PASS_ERROR, F.lit(False)).alias("reprojection"), (points >= F.greatest(F.lit(100), registered * 50)).alias("points")
     )
 
 
