@@ -28,7 +28,7 @@ from .text import pick, slices, to_bytes
 
 WIDTH, MINI = 20, 3
 LONGEST_RUN = 256
-SLICE_BYTES, MERGE_BYTES, CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20, 4 << 20, 48 << 20
+SLICE_BYTES, MERGE_BYTES, CHUNK_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20, 2 << 20, 32 << 20
 LEAST_BUCKETS, BUCKET_MEAN = 1024, 8 << 20
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -41,16 +41,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(big: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``big``: words that are each followed by one space -> starts, ends and 64-bit hashes of the words."""
+    """``big``: words that are each followed by one space -> starts, ends and 64-bit hashes of the words.
+
+    Works through a megabyte at a time, as the bytes are widened to 64 bits.
+    """
     raw = np.frombuffer(big, dtype=np.uint8)
     ends = np.flatnonzero(raw == 32)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    size = ends - starts + 1
-    powers = np.full(int(size.max()), _BASE, dtype=np.uint64)
+    powers = np.full(int((ends - starts).max()) + 1, _BASE, dtype=np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
-    place = np.arange(len(raw), dtype=np.int64) - np.repeat(starts, size)
-    return starts, ends, _mix(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers[place], starts))
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    w = 0
+    while w < len(starts):
+        stop = max(w + 1, int(np.searchsorted(starts, starts[w] + (1 << 20))))
+        a, b = starts[w], ends[stop - 1] + 1
+        size = ends[w:stop] - starts[w:stop] + 1
+        place = np.arange(b - a) - np.repeat(starts[w:stop] - a, size)
+        hashes[w:stop] = np.add.reduceat((raw[a:b].astype(np.uint64) + np.uint64(1)) * powers[place], starts[w:stop] - a)
+        w = stop
+    return starts, ends, _mix(hashes)
 
 
 def _joined(h: np.ndarray, n: int) -> np.ndarray:
@@ -260,7 +270,7 @@ def _cut(with_text: bool, carry: tuple[str, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 sizes, removed, digests, kept = [], [], [], []
                 for text, novel in zip(to_bytes(batch.column("text")), batch.column("novel").to_pylist()):
                     w = (text or b"").split()
