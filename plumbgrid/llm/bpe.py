@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import pick, slices, to_bytes
+from .text import CACHES, claim, pick, slices, to_bytes
 
 LEAF_BYTES = 32 << 10
 TABLE = 150_000  # words in a generation of the table
@@ -175,9 +175,11 @@ def halves(text: str, leaf_bytes: int) -> list[int]:
 
 
 _CODECS: dict[str, Codec] = {}
+CACHES["bpe"] = _CODECS.clear
 
 
 def _codec(spec: str) -> Codec:
+    claim("bpe")
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _CODECS:
         _CODECS[key] = Codec(spec)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from plumbgrid.operators.graph import component_roots
 from plumbgrid.workspace import Workspace
 
-from .text import pick
+from .text import claim, pick
 
 CELL, MEETINGS, BLOCK, STRIP = 2.0, 16, 4096, 512
 
@@ -116,6 +116,7 @@ def _bucket_links(threshold: float, tables: int):
     """Rows in order of (bucket, block pair) -> what each group yields."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("embeddings")
         rest: pa.Table | None = None
 
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbgrid.workspace import Workspace
 
-from .text import pick, slices, to_bytes
+from .text import claim, pick, slices, to_bytes
 
 WIDTH, MINI = 20, 3
 LONGEST_RUN = 256
@@ -117,6 +117,7 @@ def _super_kmers(buckets: int):
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], schema=_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("super-k-mers")
         held: dict[bytes, tuple] = {}
         room = 0
         for whole in batches:
@@ -224,6 +225,7 @@ def _buckets(limit: int):
             yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("buckets")
         done: list[tuple] = []  # of complete buckets
         held: list[tuple] = []  # of the current one
         done_bytes = held_bytes = 0
@@ -269,6 +271,7 @@ def _cut(with_text: bool, carry: tuple[str, ...]):
     labels = [n for n, _ in names] + ["kept_text"] * with_text + list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("cut")
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 sizes, removed, digests, kept = [], [], [], []

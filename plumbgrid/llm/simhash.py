@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from plumbgrid.operators.graph import component_roots
 from plumbgrid.workspace import Workspace
 
-from .text import pick, slices, to_bytes
+from .text import claim, pick, slices, to_bytes
 
 SHINGLE, SEED, BITS = 3, 42, 64
 SEGMENT = 4  # bits in a segment
@@ -60,8 +60,9 @@ def _fingerprints(size: int):
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t, size) for t in to_bytes(b.column("text"))], pa.int64())], schema=schema)
 
     return run

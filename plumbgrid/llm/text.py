@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,3 +55,28 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of any name cannot clash with those an operator makes."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: What operators keep in a worker process between tasks, by owner: functions that let go of it.
+CACHES: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def claim(owner: str) -> None:
+    """Called in a worker before an operator's first batch.
+
+    Spark reuses worker processes, so what another operator kept there is let go first and freed memory is returned to
+    the system; otherwise idle tables would add up over the stages of a pipeline.
+    """
+    if _owner[0] == owner:
+        return
+    _owner[0] = owner
+    for name, clear in CACHES.items():
+        if name != owner:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to return
+        pass
