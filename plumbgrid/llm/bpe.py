@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import CACHES, claim, pick, slices, to_bytes
+from .text import CACHES, claim, pick, slices, to_bytes, trim
 
 LEAF_BYTES = 32 << 10
-TABLE = 150_000  # words in a generation of the table
+TABLE = 100_000  # words in a generation of the table
 LONGEST_KEPT = 256  # bytes; longer words are not kept
 AGREE = 4  # tokens in a row that settle a side where no word ends
 WINDOW = 64  # characters on each side of a cut at first
@@ -226,8 +226,9 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, full: bool = True, leaf_b
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", 2 << 20):
                 yield _emit([b.column("doc_id")], ["doc_id"], [_row(*codec.leaf(t), full) for t in to_bytes(b.column("text"))], full)
+        trim()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -245,6 +246,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, full: bool = True, leaf_b
             for b in slices(whole, "text", 1 << 20):
                 spans = [codec.spans(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.binary())], names=["doc_id", "h", "piece", "text", "spans"])
+        trim()
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
@@ -260,6 +262,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, full: bool = True, leaf_b
                 ids = codec.tree("".join(texts), cuts, own)[:, 0]
                 row = _row(ids.astype("<u4").tobytes(), codec.decode(ids), full)
                 yield _emit([b.column("doc_id").slice(i, 1), b.column("h").slice(i, 1)], ["doc_id", "h"], [row], full)
+        trim()
 
     small = F.octet_length("text") <= leaf_bytes
     direct = d.where(small).mapInArrow(short, f"doc_id {kind}, {ddl}")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbgrid.workspace import Workspace
 
-from .text import claim, pick, slices, to_bytes
+from .text import claim, pick, slices, to_bytes, trim
 
 WIDTH, MINI = 20, 3
 LONGEST_RUN = 256
@@ -156,6 +156,8 @@ def _super_kmers(buckets: int):
                     held, room = {}, 0
         if held:
             yield from flush(held)
+        held = {}
+        trim()
 
     return run
 
@@ -249,6 +251,8 @@ def _buckets(limit: int):
                     held, held_bytes, passing = [], 0, True
         if done or held:
             yield from work(done + held)
+        done, held = [], []
+        trim()
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from plumbgrid.operators.graph import component_roots
 from plumbgrid.workspace import Workspace
 
-from .text import claim, pick, slices, to_bytes
+from .text import claim, pick, slices, to_bytes, trim
 
 SHINGLE, SEED, BITS = 3, 42, 64
 SEGMENT = 4  # bits in a segment
@@ -64,6 +64,7 @@ def _fingerprints(size: int):
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t, size) for t in to_bytes(b.column("text"))], pa.int64())], schema=schema)
+        trim()
 
     return run
 

@@ -74,6 +74,11 @@ def claim(owner: str) -> None:
     for name, clear in CACHES.items():
         if name != owner:
             clear()
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory to the system; at the end of a task, as idle workers stay."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
