@@ -30,38 +30,46 @@ def _high(a: Column) -> Column:
     return F.shiftrightunsigned(a, 32)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def wrap_add(a: Column, b: Column) -> Column:
-    low = _low(a) + _low(b)
-    return F.shiftleft(_high(a) + _high(b) + _high(low), 32).bitwiseOR(_low(low))
+    join = lambda x, low: F.shiftleft(_high(x) + _high(b) + _high(low), 32).bitwiseOR(_low(low))
+    return let(a, lambda x: let(_low(x) + _low(b), lambda low: join(x, low)))
 
 
 def wrap_mul(a: Column, k: int) -> Column:
     """``a * k`` modulo 2**64 for an unsigned constant ``k``."""
     k0, k1 = k & _HALF, k >> 32 & _HALF
-    a0, a1 = _low(a), _high(a)
 
     def half(x: Column, y: int) -> Column:
         """32 by 32 bits to 64 bits, in two 16-bit steps."""
         lo, hi = x.bitwiseAND(F.lit(0xFFFF).cast("long")), F.shiftrightunsigned(x, 16)
-        return wrap_add(lo * F.lit(y).cast("long"), F.shiftleft(hi * F.lit(y).cast("long"), 16))
+        return let(F.shiftleft(hi * F.lit(y).cast("long"), 16), lambda high: wrap_add(lo * F.lit(y).cast("long"), high))
+
+    def product(x: Column) -> Column:
+        cross = let(half(_low(x), k1), lambda c: wrap_add(half(_high(x), k0), c))
+        return let(F.shiftleft(_low(cross), 32), lambda c: wrap_add(half(_low(x), k0), c))
 
-    cross = wrap_add(half(a1, k0), half(a0, k1))
-    return wrap_add(half(a0, k0), F.shiftleft(_low(cross), 32))
+    return let(a, product)
 
 
 def split_mix(a: Column) -> Column:
     """SplitMix64 of a 64-bit word (published constants)."""
+    fold = lambda x, n: let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n)))
     x = wrap_add(a.cast("long"), word(0x9E3779B97F4A7C15))
-    x = wrap_mul(x.bitwiseXOR(F.shiftrightunsigned(x, 30)), 0xBF58476D1CE4E5B9)
-    x = wrap_mul(x.bitwiseXOR(F.shiftrightunsigned(x, 27)), 0x94D049BB133111EB)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 31))
+    x = wrap_mul(fold(x, 30), 0xBF58476D1CE4E5B9)
+    x = wrap_mul(fold(x, 27), 0x94D049BB133111EB)
+    return fold(x, 31)
 
 
 def unsigned_mod(a: Column, n: Column) -> Column:
     """The unsigned word ``a`` modulo ``n`` (below 2**31)."""
     n = n.cast("long")
     base = F.pmod(F.lit(1 << 32).cast("long"), n)
-    return F.pmod(F.pmod(_high(a), n) * base + _low(a), n)
+    return let(a, lambda x: F.pmod(F.pmod(_high(x), n) * base + _low(x), n))
 
 
 def unsigned_order(a: Column) -> Column:

@@ -4,7 +4,814 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from plumbgrid.functions import hashing, scalars
+from plumbgrid.operators import blocks, calibration, captures, covisibility, filters, gates, graph, matching, measurements, neighbors, sampling, stages
+from plumbgrid.plans import bindings as b
+from plumbgrid.sinks import files as sinks
+from plumbgrid.sources import files as sources
+from plumbgrid.streaming import events as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(*columns: str) -> list:
+    return [F.round(F.col(c), 6).alias(c) for c in columns]
+
+
+# point binding in SQL
+P = """p AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 + 0.0 AS z FROM lineitem)"""
+E = """e AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS nx, embedding[5]::DOUBLE AS ny, embedding[6]::DOUBLE AS nz FROM embeddings)"""
+O = """o AS (SELECT DISTINCT format('S{:04d}', l_suppkey) AS name, l_partkey AS point_id FROM lineitem)"""
+K = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate"
+
+# --- point filters and neighbours ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {P} SELECT {K}, x, y, z FROM p WHERE isfinite(x) AND isfinite(y) AND isfinite(z)")
+def finite_filter(spark, d):
+    return b.flat(filters.finite_points(b.points(spark, d)))
+
+
+@query(f"""WITH {P}, o AS (SELECT min(x) AS ox, min(y) AS oy, min(z) AS oz FROM p),
+v AS (SELECT p.*, row_number() OVER (PARTITION BY floor((x - ox) / 2.0), floor((y - oy) / 2.0), floor((z - oz) / 2.0) ORDER BY {K}) AS k FROM p, o)
+SELECT {K}, x, y, z FROM v WHERE k = 1""")
+def voxel_downsample(spark, d):
+    return b.flat(filters.voxel_downsample(b.points(spark, d), 2.0))
+
+
+@query(f"""WITH {P}, c AS (SELECT median(x) AS cx, median(y) AS cy, median(z) AS cz FROM p),
+q AS (SELECT p.*, sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2) AS r FROM p, c), m AS (SELECT median(r) AS mr FROM q),
+a AS (SELECT median(abs(r - mr)) AS mad FROM q, m)
+SELECT {K}, x, y, z FROM q, m, a WHERE r <= mr + 1.0 * greatest(1.4826 * mad, 2.220446049250313e-16)""")
+def mad_filter(spark, d):
+    return b.flat(filters.distance_mad(b.points(spark, d), 1.0))
+
+
+_MEAN_DISTANCE = f"""{E}, n AS (SELECT a.point_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS r,
+     row_number() OVER (PARTITION BY a.point_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.point_id) AS k FROM e a JOIN e b ON a.point_id <> b.point_id),
+m AS (SELECT point_id, avg(r) AS mean_distance FROM n WHERE k <= 8 GROUP BY point_id)"""
+
+
+@query(f"WITH {_MEAN_DISTANCE} SELECT point_id, round(mean_distance, 6) AS mean_distance FROM m")
+def knn_mean_distance(spark, d):
+    return neighbors.mean_distance(b.embedding_points(spark, d), 8).select("point_id", *r6("mean_distance"))
+
+
+@query(f"WITH {_MEAN_DISTANCE}, s AS (SELECT avg(mean_distance) + 1.0 * stddev_pop(mean_distance) AS most FROM m) SELECT e.point_id, x, y, z FROM e JOIN m USING (point_id), s WHERE mean_distance <= most")
+def statistical_outlier(spark, d):
+    return filters.statistical_outliers(b.embedding_points(spark, d), 8, 1.0).select("point_id", "x", "y", "z")
+
+
+@query(f"WITH {E} SELECT a.point_id, count(*) AS n FROM e a JOIN e b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.01 GROUP BY a.point_id")
+def radius_neighbor_count(spark, d):
+    return neighbors.radius_counts(b.embedding_points(spark, d), 0.1)
+
+
+@query(f"WITH {E}, c AS (SELECT a.point_id, count(*) AS n FROM e a JOIN e b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.01 GROUP BY a.point_id) SELECT e.point_id, x, y, z FROM e JOIN c USING (point_id) WHERE n >= 6")
+def radius_outlier(spark, d):
+    return filters.radius_outliers(b.embedding_points(spark, d), 0.1, 5).select("point_id", "x", "y", "z")
+
+
+@query(f"""WITH {E}, c AS (SELECT median(x) AS cx, median(y) AS cy, median(z) AS cz FROM e),
+q AS (SELECT e.*, sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2) AS r FROM e, c), mm AS (SELECT median(r) AS mr FROM q), aa AS (SELECT median(abs(r - mr)) AS mad FROM q, mm),
+s1 AS (SELECT point_id, x, y, z FROM q, mm, aa WHERE r <= mr + 3.0 * greatest(1.4826 * mad, 2.220446049250313e-16)),
+o AS (SELECT min(x) AS ox, min(y) AS oy, min(z) AS oz FROM s1),
+s2 AS (SELECT point_id, x, y, z FROM s1, o QUALIFY row_number() OVER (PARTITION BY floor((x - ox) / 0.05), floor((y - oy) / 0.05), floor((z - oz) / 0.05) ORDER BY point_id) = 1),
+n AS (SELECT a.point_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS r, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.point_id) AS k FROM s2 a JOIN s2 b ON a.point_id <> b.point_id),
+m AS (SELECT point_id, avg(r) AS md FROM n WHERE k <= 6 GROUP BY point_id), t AS (SELECT avg(md) + 1.5 * stddev_pop(md) AS most FROM m),
+s3 AS (SELECT s2.* FROM s2 JOIN m USING (point_id), t WHERE md <= most),
+c4 AS (SELECT a.point_id, count(*) AS n FROM s3 a JOIN s3 b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 0.0225 GROUP BY a.point_id),
+s4 AS (SELECT s3.* FROM s3 JOIN c4 USING (point_id) WHERE n >= 4),
+r AS (SELECT 0 AS step, 'finite' AS stage, (SELECT count(*) FROM e) AS before, (SELECT count(*) FROM e) AS after UNION ALL
+      SELECT 1, 'distance_mad', (SELECT count(*) FROM e), (SELECT count(*) FROM s1) UNION ALL SELECT 2, 'voxel', (SELECT count(*) FROM s1), (SELECT count(*) FROM s2) UNION ALL
+      SELECT 3, 'statistical', (SELECT count(*) FROM s2), (SELECT count(*) FROM s3) UNION ALL SELECT 4, 'radius', (SELECT count(*) FROM s3), (SELECT count(*) FROM s4))
+SELECT step, stage, before, after, before - after AS removed FROM r""")
+def filter_chain_report(spark, d):
+    options = filters.FilterOptions(distance_mad_multiplier=3.0, voxel_size=0.05, statistical_neighbors=6, statistical_std_ratio=1.5, radius=0.15, radius_min_neighbors=3)
+    return filters.chain_report(spark, filters.filter_chain(b.embedding_points(spark, d), options)[1])
+
+
+@query(f"""WITH {E}, g AS (SELECT point_id, x, y, z, CASE WHEN point_id % 7 = 0 THEN 0.0 ELSE nx END AS nx, CASE WHEN point_id % 7 = 0 THEN 0.0 ELSE ny END AS ny, CASE WHEN point_id % 7 = 0 THEN 0.0 ELSE nz END AS nz FROM e),
+l AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS len FROM g), v AS (SELECT point_id, x, y, z, nx / len AS nx, ny / len AS ny, nz / len AS nz FROM l WHERE len > 1e-8),
+k AS (SELECT l.point_id, v.nx, v.ny, v.nz, row_number() OVER (PARTITION BY l.point_id ORDER BY (l.x - v.x) ** 2 + (l.y - v.y) ** 2 + (l.z - v.z) ** 2, v.point_id) AS r FROM l, v WHERE l.len <= 1e-8),
+m AS (SELECT point_id, avg(nx) AS gx, avg(ny) AS gy, avg(nz) AS gz FROM k WHERE r <= 8 GROUP BY point_id),
+u AS (SELECT point_id, nx, ny, nz FROM v UNION ALL SELECT point_id, gx / sqrt(gx * gx + gy * gy + gz * gz), gy / sqrt(gx * gx + gy * gy + gz * gz), gz / sqrt(gx * gx + gy * gy + gz * gz) FROM m)
+SELECT point_id, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz FROM u""")
+def repaired_normals(spark, d):
+    p = b.embedding_points(spark, d)
+    gap = F.pmod("point_id", F.lit(7)) == 0  # every seventh point lost its normal
+    p = p.withColumns({c: F.when(gap, 0.0).otherwise(F.col(c)) for c in ("nx", "ny", "nz")})
+    return neighbors.repair_normals(p).select("point_id", *r6("nx", "ny", "nz"))
+
+
+# --- samples --------------------------------------------------------------------------------------------------------
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events), s AS (SELECT ceil(n / 700.0)::BIGINT AS step FROM n) SELECT event_id FROM events, s WHERE event_id % step = 0 AND event_id < step * 700")
+def stride_sample(spark, d):
+    e = b.table(spark, d, "events")
+    return sampling.stride_sample(e, e.count(), 700, "event_id").select("event_id")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM events) SELECT DISTINCT least(n - 1, round_even(i * (n - 1) / 332.0, 0)::BIGINT) AS idx FROM n, range(333) AS r(i)")
+def evenly_spaced(spark, d):
+    return sampling.evenly_spaced(spark, b.table(spark, d, "events").count(), 333)
+
+
+@query()
+def random_cap(spark, d):
+    return b.flat(filters.random_cap(b.points(spark, d), 500)).select(*b.KEY)
+
+
+@query()
+def preview_indices(spark, d):
+    return sampling.preview_indices(spark, b.table(spark, d, "lineitem").count(), 2000)
+
+
+@query()
+def preview_sample(spark, d):
+    p = b.embedding_points(spark, d).withColumnRenamed("point_id", "idx")
+    return sampling.preview(p, p.count(), 100).select("idx", "x", "y", "z")
+
+
+# --- captures -------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT doc_id AS seq, min(doc_id) OVER (PARTITION BY text) AS head FROM documents) SELECT seq, CASE WHEN head <> seq THEN head END AS duplicate_of FROM r""")
+def exact_duplicates(spark, d):
+    t = b.table(spark, d, "documents")
+    content = F.col("text").cast("binary")
+    records = t.select(F.col("doc_id").alias("seq"), F.lit(True).alias("valid"), F.octet_length("text").alias("size"), hashing.quick_hash(content).alias("quick_hash"), hashing.full_hash(content).alias("full_hash"))
+    return captures.exact_duplicates(records)
+
+
+@query("""WITH c AS (SELECT event_id AS seq, user_id AS camera, event_id % 4096 AS s FROM events),
+w AS (SELECT seq, s, lag(seq, 4) OVER q AS n4, lag(s, 4) OVER q AS s4, lag(seq, 3) OVER q AS n3, lag(s, 3) OVER q AS s3, lag(seq, 2) OVER q AS n2, lag(s, 2) OVER q AS s2, lag(seq, 1) OVER q AS n1, lag(s, 1) OVER q AS s1 FROM c WINDOW q AS (PARTITION BY camera ORDER BY seq))
+SELECT seq, coalesce(CASE WHEN bit_count(xor(s4, s)) <= 2 THEN n4 END, CASE WHEN bit_count(xor(s3, s)) <= 2 THEN n3 END, CASE WHEN bit_count(xor(s2, s)) <= 2 THEN n2 END, CASE WHEN bit_count(xor(s1, s)) <= 2 THEN n1 END) AS near_duplicate_of FROM w""")
+def near_duplicate_lookback(spark, d):
+    c = b.captures(spark, d).withColumns({"valid": F.lit(True), "duplicate_of": F.lit(None).cast("long")})
+    return captures.near_duplicates(c, lambda x, y: F.bit_count(x.bitwiseXOR(y)), partition=["camera"])
+
+
+@query("""WITH h AS (SELECT doc_id, md5(text) AS a, lag(md5(text)) OVER (ORDER BY doc_id) AS b FROM documents)
+SELECT doc_id, CASE WHEN b IS NULL THEN 64 ELSE (bit_count(xor(('0x' || a[1:8])::BIGINT, ('0x' || b[1:8])::BIGINT)) + bit_count(xor(('0x' || a[9:16])::BIGINT, ('0x' || b[9:16])::BIGINT)))::INTEGER END AS bits FROM h""")
+def hash_distance(spark, d):
+    t = b.table(spark, d, "documents").select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 16).alias("a"))
+    before = F.lag("a").over(Window.orderBy("doc_id"))  # a capture sequence is one ordered list
+    return t.select("doc_id", hashing.hash_distance(F.col("a"), before).alias("bits"))
+
+
+_RECORDS = """r AS (SELECT event_id, value > 5 AS valid, CASE WHEN event_id % 11 = 0 THEN event_id - 1 END AS dup, CASE WHEN event_id % 13 = 0 THEN event_id - 2 END AS near, event_id % 3 > 0 AS selected,
+     CASE WHEN value < 80 THEN 'blurred' ELSE '' END AS warnings, CASE WHEN event_id % 5 > 0 THEN value END AS lat, CASE WHEN event_id % 4 > 0 THEN value END AS lon,
+     CASE event_id % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'RTK_FIX' WHEN 2 THEN 'RTK_FLOAT' ELSE 'GPS' END AS rtk, value / 1000 AS sx, value / 900 AS sy, value / 500 AS sz, event_type AS model FROM events)"""
+
+
+@query(f"""WITH {_RECORDS} SELECT count(*) AS total, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid, count(dup) AS exact_duplicates, count(near) AS near_duplicates, count(*) FILTER (selected) AS selected,
+ count(*) FILTER (warnings <> '') AS with_warnings, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS geotagged, count(*) FILTER (rtk = 'RTK_FIX') AS rtk_fix, count(*) FILTER (rtk = 'RTK_FLOAT') AS rtk_float,
+ round(median(sx) FILTER (rtk = 'RTK_FIX'), 6) AS sigma_x, round(median(sy) FILTER (rtk = 'RTK_FIX'), 6) AS sigma_y, round(median(sz) FILTER (rtk = 'RTK_FIX'), 6) AS sigma_z,
+ array_to_string(list_sort(list(DISTINCT model)), ',') AS camera_models FROM r""")
+def scan_summary(spark, d):
+    e = b.table(spark, d, "events")
+    m = lambda k: F.pmod("event_id", F.lit(k))
+    records = e.select(
+        (F.col("value") > 5).alias("valid"), F.when(m(11) == 0, F.col("event_id") - 1).alias("duplicate_of"), F.when(m(13) == 0, F.col("event_id") - 2).alias("near_duplicate_of"), (m(3) > 0).alias("selected"),
+        F.when(F.col("value") < 80, "blurred").otherwise("").alias("warnings"), F.when(m(5) > 0, F.col("value")).alias("lat"), F.when(m(4) > 0, F.col("value")).alias("lon"),
+        F.when(m(4) == 0, "NONE").when(m(4) == 1, "RTK_FIX").when(m(4) == 2, "RTK_FLOAT").otherwise("GPS").alias("rtk_status"),
+        (F.col("value") / 1000).alias("sigma_x"), (F.col("value") / 900).alias("sigma_y"), (F.col("value") / 500).alias("sigma_z"), F.col("event_type").alias("camera_model"),
+    )
+    s = captures.scan_summary(records)
+    return s.select(*[c for c in s.columns if not c.startswith(("sigma", "camera"))], *r6("sigma_x", "sigma_y", "sigma_z"), F.array_join("camera_models", ",").alias("camera_models"))
+
+
+@query("SELECT round(min(m), 6) AS min_mp, round(median(m), 6) AS median_mp, round(max(m), 6) AS max_mp FROM (SELECT p_size * 100 * (p_retailprice::BIGINT) / 1e6 AS m FROM part)")
+def resolution_distribution(spark, d):
+    p = b.table(spark, d, "part").select(F.lit(True).alias("valid"), (F.col("p_size") * 100).alias("width"), F.bround("p_retailprice").cast("long").alias("height"))
+    return captures.resolution_distribution(p).select(*r6("min_mp", "median_mp", "max_mp"))
+
+
+_BREAKS = """f AS (SELECT user_id AS camera, event_id AS seq, value, lead(event_id) OVER q AS nxt, lead(value) OVER q AS v2 FROM events WINDOW q AS (PARTITION BY user_id ORDER BY event_id)),
+ pr AS (SELECT camera, seq AS first, nxt AS second, floor(value)::INTEGER AS inlier_count, (value % 17) / 17 AS feature_coverage, abs(v2 - value) / (value + v2 + 1) AS displacement FROM f WHERE nxt IS NOT NULL),
+ cl AS (SELECT *, CASE WHEN inlier_count < 24 OR feature_coverage < 0.06 THEN 'break' WHEN inlier_count < 80 AND displacement > 0.35 THEN 'weak' ELSE 'ok' END AS status FROM pr)"""
+
+
+def _pairs(spark, d):
+    c = b.captures(spark, d)
+    w = Window.partitionBy("camera").orderBy("seq")
+    n = c.select("camera", F.col("seq").alias("first"), F.lead("seq").over(w).alias("second"), "sharpness", F.lead("sharpness").over(w).alias("v2")).where("second is not null")
+    v = F.col("sharpness")
+    return n.select(
+        "camera", "first", "second", F.floor(v).cast("int").alias("inlier_count"), (F.pmod(v, F.lit(17.0)) / 17).alias("feature_coverage"), (F.abs(F.col("v2") - v) / (v + F.col("v2") + 1)).alias("displacement")
+    )
+
+
+@query(f"WITH {_BREAKS} SELECT camera, first, second, status FROM cl")
+def sequence_breaks(spark, d):
+    return captures.classify_pairs(_pairs(spark, d)).select("camera", "first", "second", "status")
+
+
+_SEGMENTS = _BREAKS + """, sg AS (SELECT e.user_id AS camera, e.event_id AS seq, coalesce(sum(CASE WHEN cl.status = 'break' THEN 1 ELSE 0 END) OVER (PARTITION BY e.user_id ORDER BY e.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment
+ FROM events e LEFT JOIN cl ON cl.first = e.event_id), rn AS (SELECT camera, segment, min(seq) AS first, max(seq) AS last, count(*) AS n FROM sg GROUP BY camera, segment)"""
+
+
+def _segments(spark, d):
+    breaks = captures.classify_pairs(_pairs(spark, d)).where("status = 'break'").select("camera", F.col("first").alias("seq"))
+    return captures.segments(b.captures(spark, d).select("camera", "seq"), breaks, ["camera"])
+
+
+@query(f"WITH {_SEGMENTS} SELECT camera, segment, first, last, n FROM rn")
+def segments(spark, d):
+    return _segments(spark, d)
+
+
+@query("""WITH f AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, value FROM events), g AS (SELECT seq, coalesce(sum(CASE WHEN value < 2 THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment FROM f),
+ r AS (SELECT segment, min(seq) AS first, max(seq) AS last, count(*) AS n FROM g GROUP BY segment) SELECT * FROM r ORDER BY n DESC, segment LIMIT 1""")
+def longest_segment(spark, d):
+    f = captures.positions(b.table(spark, d, "events").select("event_id", "value"), "event_id").select(F.col("pos").alias("seq"), "value")
+    return captures.longest_segment(captures.segments(f, f.where("value < 2").select("seq")))
+
+
+@query()
+def keyframes(spark, d):
+    c = b.captures(spark, d)
+    records = c.select(
+        "seq", "name", "sharpness", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("captured"), F.lpad(F.lower(F.hex("signature")), 16, "0").alias("signature"),
+        F.lit(True).alias("valid"), F.lit(None).cast("long").alias("duplicate_of"), F.lit(None).cast("long").alias("near_duplicate_of"), F.lit(0.0).alias("dark"), F.lit(0.0).alias("bright"),
+    )
+    return captures.keyframes(records, 60).select("seq", "name", "sharpness")
+
+
+@query("""SELECT event_id, CASE WHEN value <= 5 THEN 'invalid' WHEN event_id % 3 = 0 THEN 'excluded' WHEN value < 80 OR (value % 10) / 100 > 0.08 THEN 'review' ELSE 'ok' END AS status,
+ CASE WHEN (value % 10) / 100 <= 0.08 THEN 'ok' ELSE 'check' END AS exposure, value >= 80 AND (value % 10) / 100 <= 0.08 AS quality_ok FROM events""")
+def status_label(spark, d):
+    e = b.table(spark, d, "events")
+    v = F.col("value")
+    dark, bright = F.pmod(v, F.lit(10.0)) / 100, F.lit(0.0)
+    return e.select(
+        "event_id", scalars.photo_status(v > 5, F.pmod("event_id", F.lit(3)) > 0, scalars.photo_warnings(v, dark, bright)).alias("status"), scalars.exposure_label(dark, bright).alias("exposure"), scalars.quality_ok(v, dark, bright).alias("quality_ok")
+    )
+
+
+@query("""WITH s AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'rtk fixed' ELSE 'single' END AS st, CASE WHEN event_id % 6 = 0 THEN '50' ELSE '' END AS fl, CASE WHEN event_id % 5 > 0 THEN value END AS la, CASE WHEN value > 3 THEN value / 2000 END AS sx, value / 3000 AS sy, value / 800 AS sz FROM events)
+SELECT event_id, CASE WHEN upper(st) LIKE '%RTK%' OR fl <> '' THEN CASE WHEN sx IS NOT NULL AND greatest(sx, sy) <= 0.05 AND sz <= 0.10 THEN 'RTK_FIX' ELSE 'RTK_FLOAT' END WHEN la IS NOT NULL THEN 'GPS' ELSE 'NONE' END AS rtk FROM s""")
+def rtk_class(spark, d):
+    e, m = b.table(spark, d, "events"), lambda k: F.pmod("event_id", F.lit(k))
+    v = F.col("value")
+    la = F.when(m(5) > 0, v)
+    return e.select("event_id", scalars.rtk_class(F.when(m(4) == 0, "rtk fixed").otherwise("single"), F.when(m(6) == 0, "50").otherwise(""), la, la, F.when(v > 3, v / 2000), v / 3000, v / 800).alias("rtk"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') WHEN event_id % 3 = 1 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') ELSE '' END AS captured FROM events")
+def capture_time(spark, d):
+    e, m = b.table(spark, d, "events"), F.pmod("event_id", F.lit(3))
+    text = F.when(m == 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).when(m == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("unknown")
+    return e.select("event_id", scalars.capture_time(text).alias("captured"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' / ' || p_type || ':' || p_brand, '[<>:\"/\\\\|?*]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS safe, regexp_replace('./' || replace(p_name, ' ', '/'), '^[./]+', '') AS norm FROM part")
+def clean_names(spark, d):
+    p = b.table(spark, d, "part")
+    raw = F.concat_ws("", "p_name", F.lit(" / "), "p_type", F.lit(":"), "p_brand")
+    return p.select("p_partkey", scalars.safe_name(raw).alias("safe"), scalars.normalized_name(F.concat(F.lit(".\\"), F.replace("p_name", F.lit(" "), F.lit("\\")))).alias("norm"))
+
+
+@query("WITH c AS (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM part GROUP BY lower(p_name))) SELECT p_partkey AS seq, CASE WHEN most > 1 THEN lpad((row_number() OVER (ORDER BY p_partkey) - 1)::VARCHAR, 6, '0') || '_' || p_name ELSE p_name END AS name FROM part, c")
+def unique_names(spark, d):
+    return captures.unique_names(b.table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name")))
+
+
+@query("SELECT o_orderkey, round(d + m / 60.0 + s / 3600.0, 9) * CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END AS degrees FROM (SELECT o_orderkey, o_orderkey % 90 AS d, o_orderkey % 60 AS m, o_totalprice % 60 AS s FROM orders)")
+def gps_degrees(spark, d):
+    o = b.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    deg = scalars.gps_decimal(F.pmod(k, F.lit(90)), F.pmod(k, F.lit(60)), F.pmod(F.col("o_totalprice"), F.lit(60.0)), F.when(F.pmod(k, F.lit(2)) == 0, "s").otherwise("n"))
+    return o.select("o_orderkey", F.round(deg, 9).alias("degrees"))
+
+
+# --- match graph ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT l_suppkey AS a, l_partkey AS b, least(l_suppkey, l_partkey) * 2147483647 + greatest(l_suppkey, l_partkey) AS pair_id, least(l_suppkey, l_partkey) AS lo, greatest(l_suppkey, l_partkey) AS hi FROM lineitem")
+def pair_id_roundtrip(spark, d):
+    p = b.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    p = p.withColumn("pair_id", scalars.pair_id(F.col("a"), F.col("b")))
+    lo, hi = scalars.pair_members(F.col("pair_id"))
+    return p.select("a", "b", "pair_id", lo.alias("lo"), hi.alias("hi"))
+
+
+_COPIES = "WITH RECURSIVE k AS (SELECT text, min(doc_id) AS head FROM documents GROUP BY text), c AS (SELECT doc_id AS node, head AS component FROM documents JOIN k USING (text)) "
+
+
+@query(_COPIES + "SELECT component, node FROM c")
+def connected_components(spark, d):
+    t = b.table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h"))
+    before = F.lag("doc_id").over(Window.partitionBy("h").orderBy("doc_id"))  # chains of copies
+    edges = t.select(F.col("doc_id").alias("u"), before.alias("v")).where("v is not null")
+    return graph.connected_components(t.select(F.col("doc_id").alias("node")), edges)
+
+
+@query(_COPIES + ", s AS (SELECT component, count(*) AS size FROM c GROUP BY component) SELECT component, size, row_number() OVER (ORDER BY size DESC, component)::INTEGER AS rank FROM s")
+def component_sizes(spark, d):
+    return matching.component_sizes(connected_components(spark, d))
+
+
+_GEO = "WITH g AS (SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS rows FROM lineitem GROUP BY ALL) "
+
+
+def _geometries(spark, d):
+    return b.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("rows"))
+
+
+@query(_GEO + "SELECT count(*) FILTER (rows >= 2) AS verified_pairs FROM g")
+def verified_pair_count(spark, d):
+    return matching.verified_pair_count(_geometries(spark, d), 2)
+
+
+@query(_GEO + "SELECT src, dst, rows FROM g WHERE rows >= 2 AND src IN (SELECT s_suppkey FROM supplier) AND dst IN (SELECT s_suppkey FROM supplier)")
+def verified_edges(spark, d):
+    images = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("image_id"))
+    return matching.verified_edges(images, _geometries(spark, d), 2)
+
+
+@query("""WITH g AS (SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS rows FROM lineitem GROUP BY ALL) SELECT src, dst, rows, least(src, dst) * 2147483647 + greatest(src, dst) AS pair_id FROM g
+WHERE least(src, dst) * 2147483647 + greatest(src, dst) NOT IN (SELECT least(l_suppkey, l_partkey) * 2147483647 + greatest(l_suppkey, l_partkey) FROM lineitem WHERE l_returnflag = 'R')""")
+def purged_pairs(spark, d):
+    g = _geometries(spark, d).withColumn("pair_id", scalars.pair_id(F.col("src"), F.col("dst")))
+    gone = b.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    return matching.purge_pairs(g, gone)
+
+
+_VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
+_TOPK = f"""{_VEC}, t AS (SELECT q.vec_id AS src, p.vec_id AS dst, list_dot_product(q.e, p.e) AS similarity FROM v q, v p WHERE q.label <> 0 AND p.label = 0),
+ k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst)::INTEGER AS rank FROM t)"""
+
+
+@query(f"WITH {_TOPK} SELECT src, dst, round(similarity, 6) AS similarity, rank FROM k WHERE rank <= 3")
+def cosine_topk_bridge(spark, d):
+    v = b.vectors(spark, d)
+    return matching.cosine_top_k(v.where("label <> 0"), v.where("label = 0"), 3).select("src", "dst", *r6("similarity"), "rank")
+
+
+_GPS = f"""{E}, l AS (SELECT vec_id AS point_id, label FROM embeddings), c AS (SELECT a.point_id AS src, b.point_id AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS distance FROM e a, e b WHERE a.point_id IN (SELECT point_id FROM l WHERE label <> 0) AND b.point_id IN (SELECT point_id FROM l WHERE label = 0)),
+ w AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst)::INTEGER AS rank FROM c WHERE distance <= 0.15)"""
+
+
+@query(f"WITH {_GPS} SELECT src, dst, round(distance, 6) AS distance, rank FROM w WHERE rank <= 3")
+def gps_range_topk(spark, d):
+    p = b.embedding_points(spark, d).withColumnRenamed("point_id", "image_id").join(b.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label"), "image_id")
+    return matching.position_top_k(p.where("label <> 0"), p.where("label = 0"), 0.15, 3).select("src", "dst", *r6("distance"), "rank")
+
+
+@query(f"""WITH {_TOPK}, {_GPS}, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, 'retrieval' AS kind FROM k WHERE rank <= 3 UNION SELECT least(src, dst), greatest(src, dst), 'position' FROM w WHERE rank <= 3)
+SELECT a, b, string_agg(kind, '+' ORDER BY kind) AS kinds FROM u GROUP BY a, b""")
+def bridge_pairs(spark, d):
+    e = b.table(spark, d, "embeddings")
+    # label 0 is the component that all others are bridged to: it is made the largest
+    label = e.select(F.col("vec_id").alias("image_id"), F.when(F.col("label") == 0, -1).otherwise(F.col("vec_id")).cast("long").alias("component"))
+    return matching.bridge_pairs(label, b.vectors(spark, d), b.embedding_points(spark, d).withColumnRenamed("point_id", "image_id"), 3, 0.15)
+
+
+@query(f"WITH {_VEC}, x AS (SELECT label AS image_id, unnest(range(64)) AS k, e FROM v), m AS (SELECT image_id, k, avg(e[k + 1]) AS m FROM x GROUP BY image_id, k), n AS (SELECT image_id, sqrt(sum(m * m)) AS n FROM m GROUP BY image_id) SELECT image_id, k::INTEGER AS k, round(m / n, 6) AS v FROM m JOIN n USING (image_id)")
+def mean_descriptors(spark, d):
+    e = b.table(spark, d, "embeddings").select(F.col("label").alias("image_id"), F.col("embedding").alias("d"))
+    return matching.mean_descriptors(e).select("image_id", F.posexplode("v").alias("k", "v")).select("image_id", "k", *r6("v"))
+
+
+# --- co-visibility ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {O} SELECT point_id, count(*) AS frequency, round(pow(count(*), -0.5), 9) AS weight FROM o GROUP BY point_id")
+def point_frequency_weight(spark, d):
+    return covisibility.point_frequencies(b.observations(spark, d)).select("point_id", "frequency", F.round("weight", 9).alias("weight"))
+
+
+_RANKED = f"""{O}, own AS (SELECT name, count(*) AS own FROM o GROUP BY name), pt AS (SELECT p_size % 5 AS region, p_partkey AS point_id FROM part WHERE p_size <= 10),
+ s AS (SELECT region, name, count(*) AS shared FROM o JOIN pt USING (point_id) GROUP BY region, name),
+ k AS (SELECT s.*, shared >= greatest(3, least(25, ceil(own * 0.01))) AS fits, row_number() OVER (PARTITION BY region ORDER BY shared DESC, lower(name), name) AS rk FROM s JOIN own USING (name)),
+ c AS (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY region) AS nf, count(*) OVER (PARTITION BY region) AS na FROM k)"""
+
+
+@query(f"WITH {_RANKED} SELECT region, name, shared, row_number() OVER (PARTITION BY region ORDER BY rk)::INTEGER AS rank FROM c WHERE CASE WHEN nf < least(3, na) THEN rk <= 3 ELSE fits END")
+def ranked_images(spark, d):
+    part = b.table(spark, d, "part").where("p_size <= 10").select(F.pmod("p_size", F.lit(5)).alias("region"), F.col("p_partkey").alias("point_id"))
+    return covisibility.ranked_images(b.observations(spark, d), part, by=["region"])
+
+
+@query(f"""WITH {O}, x AS (SELECT s_suppkey AS pos, format('S{{:04d}}', s_suppkey) AS name FROM supplier), sh AS (SELECT a.name AS a, b.name AS b, count(*) AS shared FROM o a JOIN o b USING (point_id) WHERE a.name <> b.name GROUP BY ALL),
+ p AS (SELECT r.name AS reference, s.name AS source, coalesce(shared, 0) AS shared, abs(r.pos - s.pos) AS gap, s.pos % 3 = 0 AS stable FROM x r JOIN x s ON r.name <> s.name LEFT JOIN sh ON sh.a = r.name AND sh.b = s.name WHERE r.name IN (SELECT name FROM o)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY stable DESC, shared DESC, gap, source DESC)::INTEGER AS rank FROM p) SELECT reference, source, shared, rank FROM k WHERE rank <= 6""")
+def covisibility_sources(spark, d):
+    v = b.views(spark, d)
+    return covisibility.source_selection(b.observations(spark, d), v, v, v.where("pos % 3 = 0"), 6)
+
+
+@query(f"WITH {O}, n AS (SELECT name, count(*) AS n FROM o GROUP BY name), s AS (SELECT a.name AS a, b.name AS b, count(*) AS shared FROM o a JOIN o b USING (point_id) WHERE a.name <> b.name GROUP BY ALL) SELECT a, b, round(shared / greatest(1, least(x.n, y.n)), 9) AS redundancy FROM s JOIN n x ON x.name = a JOIN n y ON y.name = b")
+def pair_redundancy(spark, d):
+    return covisibility.redundancy(b.observations(spark, d)).select("a", "b", F.round("redundancy", 9).alias("redundancy"))
+
+
+@query("SELECT c_custkey AS seq, c_name AS name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer JOIN orders ON o_custkey = c_custkey)")
+def unregistered_anti(spark, d):
+    c = b.table(spark, d, "customer")
+    have = c.join(b.table(spark, d, "orders"), c.c_custkey == F.col("o_custkey"), "left_semi").select(F.upper("c_name").alias("name"))
+    return covisibility.unregistered(c.select(F.col("c_custkey").alias("seq"), F.col("c_name").alias("name")), have)
+
+
+@query("SELECT p_partkey AS point_id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 3)")
+def semi_visible(spark, d):
+    seen = b.table(spark, d, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("point_id"))
+    return covisibility.visible_points(b.table(spark, d, "part").select(F.col("p_partkey").alias("point_id")), seen)
+
+
+@query()
+def mvs_reference_selection(spark, d):
+    names, report = covisibility.select_references(b.views(spark, d), b.observations(spark, d), 0.15)
+    return spark.createDataFrame([(i, n, float(report["sparse_point_coverage_ratio"])) for i, n in enumerate(names)], "pos int, name string, coverage double")
+
+
+@query()
+def coverage_augment(spark, d):
+    core = b.table(spark, d, "part").select((F.pmod("p_partkey", F.lit(4))).cast("int").alias("block"), F.col("p_partkey").alias("point_id"))
+    v = b.views(spark, d)
+    k = F.explode(F.array(*map(F.lit, range(4)))).alias("block")
+    refs = v.where("pos % 25 = 0").select(k, F.col("pos").alias("seq"), "name")
+    return covisibility.augment_coverage(core, b.observations(spark, d), refs, v.select(k, "name")).withColumn("coverage", F.round("coverage", 9))
+
+
+@query("SELECT format('S{:04d}', l_suppkey) AS name, max(l_partkey // 100) AS last_block FROM lineitem GROUP BY ALL")
+def last_use(spark, d):
+    return covisibility.last_use(b.table(spark, d, "lineitem").select(F.format_string("S%04d", "l_suppkey").alias("name"), F.floor(F.col("l_partkey") / 100).alias("block")))
+
+
+@query(f"""WITH {O}, r AS (SELECT DISTINCT name FROM o WHERE substr(name, 2)::INTEGER % 10 = 0), c AS (SELECT p_partkey % 8 AS block, p_partkey AS point_id FROM part), h AS (SELECT point_id, count(*) AS h FROM o JOIN r USING (name) GROUP BY point_id)
+SELECT block, round(avg((coalesce(h, 0) >= 2)::INTEGER), 9) AS covered, round(avg((coalesce(h, 0) = 0)::INTEGER), 9) AS unseen FROM c LEFT JOIN h USING (point_id) GROUP BY block""")
+def coverage_ratios(spark, d):
+    core = b.table(spark, d, "part").select(F.pmod("p_partkey", F.lit(8)).alias("block"), F.col("p_partkey").alias("point_id"))
+    refs = b.observations(spark, d).select("name").distinct().where("cast(substr(name, 2) as int) % 10 = 0").select(F.explode(F.array(*[F.lit(k).cast("long") for k in range(8)])).alias("block"), "name")
+    return covisibility.coverage_ratios(core, b.observations(spark, d), refs).select("block", F.round("covered", 9).alias("covered"), F.round("unseen", 9).alias("unseen"))
+
+
+@query("""SELECT 'union_all' AS op, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'union_distinct', count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)
+UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)""")
+def set_ops(spark, d):
+    o, c = b.table(spark, d, "orders").select(F.col("o_custkey").alias("k")), b.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    parts = {"union_all": blocks.union_parts([o, c]), "union_distinct": o.union(c).distinct(), "intersect": o.intersect(c), "except": c.subtract(o)}
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT p_brand, min(p_partkey) AS seq FROM part GROUP BY p_brand")
+def ordered_distinct(spark, d):
+    return b.table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("seq")).orderBy("seq")
+
+
+# --- quality ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), s AS (SELECT o_totalprice AS e, row_number() OVER (ORDER BY o_totalprice) AS k FROM orders)
+SELECT 90::BIGINT AS registered_images, round(0.9, 6)::DOUBLE AS registration_ratio, (SELECT n FROM n) AS sparse_point_count, (SELECT round(avg(o_totalprice), 6) FROM orders) AS mean_error, (SELECT e FROM s, n WHERE k = round_even((n - 1) * 0.5, 0) + 1) AS median_error,
+ (SELECT e FROM s, n WHERE k = round_even((n - 1) * 0.95, 0) + 1) AS p95_error, (SELECT round(avg(o_orderkey % 9), 6) FROM orders) AS mean_track, (SELECT median(o_orderkey % 9) FROM orders) AS median_track""")
+def sparse_quality_nearest_rank(spark, d):
+    o = b.table(spark, d, "orders").select(F.col("o_totalprice").alias("error"), F.pmod("o_orderkey", F.lit(9)).alias("track_length"))
+    q = gates.sparse_quality(o, 90, 100)
+    return q.select("registered_images", *r6("registration_ratio"), "sparse_point_count", *r6("mean_error"), "median_error", "p95_error", *r6("mean_track"), "median_track")
+
+
+_GATE = """WITH g AS (SELECT l_suppkey, (count(*) % 90)::INTEGER AS reg, avg(l_tax) * 24 AS ratio, sum(l_quantity)::BIGINT AS pts, CASE WHEN l_suppkey % 9 > 0 THEN avg(l_discount) * 60 END AS err FROM lineitem GROUP BY l_suppkey),
+ s AS (SELECT *, CASE WHEN reg < 3 OR ratio < 0.5 OR pts < greatest(30, reg * 10) OR coalesce(err > 5, false) THEN 'blocked' WHEN ratio >= 0.95 AND coalesce(err <= 2, false) AND pts >= greatest(100, reg * 50) THEN 'passed' ELSE 'review' END AS status FROM g) """
+
+
+@query(_GATE + "SELECT l_suppkey, status, status = 'blocked' OR reg < 3 OR ratio < 0.8 OR pts < greatest(100, reg * 25) OR err IS NULL OR coalesce(err > 3, false) AS retry FROM s")
+def quality_gate(spark, d):
+    g = b.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.pmod(F.count("*"), F.lit(90)).cast("int").alias("reg"), (F.avg("l_tax") * 24).alias("ratio"), F.sum("l_quantity").cast("long").alias("pts"), (F.avg("l_discount") * 60).alias("e"))
+    g = g.withColumn("err", F.when(F.pmod("l_suppkey", F.lit(9)) > 0, F.col("e")))
+    c = [F.col(x) for x in ("reg", "ratio", "pts", "err")]
+    g = g.withColumn("status", gates.gate_status(*c))
+    return g.select("l_suppkey", "status", gates.needs_stable_retry(F.col("status"), *c).alias("retry"))
+
+
+@query("SELECT c_name AS path, n AS registered FROM (SELECT c_name, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_name) ORDER BY n DESC, lower(c_name) DESC LIMIT 1")
+def best_model(spark, d):
+    c = b.table(spark, d, "customer").join(b.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_name").alias("path")).agg(F.count("*").alias("registered"))
+    return gates.best_model(c)
+
+
+@query("""WITH t AS (SELECT sum(p_size * 100000000) AS total, count(*) AS n FROM part), s AS (SELECT greatest(8, least(48, 3221225472 // greatest(1, total // n))) AS size FROM t)
+SELECT p_partkey AS seq, p_name AS name, ((row_number() OVER (ORDER BY p_partkey) - 1) // size)::BIGINT AS batch FROM part, s""")
+def fusion_batches(spark, d):
+    p = b.table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), (F.col("p_size").cast("long") * 100_000_000).alias("map_bytes"))
+    return gates.fusion_batches(p, 16 * 1024**3)
+
+
+@query("""WITH x AS (SELECT (1000 + p_size * 50)::DOUBLE AS w, (800 + p_partkey % 1000)::DOUBLE AS h, p_size AS size FROM part), s AS (SELECT *, least(1.0, 2048 / greatest(w, h)) AS k FROM x)
+SELECT sum(greatest(1, round_even(w * k, 0)::BIGINT) * greatest(1, round_even(h * k, 0)::BIGINT) * 34 + size)::BIGINT AS bytes FROM s""")
+def workspace_estimate(spark, d):
+    p = b.table(spark, d, "part")
+    w, h = (1000 + F.col("p_size") * 50).cast("double"), (800 + F.pmod("p_partkey", F.lit(1000))).cast("double")
+    return p.agg(F.sum(scalars.workspace_bytes(w, h, F.col("p_size"), 2048, True)).alias("bytes"))
+
+
+# --- calibration and geometry -------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT l_quantity AS m, l_quantity * 2.5 + l_discount AS a FROM lineitem), s AS (SELECT sum(m * a) / sum(m * m) AS scale FROM p)
+SELECT round(any_value(scale), 9) AS scale, count(*) AS n, round(sqrt(avg((scale * m - a) ** 2)), 9) AS rmse, round(avg(abs(scale * m - a)), 9) AS mean_error, round(max(abs(scale * m - a)), 9) AS max_error FROM p, s""")
+def scale_fit(spark, d):
+    p = b.table(spark, d, "lineitem").select(F.col("l_quantity").alias("model"), (F.col("l_quantity") * 2.5 + F.col("l_discount")).alias("actual"))
+    return calibration.scale_fit(p).select(*[F.round(c, 9).alias(c) if c != "n" else c for c in ("scale", "n", "rmse", "mean_error", "max_error")])
+
+
+SIM = calibration.Similarity.of(2.5, [[0.8, -0.6, 0.0], [0.6, 0.8, 0.0], [0.0, 0.0, 1.0]], [100.0, -40.0, 12.5])
+
+
+def _control(spark, d):
+    p = b.embedding_points(spark, d)
+    moved = SIM.columns()
+    noise = [(F.pmod(F.col("point_id") * k, F.lit(7)) - 3) / 1000.0 for k in (1, 2, 3)]
+    return p.select("point_id", *[F.col(c).alias(f"m{c}") for c in "xyz"], *[(m + n).alias(f"t{c}") for m, n, c in zip(moved, noise, "xyz")])
+
+
+_SIM = f"""{E}, c AS (SELECT point_id, x, y, z, 2.5 * (0.8 * x - 0.6 * y) + 100 AS fx, 2.5 * (0.6 * x + 0.8 * y) - 40 AS fy, 2.5 * z + 12.5 AS fz, (point_id % 7 - 3) / 1000.0 AS nx2, (point_id * 2 % 7 - 3) / 1000.0 AS ny2, (point_id * 3 % 7 - 3) / 1000.0 AS nz2 FROM e)"""
+
+
+@query(f"WITH {_SIM} SELECT point_id, round(fx, 6) AS x, round(fy, 6) AS y, round(fz, 6) AS z FROM c")
+def sim3_apply(spark, d):
+    return SIM.apply(b.embedding_points(spark, d)).select("point_id", *r6("x", "y", "z"))
+
+
+@query(f"""WITH {_SIM}, r AS (SELECT -nx2 AS rx, -ny2 AS ry, -nz2 AS rz, sqrt(nx2 ** 2 + ny2 ** 2) AS rxy, sqrt(nx2 ** 2 + ny2 ** 2 + nz2 ** 2) AS r3 FROM c)
+SELECT count(*) AS n, round(sqrt(avg(rx ** 2)), 6) AS rmse_x, round(sqrt(avg(ry ** 2)), 6) AS rmse_y, round(sqrt(avg(rz ** 2)), 6) AS rmse_z, round(sqrt(avg(rxy ** 2)), 6) AS rmse_xy, round(sqrt(avg(r3 ** 2)), 6) AS rmse_3d, round(avg(r3), 6) AS mean_3d, round(median(r3), 6) AS median_3d, round(quantile_cont(r3, 0.95), 6) AS p95_3d, round(max(r3), 6) AS max_3d FROM r""")
+def residual_report(spark, d):
+    r = calibration.residual_report(calibration.residuals(_control(spark, d), SIM))
+    return r.select("n", *r6(*[c for c in r.columns if c != "n"]))
+
+
+@query()
+def umeyama_fit(spark, d):
+    s = calibration.fit_similarity(_control(spark, d))
+    rows = [("scale", s.scale), *[(f"r{i}{j}", s.rotation[i][j]) for i in range(3) for j in range(3)], *[(f"t{i}", t) for i, t in enumerate(s.translation)]]
+    return spark.createDataFrame([(k, round(float(v), 5)) for k, v in rows], "name string, value double")
+
+
+@query()
+def ransac_fit(spark, d):
+    c = _control(spark, d)
+    bad = F.pmod("point_id", F.lit(50)) == 7
+    s, marked = calibration.fit_similarity_robust(c.withColumn("tx", F.when(bad, F.col("tx") + 20).otherwise(F.col("tx"))), 0.05)
+    return marked.select("point_id", "inlier").withColumn("scale", F.lit(round(s.scale, 4)))
+
+
+@query("""WITH ob AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'check' ELSE 'control' END AS role, o_custkey AS point_id, o_orderkey AS seq, o_totalprice / 1000 AS mx, o_totalprice / 2000 AS my, o_orderkey % 10 AS mz, (o_custkey * 10)::DOUBLE AS tx, (o_custkey * 20)::DOUBLE AS ty, o_custkey::DOUBLE AS tz, (1 + o_orderkey % 3) / 100.0 AS s FROM orders)
+SELECT role, point_id, min(seq) AS seq, round(median(mx), 6) AS mx, round(median(my), 6) AS my, round(median(mz), 6) AS mz, any_value(tx) AS tx, any_value(ty) AS ty, any_value(tz) AS tz, 0.0::DOUBLE AS spread, round(1 / greatest(median(s) ** 2, 1e-12), 6) AS weight, count(*) AS n FROM ob GROUP BY role, point_id""")
+def control_grouping(spark, d):
+    o = b.table(spark, d, "orders")
+    k, s = F.col("o_orderkey"), (1 + F.pmod("o_orderkey", F.lit(3))) / 100.0
+    ob = o.select(
+        F.when(F.pmod(k, F.lit(5)) == 0, "check").otherwise("control").alias("role"), F.col("o_custkey").alias("point_id"), k.alias("seq"), (F.col("o_totalprice") / 1000).alias("mx"), (F.col("o_totalprice") / 2000).alias("my"), F.pmod(k, F.lit(10)).alias("mz"),
+        (F.col("o_custkey") * 10).cast("double").alias("tx"), (F.col("o_custkey") * 20).cast("double").alias("ty"), F.col("o_custkey").cast("double").alias("tz"), s.alias("sx"), s.alias("sy"), s.alias("sz"),
+    )
+    g = calibration.group_control(ob)
+    return g.select("role", "point_id", "seq", *r6("mx", "my", "mz"), "tx", "ty", "tz", *r6("spread", "weight"), "n")
+
+
+_LLH = "g AS (SELECT o_orderkey, 120 + (o_custkey % 1000) / 1e5 AS lon, 30 + (o_orderkey % 1000) / 1e5 AS lat, o_totalprice / 1000 AS h FROM orders)"
+_ECEF = """SELECT o_orderkey, lon, lat, h, (6378137.0 / sqrt(1 - e2 * sin(radians(lat)) ** 2) + h) * cos(radians(lat)) * cos(radians(lon)) AS x, (6378137.0 / sqrt(1 - e2 * sin(radians(lat)) ** 2) + h) * cos(radians(lat)) * sin(radians(lon)) AS y,
+ (6378137.0 / sqrt(1 - e2 * sin(radians(lat)) ** 2) * (1 - e2) + h) * sin(radians(lat)) AS z FROM {t}, k"""
+
+
+def _geo(spark, d):
+    o = b.table(spark, d, "orders")
+    return o.select("o_orderkey", (120 + F.pmod("o_custkey", F.lit(1000)) / 1e5).alias("lon"), (30 + F.pmod("o_orderkey", F.lit(1000)) / 1e5).alias("lat"), (F.col("o_totalprice") / 1000).alias("h"))
+
+
+@query(f"WITH k AS (SELECT 1 / 298.257223563 * (2 - 1 / 298.257223563) AS e2), {_LLH}, c AS ({_ECEF.format(t='g')}) SELECT o_orderkey, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM c")
+def ecef(spark, d):
+    g = _geo(spark, d).where(scalars.valid_geodetic(F.col("lon"), F.col("lat"), F.col("h")))
+    return g.select("o_orderkey", *[F.round(c, 4).alias(n) for c, n in zip(scalars.ecef(F.col("lon"), F.col("lat"), F.col("h")), "xyz")])
+
+
+@query(f"""WITH k AS (SELECT 1 / 298.257223563 * (2 - 1 / 298.257223563) AS e2), {_LLH}, c AS ({_ECEF.format(t='g')}), o AS (SELECT 0 AS o_orderkey, 120.0::DOUBLE AS lon, 30.0::DOUBLE AS lat, 100.0::DOUBLE AS h), oc AS ({_ECEF.format(t='o')}),
+ f AS (SELECT c.o_orderkey, c.x - oc.x AS dx, c.y - oc.y AS dy, c.z - oc.z AS dz, radians(30.0) AS la, radians(120.0) AS lo FROM c, oc)
+SELECT o_orderkey, round(-sin(lo) * dx + cos(lo) * dy, 4) AS east, round(-sin(la) * cos(lo) * dx - sin(la) * sin(lo) * dy + cos(la) * dz, 4) AS north, round(cos(la) * cos(lo) * dx + cos(la) * sin(lo) * dy + sin(la) * dz, 4) AS up FROM f""")
+def local_enu(spark, d):
+    e = scalars.local_enu(F.col("lon"), F.col("lat"), F.col("h"), (120.0, 30.0, 100.0))
+    return _geo(spark, d).select("o_orderkey", *[F.round(c, 4).alias(n) for c, n in zip(e, ("east", "north", "up"))])
+
+
+@query("""WITH s AS (SELECT user_id, sqrt((value - lag(value) OVER q) ** 2 + (user_id - lag(user_id) OVER q) ** 2) AS s FROM events WINDOW q AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, round(coalesce(sum(s), 0), 4) AS length FROM s GROUP BY user_id""")
+def polyline_length(spark, d):
+    p = b.table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return measurements.polyline_lengths(p, ["user_id"]).select("user_id", F.round("length", 4).alias("length"))
+
+
+@query(f"WITH {P} SELECT round(covar_samp(x, x), 6) AS xx, round(covar_samp(x, y), 6) AS xy, round(covar_samp(x, z), 6) AS xz, round(covar_samp(y, y), 6) AS yy, round(covar_samp(y, z), 6) AS yz, round(covar_samp(z, z), 6) AS zz, round(median(x), 6) AS cx, round(median(y), 6) AS cy, round(median(z), 6) AS cz FROM p")
+def covariance_frame(spark, d):
+    p = b.points(spark, d)
+    cov = [F.round(F.covar_samp(u, v), 6).alias(u + v) for u, v in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))]
+    return p.agg(*cov, *[F.round(F.median(c), 6).alias(f"c{c}") for c in "xyz"])
+
+
+@query()
+def pca_frame(spark, d):
+    f = blocks.principal_frame(b.points(spark, d))
+    return spark.createDataFrame([(k, round(v, 6), f.corridor) for k, v in enumerate(f.variances)], "axis int, variance double, corridor boolean")
+
+
+@query("SELECT count(*) AS n, round(sum(d), 6) AS total FROM (SELECT abs(o_totalprice - c_acctbal) AS d FROM orders JOIN customer ON o_custkey = c_custkey)")
+def constraint_lengths(spark, d):
+    j = b.table(spark, d, "orders").join(b.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    ends = lambda c: (F.col(c), F.lit(0.0), F.lit(0.0))
+    return j.agg(F.count("*").alias("n"), F.round(F.sum(scalars.straight_distance(ends("o_totalprice"), ends("c_acctbal"))), 6).alias("total"))
+
+
+# --- blocks and meshes --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {P} SELECT {K}, x, y, z FROM p WHERE x BETWEEN 10 - 1e-6 AND 20 + 1e-6 AND y BETWEEN 5 - 1e-6 AND 25 + 1e-6 AND z BETWEEN 2 - 1e-6 AND 6 + 1e-6")
+def core_crop(spark, d):
+    eye = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    return b.flat(filters.core_crop(b.points(spark, d), [0.0, 0.0, 0.0], eye, [10.0, 5.0, 2.0], [20.0, 25.0, 6.0]))
+
+
+@query(f"""WITH {P}, k AS (SELECT i, 'block_' || lpad((i + 1)::VARCHAR, 4, '0') AS block, 1 + i * 12.25 - 2.45 AS lo, 1 + (i + 1) * 12.25 + 2.45 AS hi FROM range(4) AS r(i)) SELECT block, count(*) AS n FROM p JOIN k ON x BETWEEN lo - 1e-9 AND hi + 1e-9 GROUP BY block""")
+def halo_assign(spark, d):
+    p = b.points(spark, d).select("point_id", F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"))
+    boxes = [{"block": f"block_{i + 1:04d}", "halo_lower": [1 + i * 12.25 - 2.45, -1e9, -1e9], "halo_upper": [1 + (i + 1) * 12.25 + 2.45, 1e9, 1e9]} for i in range(4)]
+    return blocks.halo_points(p, boxes).groupBy("block").agg(F.count("*").alias("n"))
+
+
+@query()
+def spatial_blocks(spark, d):
+    obs, v = b.observations(spark, d), b.views(spark, d)
+    pts = b.table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"), F.pmod("p_partkey", F.lit(7)).cast("double").alias("z"))
+    _, rows, images = blocks.plan_blocks(pts, obs, v, target_images=20, min_core_points=20)
+    counts = images.groupBy("block").agg(F.count("*").alias("image_count"))
+    return spark.createDataFrame([(r["block"], r["core_point_count"], r["halo_point_count"]) for r in rows], "block string, core_points long, halo_points long").join(counts, "block")
+
+
+def _mesh(spark, d):
+    """A strip of triangles over parts."""
+    p = b.table(spark, d, "part")
+    v = p.select((F.col("p_partkey") - 1).alias("id"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"), F.pmod("p_partkey", F.lit(97)).cast("double").alias("z"))
+    n = p.count()
+    f = spark.range(n - 2).select(F.col("id").alias("face_id"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") + 2).alias("c"))
+    return f, v
+
+
+@query("""WITH n AS (SELECT count(*) - 2 AS n FROM part), w AS (SELECT n, ceil(n / 300.0)::INTEGER AS k FROM n)
+SELECT k AS block_count, n AS face_count FROM w""")
+def kd_partition(spark, d):
+    f, v = _mesh(spark, d)
+    parts = blocks.mesh_partition(f, v, 300)
+    return parts.agg(F.countDistinct("block").cast("int").alias("block_count"), F.count("*").alias("face_count"))
+
+
+@query("""WITH f AS (SELECT i AS face_id, i // 500 AS block, i AS a, i + 1 AS b, i + 2 AS c FROM (SELECT unnest(range((SELECT count(*) - 2 FROM part))) AS i)), u AS (SELECT DISTINCT block, unnest([a, b, c]) AS v FROM f), l AS (SELECT block, v, row_number() OVER (PARTITION BY block ORDER BY v) - 1 AS k FROM u)
+SELECT f.block, face_id, x.k AS a, y.k AS b, z.k AS c FROM f JOIN l x ON x.block = f.block AND x.v = f.a JOIN l y ON y.block = f.block AND y.v = f.b JOIN l z ON z.block = f.block AND z.v = f.c""")
+def mesh_reindex(spark, d):
+    f, _ = _mesh(spark, d)
+    return blocks.reindex_mesh(f, f.select("face_id", F.floor(F.col("face_id") / 500).alias("block")))[1]
+
+
+@query("WITH c AS (SELECT l_suppkey AS block, count(DISTINCT l_partkey) AS vertex_count FROM lineitem GROUP BY l_suppkey) SELECT *, coalesce(sum(vertex_count) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM c")
+def vertex_offsets(spark, d):
+    c = b.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("block")).agg(F.countDistinct("l_partkey").alias("vertex_count"))
+    return blocks.vertex_offsets(c)
+
+
+@query("""SELECT 'block ' || n_regionkey AS block, 0 AS kind, n_nationkey::BIGINT AS id, format('v {:.6f} {:.6f} {:.6f}', n_nationkey::DOUBLE, n_regionkey::DOUBLE, 1.0::DOUBLE) AS line FROM nation UNION ALL
+SELECT 'block ' || r, 1, 0::BIGINT, format('f {:d} {:d} {:d}', r * 5 + 1, r * 5 + 2, r * 5 + 3) FROM range(5) AS t(r)""")
+def obj_lines(spark, d):
+    n = b.table(spark, d, "nation")
+    block = lambda c: F.concat(F.lit("block "), F.col(c).cast("string")).alias("block")
+    v = n.select(block("n_regionkey"), F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("x"), F.col("n_regionkey").alias("y"), F.lit(1.0).alias("z"))
+    f = spark.range(5).select(block("id"), F.lit(0).alias("face_id"), F.lit(0).alias("a"), F.lit(1).alias("b"), F.lit(2).alias("c"))
+    return sinks.obj_lines(v, f)
+
+
+@query(f"WITH {P}, o AS (SELECT floor(min(x)) AS ox, floor(min(y)) AS oy, floor(min(z)) AS oz FROM p) SELECT {K}, round_even((x - ox) / 0.001, 0)::INTEGER AS ix, round_even((y - oy) / 0.001, 0)::INTEGER AS iy, round_even((z - oz) / 0.001, 0)::INTEGER AS iz FROM p, o")
+def las_quantized(spark, d):
+    p = b.points(spark, d).withColumns({c: F.lit(0) for c in "rgb"})
+    return b.flat(sinks.las_records(p)[0]).select(*b.KEY, "ix", "iy", "iz")
+
+
+# --- tables in and out, stages, streams ------------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice, o_custkey, o_orderpriority FROM orders) SELECT 'distance' AS type, o_orderkey::VARCHAR AS label, 'A' AS point_id, o_totalprice AS metres, o_custkey AS model_x FROM o UNION ALL SELECT 'distance', o_orderkey::VARCHAR, 'B', NULL, o_custkey + 1 FROM o
+UNION ALL SELECT 'coordinate', NULL, c_custkey::VARCHAR, NULL, c_custkey FROM customer""")
+def constraints_csv_layout(spark, d):
+    o, c = b.table(spark, d, "orders"), b.table(spark, d, "customer")
+    zero = [F.lit(0.0).alias(f"{p}{k}") for p in "ab" for k in "yz"]
+    dist = o.select(F.col("o_orderkey").cast("string").alias("label"), F.col("o_totalprice").alias("actual"), F.lit("order").alias("source"), F.col("o_custkey").alias("ax"), (F.col("o_custkey") + 1).alias("bx"), *zero)
+    nothing = [F.lit(None).cast("double").alias(f"{p}{k}") for p in ("t", "s") for k in "xyz"]
+    obs = c.select(F.col("c_custkey").cast("string").alias("point_id"), F.lit("control").alias("role"), F.lit("").alias("crs"), F.col("c_custkey").alias("mx"), F.lit(0.0).alias("my"), F.lit(0.0).alias("mz"), *nothing)
+    rows = sinks.constraint_rows(dist, obs)
+    return rows.select("type", "label", "point_id", F.col("metres").cast("double").alias("metres"), F.col("model_x").cast("long").alias("model_x"))
+
+
+_STAGE = "e AS (SELECT user_id AS project, event_type AS stage, CASE event_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' WHEN 4 THEN 'cancelled' ELSE 'running' END AS status, event_id AS seq, ts AS at FROM events)"
+
+
+def _stage_events(spark, d):
+    e, m = b.table(spark, d, "events"), F.pmod("event_id", F.lit(6))
+    status = F.when(m == 0, "pending").when(m == 2, "completed").when(m == 3, "failed").when(m == 4, "cancelled").otherwise("running")
+    return e.select(F.col("user_id").alias("project"), F.col("event_type").alias("stage"), status.alias("status"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+
+
+@query(f"""WITH {_STAGE}, g AS (SELECT project, stage, arg_max(status, seq) AS status, arg_max(at, seq) AS updated_at, max(seq) FILTER (status = 'running') AS r, max(seq) FILTER (status = 'pending') AS p, max(seq) FILTER (status IN ('completed', 'failed', 'cancelled')) AS f,
+ arg_max(at, seq) FILTER (status = 'running') AS ra, arg_max(at, seq) FILTER (status IN ('completed', 'failed', 'cancelled')) AS fa FROM e GROUP BY project, stage)
+SELECT project, stage, status, updated_at, CASE WHEN coalesce(r, -1) > coalesce(p, -1) THEN ra END AS started_at, CASE WHEN coalesce(f, -1) > coalesce(r, -1) AND coalesce(f, -1) > coalesce(p, -1) THEN fa END AS finished_at FROM g""")
+def stage_state(spark, d):
+    return stages.stage_states(_stage_events(spark, d)).drop("message")
+
+
+@query(f"WITH {_STAGE}, g AS (SELECT project, stage, arg_max(status, seq) AS status FROM e GROUP BY project, stage) SELECT project, stage, CASE WHEN status = 'running' AND project % 2 = 1 THEN 'interrupted' ELSE status END AS status FROM g")
+def recovered_stages(spark, d):
+    s = stages.stage_states(_stage_events(spark, d))
+    live = s.select("project").distinct().where("project % 2 = 0")
+    return stages.recover_interrupted(s, live, F.lit(None).cast("timestamp")).select("project", "stage", "status")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY ALL")
+def telemetry_rollup(spark, d):
+    r = streaming.rollup(b.table(spark, d, "events"), "event_type", "value", width="1 hour")
+    return r.select("window_start", "window_end", "event_type", "n", *r6("mean_value"), "min_value", "max_value")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER q < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW q AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM k GROUP BY user_id, k.n""")
+def activity_sessions(spark, d):
+    return streaming.sessions(b.table(spark, d, "events"), "user_id", gap="30 minutes")
+
+
+@query("SELECT user_id AS task, event_id AS seq, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS progress FROM events")
+def monotone_progress(spark, d):
+    e = b.table(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), "value")
+    return streaming.monotone_progress(e).select("task", "seq", "progress")
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(text, 'th') THEN 'matching' WHEN contains(text, 'er') THEN 'mapping' ELSE 'other' END AS stage, contains(lower(text), 'out of memory') AS oom FROM conversations")
+def business_stage(spark, d):
+    c = b.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", scalars.stage_of(F.col("text"), [("th", "matching"), ("er", "mapping")], "other").alias("stage"), scalars.is_out_of_memory(F.col("text")).alias("oom"))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 50)::INTEGER AS at, 50 AS total FROM orders")
+def log_progress(spark, d):
+    line = F.concat(F.lit("Processing view "), F.pmod("o_orderkey", F.lit(50)).cast("string"), F.lit(" / 50 done"))
+    a, t = scalars.view_progress(line)
+    return b.table(spark, d, "orders").select("o_orderkey", a.alias("at"), t.alias("total"))
+
+
+@query("SELECT o_orderkey, 'gpu' AS name, (o_orderkey % 100)::DOUBLE AS utilization, round((o_custkey % 9000) / 1024, 3) AS used_gb, round(16384 / 1024, 3)::DOUBLE AS total_gb FROM orders")
+def telemetry_lines(spark, d):
+    line = F.concat_ws(", ", F.lit("gpu"), F.pmod("o_orderkey", F.lit(100)).cast("string"), F.pmod("o_custkey", F.lit(9000)).cast("string"), F.lit("16384"), F.lit("61"))
+    t = scalars.telemetry(line)
+    return b.table(spark, d, "orders").select("o_orderkey", t.alias("t")).select("o_orderkey", "t.name", "t.utilization", "t.used_gb", "t.total_gb")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'log' ELSE event_type END AS type, CASE WHEN event_id % 5 > 0 THEN value END AS value FROM events")
+def event_lines(spark, d):
+    e = b.table(spark, d, "events")
+    text = F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit("not json")).otherwise(F.to_json(F.struct(F.col("event_type").alias("type"), "value")))
+    lines = e.select("event_id", text.alias("value"))
+    return sources.parse_events(lines, "event_id").select("event_id", "type", "value")
+
+
+@query("SELECT p_brand AS path, max(p_partkey) AS opened FROM part GROUP BY p_brand ORDER BY opened DESC, path LIMIT 12")
+def recent_items(spark, d):
+    return sampling.recent_items(b.table(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("opened")))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def top_values(spark, d):
+    return sampling.top_values(b.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 25)
+
+
+@query("SELECT doc_id, substr(sha256(lower(source) || '|' || n_chars || '|' || doc_id), 1, 16) AS fingerprint FROM documents")
+def input_fingerprint(spark, d):
+    t = b.table(spark, d, "documents")
+    return t.select("doc_id", hashing.input_fingerprint(F.col("source"), F.col("n_chars"), F.col("doc_id"), 16).alias("fingerprint"))
+
+
+@query()
+def split_mix(spark, d):
+    return b.table(spark, d, "events").select("event_id", F.lower(F.hex(hashing.split_mix(F.col("event_id")))).alias("mixed"))

@@ -119,11 +119,12 @@ def read_fusion_names(spark: SparkSession, path: str) -> DataFrame:
 EVENT = "type string, time double, value double, message string, stage string, details string"
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
+def parse_events(lines: DataFrame, *carried: str) -> DataFrame:
     """JSON event lines (batch or stream): known fields; lines that are no event become log events with the raw text."""
-    e = lines.select("value", F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
+    e = lines.select(*carried, "value", F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
     bad = F.col("e.type").isNull()
     return e.select(
+        *carried,
         F.when(bad, "log").otherwise(F.col("e.type")).alias("type"), F.col("e.time").alias("time"), F.col("e.value").alias("value"), F.when(bad, F.col("value")).otherwise(F.col("e.message")).alias("message"), "e.stage"
     )
 
