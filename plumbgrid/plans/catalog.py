@@ -513,7 +513,7 @@ def best_model(spark, d):
     return gates.best_model(c)
 
 
-@query("""WITH t AS (SELECT sum(p_size * 100000000) AS total, count(*) AS n FROM part), s AS (SELECT greatest(8, least(48, 3221225472 // greatest(1, total // n))) AS size FROM t)
+@query("""WITH t AS (SELECT sum(p_size::BIGINT * 100000000) AS total, count(*) AS n FROM part), s AS (SELECT greatest(8, least(48, 3221225472 // greatest(1, total // n))) AS size FROM t)
 SELECT p_partkey AS seq, p_name AS name, ((row_number() OVER (ORDER BY p_partkey) - 1) // size)::BIGINT AS batch FROM part, s""")
 def fusion_batches(spark, d):
     p = b.table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), (F.col("p_size").cast("long") * 100_000_000).alias("map_bytes"))
@@ -727,7 +727,7 @@ def constraints_csv_layout(spark, d):
     return rows.select("type", "label", "point_id", F.col("metres").cast("double").alias("metres"), F.col("model_x").cast("long").alias("model_x"))
 
 
-_STAGE = "e AS (SELECT user_id AS project, event_type AS stage, CASE event_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' WHEN 4 THEN 'cancelled' ELSE 'running' END AS status, event_id AS seq, ts AS at FROM events)"
+_STAGE = "e AS (SELECT user_id AS project, event_type AS stage, CASE event_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' WHEN 4 THEN 'cancelled' ELSE 'running' END AS status, event_id AS seq, ts AS tm FROM events)"
 
 
 def _stage_events(spark, d):
@@ -736,8 +736,8 @@ def _stage_events(spark, d):
     return e.select(F.col("user_id").alias("project"), F.col("event_type").alias("stage"), status.alias("status"), F.col("event_id").alias("seq"), F.col("ts").alias("at"))
 
 
-@query(f"""WITH {_STAGE}, g AS (SELECT project, stage, arg_max(status, seq) AS status, arg_max(at, seq) AS updated_at, max(seq) FILTER (status = 'running') AS r, max(seq) FILTER (status = 'pending') AS p, max(seq) FILTER (status IN ('completed', 'failed', 'cancelled')) AS f,
- arg_max(at, seq) FILTER (status = 'running') AS ra, arg_max(at, seq) FILTER (status IN ('completed', 'failed', 'cancelled')) AS fa FROM e GROUP BY project, stage)
+@query(f"""WITH {_STAGE}, g AS (SELECT project, stage, arg_max(status, seq) AS status, arg_max(tm, seq) AS updated_at, max(seq) FILTER (status = 'running') AS r, max(seq) FILTER (status = 'pending') AS p, max(seq) FILTER (status IN ('completed', 'failed', 'cancelled')) AS f,
+ arg_max(tm, seq) FILTER (status = 'running') AS ra, arg_max(tm, seq) FILTER (status IN ('completed', 'failed', 'cancelled')) AS fa FROM e GROUP BY project, stage)
 SELECT project, stage, status, updated_at, CASE WHEN coalesce(r, -1) > coalesce(p, -1) THEN ra END AS started_at, CASE WHEN coalesce(f, -1) > coalesce(r, -1) AND coalesce(f, -1) > coalesce(p, -1) THEN fa END AS finished_at FROM g""")
 def stage_state(spark, d):
     return stages.stage_states(_stage_events(spark, d)).drop("message")
