@@ -93,10 +93,10 @@ def releasable_maps(blocks: DataFrame, finished: int) -> DataFrame:
 
 def read_name_source_pairs(lines: DataFrame) -> DataFrame:
     """``pos, value`` lines of a source configuration -> ``name, sources``; an odd number of lines is refused."""
-    clean = lines.where(F.trim("value") != "").select("pos", F.trim("value").alias("value"))
+    clean = lines.where(F.trim("value") != "").select(F.col("pos").alias("line"), F.trim("value").alias("value"))
     from plumbgrid.operators.captures import positions
 
-    n = positions(clean, "pos").select("value", "pos").withColumns({"row": F.floor(F.col("pos") / 2), "side": F.pmod("pos", F.lit(2))})
+    n = positions(clean, "line").select("value", "pos").withColumns({"row": F.floor(F.col("pos") / 2), "side": F.pmod("pos", F.lit(2))})
     if clean.count() % 2:
         raise ValueError("a reference without sources")
     g = n.groupBy("row").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("name"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("s"))

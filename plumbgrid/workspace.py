@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Rows of long texts go to Python workers in batches of about ``size`` bytes, unless the session says otherwise."""
+    if spark.conf.get(_BATCH, "").rstrip("b") in ("", str(64 << 20)):
+        spark.conf.set(_BATCH, str(size))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -38,6 +47,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.root)
 
