@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbgrid.workspace import bound_batches
+
 from .text import CACHES, claim, pick, slices, to_bytes, trim
 
 LEAF_BYTES = 32 << 10
@@ -218,6 +220,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, full: bool = True, leaf_b
     parsed = json.loads(spec)
     if parsed.get("decoder") or '"behavior": "Removed"' not in json.dumps(parsed.get("pre_tokenizer")):
         raise ValueError("a tokenizer that drops white space and has no decoder is needed")
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
     d = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(d.dtypes)["doc_id"]
