@@ -29,7 +29,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Rows of long texts go to Python workers in batches of about ``size`` bytes, unless the session says otherwise."""
-    if spark.conf.get(_BATCH, "").rstrip("b") in ("", str(64 << 20)):
+    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
         spark.conf.set(_BATCH, str(size))
 
 
