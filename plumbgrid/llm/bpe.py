@@ -188,6 +188,12 @@ def _codec(spec: str) -> Codec:
     return _CODECS[key]
 
 
+def _done() -> None:
+    """Idle workers outlive a task, so tokenizer and word table go with it; the next task learns its words anew."""
+    _CODECS.clear()
+    trim()
+
+
 def _row(ids: bytes, decoded: bytes, full: bool) -> tuple:
     out = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
     return (*out, np.frombuffer(ids, dtype="<i4"), decoded) if full else out
@@ -231,7 +237,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, full: bool = True, leaf_b
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
                 yield _emit([b.column("doc_id")], ["doc_id"], [_row(*codec.leaf(t), full) for t in to_bytes(b.column("text"))], full)
-        trim()
+        _done()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -249,7 +255,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, full: bool = True, leaf_b
             for b in slices(whole, "text", 1 << 20):
                 spans = [codec.spans(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.binary())], names=["doc_id", "h", "piece", "text", "spans"])
-        trim()
+        _done()
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
@@ -265,7 +271,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, full: bool = True, leaf_b
                 ids = codec.tree("".join(texts), cuts, own)[:, 0]
                 row = _row(ids.astype("<u4").tobytes(), codec.decode(ids), full)
                 yield _emit([b.column("doc_id").slice(i, 1), b.column("h").slice(i, 1)], ["doc_id", "h"], [row], full)
-        trim()
+        _done()
 
     small = F.octet_length("text") <= leaf_bytes
     direct = d.where(small).mapInArrow(short, f"doc_id {kind}, {ddl}")
