@@ -110,7 +110,7 @@ def test_exports(spark, tmp_path):
     made = sinks.export_project(df, str(tmp_path / "out"), doc, calibrated=False)
     assert "points.las" not in made and (tmp_path / "out/export.zip").exists()
     page = (tmp_path / "out/report.html").read_text()
-    assert "&lt;b&gt;" in page and "Control points" in page and "Check points" not in page
+    assert "&lt;b&gt;" in page and "<h2>Control points" in page and "<h2>Check points" not in page
     assert sinks.write_las(df, str(tmp_path / "a.las")) == 10
     raw = (tmp_path / "a.las").read_bytes()
     assert raw[:4] == b"LASF" and len(raw) == 227 + 340 and struct.unpack("<i", raw[227 + 34 : 227 + 38])[0] == 1000
