@@ -76,15 +76,24 @@ def unique_names(records: DataFrame) -> DataFrame:
     return records.join(at, "seq").select("seq", F.concat(F.lpad(F.col("pos").cast("string"), 6, "0"), F.lit("_"), F.col("name")).alias("name"))
 
 
-def _positions(df: DataFrame, *order: str) -> DataFrame:
-    """0-based ``pos`` in a global order without one task for all rows: range partitions, counted, then numbered."""
+def sum_before(df: DataFrame, value: Column, name: str, *order: str) -> DataFrame:
+    """``name``: sum of ``value`` over all rows before each one in a global order, without one task for all rows.
+
+    Rows go to range partitions, whose sums are added up (one row per partition) and put ahead of sums within each.
+    """
     ws = Workspace(df.sparkSession, "positions")
-    parted = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
+    parted = df.withColumn("_v", value.cast("long")).repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
     parted = ws.keep(parted, "parted")
-    sizes = parted.groupBy("_p").agg(F.count("*").alias("c"))
-    ahead = sizes.select("_p", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return parted.withColumn("_i", inside).join(F.broadcast(ahead), "_p").select(*df.columns, (F.col("_i") + F.col("ahead")).alias("pos"))  # a row per partition
+    sizes = parted.groupBy("_p").agg(F.sum("_v").alias("c"))
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("_p", F.coalesce(F.sum("c").over(back(Window.orderBy("_p"))), F.lit(0)).alias("ahead"))
+    inside = F.coalesce(F.sum("_v").over(back(Window.partitionBy("_p").orderBy(*order))), F.lit(0))
+    return parted.withColumn("_i", inside).join(F.broadcast(ahead), "_p").select(*df.columns, (F.col("_i") + F.col("ahead")).alias(name))
+
+
+def _positions(df: DataFrame, *order: str) -> DataFrame:
+    """0-based ``pos`` in a global order."""
+    return sum_before(df, F.lit(1), "pos", *order)
 
 
 def positions(df: DataFrame, *order: str) -> DataFrame:
@@ -157,9 +166,11 @@ def segments(frames: DataFrame, breaks: DataFrame, partition: list[str] | None =
     """Runs of frames between breaks: ``segment, first, last, n``.  A break after frame ``seq`` starts a new run."""
     by = partition or []
     marked = frames.select(*by, "seq").join(breaks.select(*by, "seq", F.lit(1).alias("b")), [*by, "seq"], "left")
-    order = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    number = F.coalesce(F.sum(F.coalesce("b", F.lit(0))).over(order), F.lit(0)).cast("long")
-    runs = marked.withColumn("segment", number)
+    if by:
+        order = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        runs = marked.withColumn("segment", F.coalesce(F.sum(F.coalesce("b", F.lit(0))).over(order), F.lit(0)).cast("long"))
+    else:
+        runs = sum_before(marked, F.coalesce("b", F.lit(0)), "segment", "seq")
     return runs.groupBy(*by, "segment").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
 
 

@@ -168,11 +168,11 @@ def near_duplicate_lookback(spark, d):
     return captures.near_duplicates(c, lambda x, y: F.bit_count(x.bitwiseXOR(y)), partition=["camera"])
 
 
-@query("""WITH h AS (SELECT doc_id, md5(text) AS a, lag(md5(text)) OVER (ORDER BY doc_id) AS b FROM documents)
+@query("""WITH h AS (SELECT doc_id, md5(text) AS a, lag(md5(text)) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents)
 SELECT doc_id, CASE WHEN b IS NULL THEN 64 ELSE (bit_count(xor(('0x' || a[1:8])::BIGINT, ('0x' || b[1:8])::BIGINT)) + bit_count(xor(('0x' || a[9:16])::BIGINT, ('0x' || b[9:16])::BIGINT)))::INTEGER END AS bits FROM h""")
 def hash_distance(spark, d):
-    t = b.table(spark, d, "documents").select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 16).alias("a"))
-    before = F.lag("a").over(Window.orderBy("doc_id"))  # a capture sequence is one ordered list
+    t = b.table(spark, d, "documents").select("doc_id", "source", F.substring(F.md5(F.col("text").cast("binary")), 1, 16).alias("a"))
+    before = F.lag("a").over(Window.partitionBy("source").orderBy("doc_id"))
     return t.select("doc_id", hashing.hash_distance(F.col("a"), before).alias("bits"))
 
 
