@@ -181,3 +181,24 @@ def test_stage_recovery(spark):
         stages.check_statuses(e.withColumn("status", F.lit("odd")))
     back = stages.invalidated(stages.stage_states(e), {"a": ["b"], "b": ["d"]}, ["a"])
     assert {r["stage"]: r["status"] for r in back.collect()} == {"a": "running", "b": "pending", "c": "running", "d": "pending"}
+
+
+def test_sources_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    sets = {f"n{i:02d}": {p for p in range(40) if rnd.random() < 0.04} for i in range(30)}
+    names = list(sets)
+    stable = {n for i, n in enumerate(names) if i % 4 == 0}
+    obs = spark.createDataFrame([(n, p) for n, s in sets.items() for p in s], "name string, point_id int")
+    src = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+    got = covisibility.source_selection(obs, src, src, spark.createDataFrame([(n,) for n in stable], "name string"), 10)
+    have = {}
+    for r in got.orderBy("reference", "rank").collect():
+        have.setdefault(r["reference"], []).append((r["source"], r["shared"]))
+    want = {}
+    for i, ref in enumerate(names):
+        if sets[ref]:
+            c = sorted(((n in stable, len(sets[ref] & sets[n]), -abs(i - j), n) for j, n in enumerate(names) if n != ref), reverse=True)
+            want[ref] = [(n, s) for _, s, _, n in c[:10]]
+    assert have == want
