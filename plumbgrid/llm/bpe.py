@@ -49,6 +49,7 @@ class Codec:
         tokens = [self.t.id_to_token(i) or "" for i in range(size)]
         self.pieces = [b" " + x.encode() for x in tokens]
         self.ends_word = np.array([bool(suffix) and x.endswith(suffix) for x in tokens])
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(spec).get("normalizer"))
         self.young: dict[bytes, tuple[bytes, bytes]] = {}
         self.old: dict[bytes, tuple[bytes, bytes]] = {}
 
@@ -70,36 +71,57 @@ class Codec:
             ids = e.ids
             owner = np.searchsorted(begins, np.array([a for a, _ in e.offsets], dtype=np.int64), side="right") - 1
             bounds = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+            packed, pieces = np.array(ids, dtype="<u4").tobytes(), self.pieces
             for k, w in enumerate(unknown[at:stop]):
-                own = ids[bounds[k] : bounds[k + 1]]
-                found[w] = (np.array(own, dtype="<u4").tobytes(), b"".join([self.pieces[i] for i in own]))
+                a, b = bounds[k], bounds[k + 1]
+                found[w] = (packed[4 * a : 4 * b], b"".join([pieces[i] for i in ids[a:b]]))
             at = stop
         return found
 
     def leaf(self, text: bytes) -> tuple[bytes, bytes]:
-        """Little-endian ids and the decoded text of one piece, through the word table."""
-        words = text.split()
+        """Little-endian ids and the decoded text of one piece, through the word table.
+
+        A-Z are lowered first, as the tokenizer does later anyway, unless the text could hold a special token.  A word that
+        is a letter or digit and then only points, commas and the like is put together from both parts, which the
+        tokenizer never joins.
+        """
+        words = (text if b"<|" in text or not self.lowers else text.lower()).split()
         if len(self.young) > TABLE:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        unknown = [w for w in set(words) if w not in young]
-        if unknown:
-            extra: dict[bytes, tuple[bytes, bytes]] = {}
-            fresh = []
-            for w in unknown:
+        extra: dict[bytes, tuple[bytes, bytes]] = {}
+        fresh: dict[bytes, None] = {}
+        parted: list[tuple[bytes, bytes, bytes]] = []
+
+        def want(w: bytes) -> None:
+            if w not in young:
                 v = old.get(w)
                 if v is None:
-                    fresh.append(w)
+                    fresh[w] = None
                 else:
                     young[w] = v
-            for w, v in self._learn(fresh).items():
-                (young if len(w) <= LONGEST_KEPT else extra)[w] = v
-            if extra:
-                values = [young.get(w) or extra[w] for w in words]
+
+        for w in set(words):
+            if w in young:
+                continue
+            v = old.get(w)
+            if v is not None:
+                young[w] = v
+                continue
+            stem = w.rstrip(b".,;:!?")
+            if len(stem) < len(w) and stem[-1:].isalnum():
+                want(stem)
+                want(w[len(stem) :])
+                parted.append((w, stem, w[len(stem) :]))
             else:
-                values = [young[w] for w in words]
-        else:
-            values = [young[w] for w in words]
+                fresh[w] = None
+        if fresh:
+            for w, v in self._learn(list(fresh)).items():
+                (young if len(w) <= LONGEST_KEPT else extra)[w] = v
+        for w, stem, rest in parted:
+            a, b = young.get(stem) or extra[stem], young.get(rest) or extra[rest]
+            (young if len(w) <= LONGEST_KEPT else extra)[w] = (a[0] + b[0], a[1] + b[1])
+        values = [young.get(w) or extra[w] for w in words] if extra else [young[w] for w in words]
         return b"".join([v[0] for v in values]), b"".join([v[1] for v in values])[1:]
 
     def spans(self, text: str) -> np.ndarray:

@@ -92,7 +92,7 @@ def codec():
         return bpe.Codec(f.read())
 
 
-PIECES = ["a", "the", "ing", "s", "'s", "'", "''", " ", "é", "́", "1", "!", "<|endoftext|>", "<|endo", "|>", "Σ", "İ", "日本", "\u0085", "😀", "tion", "'ll", "...", "\n", "\t"]
+PIECES = ["a", "The", ".", ",", ";!", "the", "ing", "s", "'s", "'", "''", " ", "é", "́", "1", "!", "<|endoftext|>", "<|endo", "<|ENDOFTEXT|>", "|>", "Σ", "İ", "日本", "\u0085", "😀", "tion", "'ll", "...", "\n", "\t"]
 
 
 @pytest.mark.parametrize("seed", range(6))
