@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbgrid.functions.hashing import split_mix, unsigned_mod, unsigned_order, word, wrap_add
+from plumbgrid.operators.captures import positions
 from plumbgrid.operators.filters import XYZ, finite_points
 from plumbgrid.operators.quantiles import exact_quantiles
 from plumbgrid.workspace import Workspace
@@ -77,8 +78,7 @@ def spatially_balanced(points: DataFrame, target: int, index: str = "idx") -> Da
         return good
     probe = good
     if n > PROBE:  # evenly spaced by position, for robust bounds only
-        ranked = good.select(*XYZ, (F.row_number().over(Window.orderBy(index)) - 1).alias("r")) if n <= 10 * PROBE else good.select(*XYZ, F.col(index).alias("r"))
-        probe = ranked.where(F.pmod("r", F.lit(max(1, n // PROBE))) == 0)
+        probe = positions(good.select(index, *XYZ), index).where(F.pmod("pos", F.lit(max(1, n // PROBE))) == 0).select(*XYZ)
     low, high = exact_quantiles(probe, list(XYZ), 0.005), exact_quantiles(probe, list(XYZ), 0.995)
     cells: list[Column] = []
     for c, a, b in zip(XYZ, low, high):

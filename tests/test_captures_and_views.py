@@ -167,6 +167,14 @@ def test_previews_are_exact_spread_and_repeatable(spark):
     assert sampling.spatially_balanced(same, 10).count() == 10
 
 
+def test_balanced_bounds_do_not_depend_on_the_index_values(spark, monkeypatch):
+    """Only odd ids and an even step: the probe goes by rank, whatever the number of points."""
+    monkeypatch.setattr(sampling, "PROBE", 100)
+    odd = spark.range(2_000).select((F.col("id") * 2 + 1).alias("idx"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
+    got = [r["x"] for r in sampling.spatially_balanced(odd, 500).collect()]
+    assert len(set(got)) == 500 and max(got) - min(got) > 1_800
+
+
 def test_even_places(spark):
     assert sorted(r["idx"] for r in sampling.evenly_spaced(spark, 10, 3).collect()) == [0, 4, 9]
     assert [r["idx"] for r in sampling.evenly_spaced(spark, 9, 1).collect()] == [4]
