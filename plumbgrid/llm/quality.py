@@ -187,23 +187,60 @@ def outlier_distances(stats: DataFrame, support: float, steps: int, ws: Workspac
     return ws.keep(_estimates(used.withColumn("start", F.lit(0)), share).drop("start", "logdet"), "final")
 
 
+#: Who judges a document: the first of these that has an estimate.
+JUDGES = ("group", "language", "source", "all")
+
+
+def _home(judge: str) -> tuple[Column, Column]:
+    """Group key of a row in the table of all judges: the judge with its value, and the source within a group."""
+    value = {"group": F.col("lang"), "language": F.col("lang"), "source": F.col("source"), "all": F.lit(None)}[judge].cast("string")
+    within = F.col("source").cast("string") if judge == "group" else F.lit(None).cast("string")
+    return F.concat(F.lit(f"{judge}:"), F.coalesce(F.concat(F.lit("="), value), F.lit(""))), within
+
+
+def _judges(stats: DataFrame, support: float, steps: int, min_group: int, ws: Workspace) -> DataFrame:
+    """``stats`` (rows that passed the base rules) -> for each group the estimate that judges it and its ``judged_by``.
+
+    That is the first in ``JUDGES`` with ``min_group`` concentrated documents; groups without any are absent.  All
+    judges are estimated in the same passes, in which each row takes part once for each of them.
+    """
+    homes = F.array(*[F.struct(lang.alias("lang"), source.alias("source")) for lang, source in map(_home, JUDGES)])
+    every = stats.select(*X, F.explode(homes).alias("home")).select("home.lang", "home.source", *X)
+    est = outlier_distances(every, support, steps, ws).where(F.col("n_used") >= min_group)
+    found = stats.select(*KEY).distinct()
+    for k in JUDGES:
+        lang, source = _home(k)
+        e = est.where(F.startswith("lang", F.lit(f"{k}:"))).select(F.col("lang").alias(f"l_{k}"), F.col("source").alias(f"s_{k}"), F.struct(*_PARAMS).alias(f"e_{k}"))
+        found = found.join(e, (lang == F.col(f"l_{k}")) & source.eqNullSafe(F.col(f"s_{k}")), "left").drop(f"l_{k}", f"s_{k}")
+    first = F.coalesce(*[F.when(F.col(f"e_{k}").isNotNull(), F.struct(F.col(f"e_{k}").alias("e"), F.lit(k).alias("judged_by"))) for k in JUDGES])
+    found = found.select(*KEY, first.alias("f")).where("f is not null")
+    return ws.keep(found.select(*KEY, *[F.col(f"f.e.{c}").alias(c) for c in _PARAMS], F.col("f.judged_by").alias("judged_by")), "judges")
+
+
 def quality(docs: DataFrame, support: float = 0.75, steps: int = 5, tail: float = 1e-6, min_group: int = 30) -> DataFrame:
-    """``docs(doc_id, text, lang, source)`` -> statistics, ``base_failed``, ``distance`` and ``kept``, a row for each row.
+    """``docs(doc_id, text, lang, source)`` -> statistics, ``base_failed``, ``distance``, ``kept`` and who judged, a row for each row.
 
     ``base_failed``: fewer than 10 words, or more than 20 percent of the words in repeated windows.  Others are kept
-    unless their squared distance (``distance``, null where there is no estimate) exceeds the chi-square quantile of
-    ``1 - tail``.  Groups with fewer than ``min_group`` concentrated documents have no estimate and keep all.  Null
-    languages and sources form groups of their own; null texts have no words and fail.  Rows with equal ids are judged
-    each by itself.  Other columns are ignored.  No rows give no rows.
+    unless their squared distance exceeds the chi-square quantile of ``1 - tail``.  It is the one from the estimate of
+    their group (``distance``) or, in groups with fewer than ``min_group`` concentrated documents, from that of all
+    documents of their language, else of their source, else of the whole table (``pool_distance``); ``judged_by`` says
+    which (group, language, source, all).  The other distance is null, and all three are if the whole table has fewer
+    than ``min_group``, which is too few to call any document an outlier.  Null languages and sources form groups of
+    their own; null texts have no words and fail.  Rows with equal ids are judged each by itself.  Other columns are
+    ignored.  No rows give no rows.
     """
     ws = Workspace(docs.sparkSession, "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     s = text_statistics(docs, *KEY).withColumn("base_failed", failed)
     s = ws.keep(s.select("*", *[c.alias(x) for c, x in zip(_transformed(), X)]), "stats")
-    est = outlier_distances(s.where("not base_failed"), support, steps, ws).where(F.col("n_used") >= min_group)
-    g = est.select(*[F.col(k).alias(f"g_{k}") for k in KEY], *_PARAMS)
+    est = _judges(s.where("not base_failed"), support, steps, min_group, ws)
+    g = est.select(*[F.col(k).alias(f"g_{k}") for k in KEY], "judged_by", *_PARAMS)
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     small = est.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    j = s.join(F.broadcast(g) if small else g, on, "left").withColumn("distance", _distance())
-    keep = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= _chi2_quantile(1 - tail, P))
-    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", keep.alias("kept"))
+    j = s.join(F.broadcast(g) if small else g, on, "left").withColumn("d2", _distance())
+    keep = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= _chi2_quantile(1 - tail, P))
+    own = F.col("judged_by") == "group"
+    return j.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.when(own, F.col("d2")).alias("distance"), keep.alias("kept"), F.when(~own, F.col("d2")).alias("pool_distance"), "judged_by",
+    )

@@ -65,6 +65,25 @@ def test_outliers_go_and_groups_are_separate(spark):
     assert r[3000]["kept"] and r[3000]["distance"] is None and r[3001]["kept"]
 
 
+def test_small_groups_are_judged_by_pools(spark):
+    """Groups too small for an estimate: their language judges, else their source, else all documents."""
+    rnd = random.Random(2)
+    bad = lambda: " ".join(w + "$$$" for w in prose(rnd, 150).split())
+    rows = [(i, prose(rnd, rnd.randrange(50, 400)), "en", f"s{i % 20}") for i in range(200)]
+    rows += [(300 + i, prose(rnd, rnd.randrange(50, 400)), f"l{i % 20}", "web") for i in range(200)]
+    rows += [(1000, bad(), "en", "s3"), (1001, bad(), "l5", "web"), (1002, bad(), "zz", "lone"), (1003, bad(), None, None)]
+    rows += [(2000, prose(rnd, 100), "en", "s3"), (2001, prose(rnd, 100), "l5", "web"), (2002, prose(rnd, 100), "zz", "lone"), (2003, prose(rnd, 100), None, None)]
+    schema = "doc_id long, text string, lang string, source string"
+    r = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(rows, schema)).collect()}
+    assert len(r) == len(rows) and all(r[i]["kept"] for i in r if not 1000 <= i < 1004)
+    for k, judge in enumerate(["language", "source", "all", "all"]):
+        for i in (1000 + k, 2000 + k):
+            assert r[i]["judged_by"] == judge and r[i]["distance"] is None and r[i]["pool_distance"] is not None
+        assert not r[1000 + k]["kept"]
+    few = quality.quality(spark.createDataFrame(rows[:20], schema)).collect()
+    assert all(x["kept"] and x["judged_by"] is None for x in few)
+
+
 def test_estimate_is_near_the_bulk(spark):
     """Concentration ends at a subset whose determinant no step from it lowers."""
     from plumbgrid.workspace import Workspace
