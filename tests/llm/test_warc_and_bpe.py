@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -92,7 +93,7 @@ def codec():
         return bpe.Codec(f.read())
 
 
-PIECES = ["a", "The", ".", ",", ";!", "the", "ing", "s", "'s", "'", "''", " ", "é", "́", "1", "!", "<|endoftext|>", "<|endo", "<|ENDOFTEXT|>", "|>", "Σ", "İ", "日本", "\u0085", "😀", "tion", "'ll", "...", "\n", "\t"]
+PIECES = ["a", "The", ".", ",", ";!", "the", "ing", "s", "'s", "'", "''", " ", "é", "́", "1", "!", "<|endoftext|>", "<|endo", "<|ENDOFTEXT|>", "|>", "Σ", "İ", "日本", "\u0085", "😀", "tion", "'ll", "...", "\n", "\t", "J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y", "\u030a", "É", "ñ", "Ü", "×", "²", "'S", "9"]
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -103,15 +104,36 @@ def test_tree_and_leaf_equal_the_library(library, codec, seed, monkeypatch):
         some = rnd.sample(PIECES, rnd.choice([2, 4, 8, len(PIECES)]))
         text = "".join(rnd.choice(some) for _ in range(rnd.choice([1, 30, 300, 900])))
         want = library.encode(text, add_special_tokens=False).ids
-        cuts = bpe.halves(text, rnd.choice([4, 16, 200]))
-        leaves = []
-        for a, b in zip(cuts, cuts[1:]):
-            s = codec.spans(text[a:b])
-            s[:, 1:] += a
-            leaves.append(s)
-        assert codec.tree(text, cuts, leaves)[:, 0].tolist() == want
-        ids, decoded = codec.leaf(text.encode())
-        assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == library.decode(want, skip_special_tokens=False)
+        raw = text.encode()
+        spans = codec.grown(raw, rnd.choice([4, 16, 200]))
+        assert spans[:, 0].tolist() == want
+        for ids in (codec.leaf(raw), codec.encode(raw, 50)):
+            assert np.frombuffer(ids, "<u4").tolist() == want and codec.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("text", ["J\u030c x", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "A\u0591\u030a B", "Aé", "a\u0344b A\u0344B"])
+def test_capitals_with_combining_marks(library, codec, text):
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(codec.leaf(text.encode()), "<u4").tolist() == want
+    assert codec.grown(text.encode(), 3)[:, 0].tolist() == want
+
+
+def test_other_patterns_are_left_to_the_library(library):
+    """A tokenizer that keeps letters and marks together must not be split by the known pattern."""
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        spec = json.loads(f.read())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    own = Tokenizer.from_str(json.dumps(spec))
+    codec = bpe.Codec(json.dumps(spec))
+    for text in ("Word, word. it's 10% a.b", "x" * 50 + ".,;" * 20):
+        assert np.frombuffer(codec.encode(text.encode(), 8), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_most_of_the_text_goes_through_the_tree(data, spark):
+    sizes = [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").selectExpr("octet_length(text)").where("text is not null").collect()]
+    assert sum(s for s in sizes if s > bpe.LEAF_BYTES) > 0.5 * sum(sizes)
 
 
 def rows_of(library, texts):
@@ -132,7 +154,7 @@ def test_bpe_edges(spark, library):
     long = "unsplit" * 3000
     texts = [(1, None), (2, ""), (2, "same id"), (3, long), (3, long), (None, "null id " * 3000), (4, " \u0085 "), (5, "é" * 9000 + " tail")]
     df = spark.createDataFrame([(i, t, "h", 0) for i, t in texts], "doc_id long, text string, h string, piece int")
-    got = bpe.encode_texts(df, tokenizer_file(), leaf_bytes=1000).collect()
+    got = bpe.encode_texts(df, tokenizer_file(), leaf_bytes=100, spread_bytes=1000).collect()
     assert sorted((tuple(r)[:4] for r in got), key=str) == rows_of(library, texts)
     assert all(len(r["ids"]) == r["n_tokens"] and hashlib.sha256(bytes(r["decoded"])).hexdigest() == r["decoded_sha256"] for r in got)
     assert bpe.encode_texts(df.limit(0), tokenizer_file()).count() == 0
