@@ -99,8 +99,9 @@ class Codec:
         self.old: dict[bytes, bytes] = {}
         #: places of the tokens in words, in bytes, where they do not follow from the tokens' lengths
         self.places: dict[bytes, np.ndarray] = {}
+        self.long_places: dict[bytes, np.ndarray] = {}  # of the piece at hand
 
-    def _learn(self, unknown: list[bytes], found: dict[bytes, bytes]) -> None:
+    def _learn(self, unknown: list[bytes], found: dict[bytes, bytes], places: dict[bytes, np.ndarray]) -> None:
         """Encode distinct words, joined by spaces, and part the ids by the words' places."""
         at = 0
         while at < len(unknown):
@@ -121,7 +122,7 @@ class Codec:
                 if len(raw) != len(w):  # from characters to bytes
                     place = np.cumsum([0] + [len(c.encode()) for c in w])[np.minimum(place, len(w))]
                 found[raw] = packed[4 * a : 4 * b]
-                self.places[raw] = place.astype(np.int32)
+                places[raw] = place.astype(np.int32)
             at = stop
 
     def _spell(self, text: str) -> bytes:
@@ -164,8 +165,8 @@ class Codec:
                     v = self._spell(t)
             (young if len(w) <= LONGEST_KEPT else extra)[w] = v
         if hard:
-            self._learn([w for w in hard if len(w) <= LONGEST_KEPT], young)
-            self._learn([w for w in hard if len(w) > LONGEST_KEPT], extra)
+            self._learn([w for w in hard if len(w) <= LONGEST_KEPT], young, self.places)
+            self._learn([w for w in hard if len(w) > LONGEST_KEPT], extra, self.long_places)
         return [young.get(w) or extra.get(w, b"") for w in words] if extra else list(map(young.__getitem__, words))
 
     def leaf(self, text: bytes) -> bytes:
@@ -175,6 +176,7 @@ class Codec:
     def spans(self, text: bytes) -> np.ndarray:
         """Rows (id, start, end) of a piece, in bytes."""
         words = text.split()
+        self.long_places = {}
         some = self.entries(words)
         ids = np.frombuffer(b"".join(some), dtype="<u4")
         counts = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) >> 2
@@ -187,11 +189,9 @@ class Codec:
         out[:, 0] = ids
         out[:, 1] = upto[:-1] + np.repeat(begins - upto[last - counts], counts)
         out[:, 2] = out[:, 1] + size
-        places = self.places
-        for k in [k for k, w in enumerate(words) if w in places] if places else ():
-            out[last[k] - counts[k] : last[k], 1:] = places[words[k]] + begins[k]
-        for w in [w for w in places if len(w) > LONGEST_KEPT]:
-            del places[w]
+        for places in filter(None, (self.places, self.long_places)):
+            for k in [k for k, w in enumerate(words) if w in places]:
+                out[last[k] - counts[k] : last[k], 1:] = places[words[k]] + begins[k]
         return out
 
     def _settled(self, a: np.ndarray, b: np.ndarray, tail: bool) -> tuple[int, int] | None:
