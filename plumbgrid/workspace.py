@@ -60,6 +60,16 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
+    def size(self, name: str) -> int:
+        """Bytes of a kept table as written."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        fs = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(target).getLength())
+
+    def parts(self, size: int, each: int = 16 << 20) -> int:
+        """Partitions for a shuffle of ``size`` bytes, so that a task's share does not grow with the input."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-size // each))
+
     def release(self) -> None:
         """Let the driver notice that finished shuffles are unreferenced, so that their files go at once."""
         for _ in range(2):  # a first collection frees what refers to the shuffles, a second the shuffles themselves
