@@ -36,24 +36,114 @@ def test_query_base_and_gain(spark, data):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def tokens_of(t):
+    return (t or "").encode().lower().split()
+
+
+def brute_scores(rows, model, classes):
+    """Scores from the model's word classes alone: every count is made again from the texts."""
+    kind = {w: int(k) for w, k in zip(model.hot, model.own)} | {bytes(r["w"]): r["k"] for r in model.rare.collect()}
+    seen = collections.Counter()
+    pairs = np.zeros((classes + 1, classes + 1))
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            w = tokens_of(t)
+            seen.update(w)
+            c = [classes, *[kind[x] for x in w], classes]
+            np.add.at(pairs, (c[:-1], c[1:]), 1)
+    assert set(seen) == set(kind)  # every training word has a class
+    once = np.bincount([kind[w] for w, c in seen.items() if c == 1], minlength=classes)
+    assert once[model.unknown] == once.max()
+    mass = np.zeros(classes)
+    for w, c in seen.items():
+        mass[kind[w]] += c + 0.1
+    mass[model.unknown] += 0.1
+    emit = lambda w: (seen[w] + 0.1) / mass[kind.get(w, model.unknown)]
+    prior = np.where(np.append(mass > 0, True), pairs.sum(axis=0) + 0.1, 0)
+    prior /= prior.sum()
+    trans = 0.75 * (pairs + 5.0 * prior) / (pairs.sum(axis=1, keepdims=True) + 5.0) + 0.25 * prior
+    # the next token after any class: the end, every word that was seen and one that was not
+    share = np.bincount([*[kind[w] for w in seen], model.unknown], weights=[*[emit(w) for w in seen], emit(b"\0")], minlength=classes)
+    assert np.allclose(trans[:, :classes] @ share + trans[:, classes], 1.0)
+    out = []
+    for _, t in rows:
+        w = tokens_of(t)
+        c = [classes, *[kind.get(x, model.unknown) for x in w], classes]
+        out.append(sum(math.log10(emit(x)) for x in w) + sum(math.log10(trans[x, y]) for x, y in zip(c, c[1:])))
+    return out
+
+
 @pytest.mark.parametrize("hot", [0, 3, 1000])
-def test_edges_and_small_tables(spark, hot):
-    rows = [(1, None), (2, ""), (3, "A b a"), (4, "b c é"), (5, "zz " * 500), (None, "a b"), (36, "never seen"), (29, "a b c")]
+def test_edges_small_tables_and_brute_force_scores(spark, hot):
+    rows = [(1, None), (2, ""), (3, "A b a"), (4, "b c é"), (5, "zz " * 500), (None, "a b"), (36, "never seen"), (29, "a b c"), (7, "r r s r t u v"), (8, "y" * 100 + " a"), (8, "a b a"), (46, "s t r " * 3)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, row int, held_out string")
-    got = {r["doc_id"]: r for r in brown.score_texts(df, hot_words=hot, classes=3, rounds=2).collect()}
-    check_base(rows, got)
-    assert all(r["score"] < 0 and r["perplexity"] > 1 for r in got.values())
+    got = brown.score_texts(df, hot_words=hot, classes=3, sweeps=2).collect()
+    check_base_rows(rows, got)
+    assert all(r["score"] < 0 and r["perplexity"] > 1 for r in got)
+    model, _, _ = brown.fit(df, Workspace(spark, "t"), hot, 3, 2)
+    want = sorted(zip([str(i) for i, _ in rows], brute_scores(rows, model, 3)))
+    assert [x for x, _ in want] == sorted(str(r["doc_id"]) for r in got)
+    for (_, a), b in zip(want, sorted((str(r["doc_id"]), r["score"]) for r in got)):
+        assert b[1] == pytest.approx(a, rel=1e-9)
     assert brown.score_texts(df.limit(0)).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
-    """Of all one-word continuations, a new word included, at the start of a text."""
-    rows = [(i, random.Random(i).choice(["a b", "b a a", "c d", "d"])) for i in range(60)]
-    probe = [(10_000 + k, w) for k, w in enumerate(["a", "b", "c", "d", "never"])]
-    probe = [(i, w) for i, w in probe]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    full = brown.score_texts(df, hot_words=2, classes=2, rounds=2)
-    assert full.where("score > 0").count() == 0 and len(probe) == 5
+def check_base_rows(rows, got):
+    """As ``check_base`` for rows whose ids repeat: by id and number of tokens."""
+    have = {(r["doc_id"], r["n_tokens"]): r for r in got}
+    for i, t in rows:
+        r = have[(i, len(tokens_of(t)) + 1)]
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 10 == 0)
+    c = collections.Counter(w for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10 for w in tokens_of(t))
+    ends = sum(i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows)
+    n, v = sum(c.values()) + ends, len(c) + 1
+    for i, t in rows:
+        r = have[(i, len(tokens_of(t)) + 1)]
+        want = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens_of(t)) + math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
+        assert r["base_score"] == pytest.approx(want, rel=1e-9) and r["train_tokens"] == n
+
+
+def test_query_scores_equal_brute_force(spark, data):
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _, _ = brown.fit(docs, Workspace(spark, "t"), 200, 8, 2)  # most words are rare ones
+    got = {r["doc_id"]: r["score"] for r in brown.score_texts(docs, 200, 8, 2).collect()}
+    for (i, _), s in zip(rows, brute_scores(rows, model, 8)):
+        assert got[i] == pytest.approx(s, rel=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_class_is_that_of_the_greatest_likelihood(seed):
+    """Against recounting all pairs with the word in every class."""
+    rng = np.random.default_rng(seed)
+    classes, v = 4, 12
+    seq = rng.integers(0, v, 300)
+    own = rng.integers(0, classes + 1, v)  # the last class can be left only
+    m = classes + 2
+
+    def count(own):
+        n = np.zeros((m, m), dtype=np.int64)
+        c = own[seq]
+        np.add.at(n, (c[:-1], c[1:]), 1)
+        return n
+
+    for w in range(v):
+        s, p = np.zeros((1, m), dtype=np.int64), np.zeros((1, m), dtype=np.int64)
+        d = np.zeros(1, dtype=np.int64)
+        for a, b in zip(seq, seq[1:]):
+            if a == b == w:
+                d += 1
+            elif a == w:
+                s[0, own[b]] += 1
+            elif b == w:
+                p[0, own[a]] += 1
+        tried = [brown.likelihood(count(np.where(np.arange(v) == w, k, own))) for k in range(classes)]
+        got = brown.best_classes(count(own), own[[w]], s, p, d, classes)[0]
+        assert tried[got] == pytest.approx(max(tried), abs=1e-6)
+        without = count(own)
+        np.subtract.at(without, (own[seq[:-1]], own[seq[1:]]), ((seq[:-1] == w) | (seq[1:] == w)).astype(np.int64))
+        got = brown.best_classes(without, np.array([-1]), s, p, d, classes)[0]
+        assert tried[got] == pytest.approx(max(tried), abs=1e-6)
 
 
 def test_exchange_finds_classes():
@@ -76,7 +166,7 @@ def test_exchange_finds_classes():
                 succ[a, own[b]] += 1
                 pred[b, own[a]] += 1
         w = np.array([step % 6])
-        own[w] = brown.best_classes(n, own[w], succ[w], pred[w], same[w], np.array([1]), 2)
+        own[w] = brown.best_classes(n, own[w], succ[w], pred[w], same[w], 2)
     assert len(set(own[:3])) == 1 and len(set(own[3:])) == 1 and own[0] != own[3]
 
 
