@@ -8,10 +8,15 @@ distinct fingerprint, not all cells within 2; whoever shares a cell is a candida
 Candidates are verified exactly: two that are alone in a cell by comparison, all others without forming pairs: two fingerprints differ in 2 bits or fewer
 if and only if they share one of the 65 values at Hamming distance 1 or less from each.  Each such value links its
 holders to the smallest of them.  The work is linear in the number of distinct fingerprints, however many meet.
+
+Texts of a given similarity (``similar_groups``) can be too far apart for that: at a Jaccard index of 0.8 about ten of 64
+bits differ, and popcounts bound nothing at this distance.  There the fingerprints' links are candidates beside those of
+banded minimum hashes of the same shingles, and every candidate is verified by the exact index of the shingle sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,18 +47,22 @@ def _majority(hashes: list[int]) -> int:
     return int(np.packbits((counts * 2 > n).reshape(64), bitorder="little").view(np.int64)[0])
 
 
-def fingerprint(text: bytes | None, size: int) -> int:
-    """Signed 64-bit SimHash of the text's ``size``-word shingles; zero without words."""
+def shingle_hashes(text: bytes | None, size: int) -> list[int]:
+    """Hashes of the text's ``size``-word shingles, repeats included; of the whole text if it has fewer words."""
     words = (text or b"").lower().split()  # bytes: only A-Z are lowered
-    if not words:
-        return 0
     line = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return _majority([digest(line, SEED)])
+        return [digest(line, SEED)] if words else []
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    return _majority([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())])
+    return [digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
+
+
+def fingerprint(text: bytes | None, size: int) -> int:
+    """Signed 64-bit SimHash of the text's ``size``-word shingles; zero without words."""
+    hashes = shingle_hashes(text, size)
+    return _majority(hashes) if hashes else 0
 
 
 def _fingerprints(size: int):
@@ -121,3 +130,103 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     reached = ws.keep(named.join(least, "root").select("fp", "component_id"), "reached")
     out = prints.join(reached, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+ROWS, BANDS = 5, 20  # a pair at 0.8 shares a band with probability 0.9996, one at 0.9 with 1 - 1e-8
+
+
+def _sketches(size: int, rows: int, bands: int):
+    """Texts -> digest, fingerprint and band keys."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
+        for whole in batches:
+            for b in slices(whole, "text", 4 << 20):
+                digests, prints, keys = [], [], []
+                for t in to_bytes(b.column("text")):
+                    hashes = shingle_hashes(t, size)
+                    digests.append(hashlib.sha256(t or b"").digest())
+                    prints.append(_majority(hashes) if hashes else 0)
+                    h = np.unique(np.array(hashes or [0], dtype=np.uint64))
+                    least = np.full(rows * bands, np.uint64(2**64 - 1))
+                    for a in range(0, len(h), 1024):
+                        np.minimum(least, (factors[:, None] * h[None, a : a + 1024]).min(axis=1), out=least)
+                    keys.append(least.tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "digest", "fp", "keys"])
+        trim()
+
+    return run
+
+
+def _verified(size: int, similarity: float):
+    """Pairs of texts -> those whose shingle sets have the Jaccard index wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash-verify")
+        last: tuple[int, set[int]] = (-1, set())
+        for b in batches:
+            keep = []
+            for u, a, c in zip(b.column("u").to_pylist(), b.column("a"), b.column("c")):
+                if last[0] != u:
+                    last = u, set(shingle_hashes(a.as_buffer().to_pybytes(), size))
+                other = set(shingle_hashes(c.as_buffer().to_pybytes(), size))
+                both = len(last[1] & other)
+                keep.append(both >= similarity * (len(last[1]) + len(other) - both))  # two texts without words are equal
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        trim()
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, fingerprint, component_id``, a row for each row.
+
+    Two texts link if the Jaccard index of their sets of ``shingle``-word shingles (lower-cased, a shorter text being one
+    shingle) is ``similarity`` or more; ``component_id`` is the smallest doc_id that links reach.  Candidates are texts
+    whose fingerprints differ in 2 bits or fewer and texts that share a band of ``rows`` minimum hashes; ``bands`` of them
+    are tried.  Equal texts are one candidate.  In a bucket every text is first compared with its smallest; only where
+    that leaves several components are the texts outside the largest one compared with all others of the bucket, so a
+    group of copies costs one comparison each.  Null texts count as empty, empty ones link with each other.  Rows with
+    equal ids keep their own fingerprints; a null id counts as larger than any other.  Other columns are ignored.
+    """
+    ws = Workspace(docs.sparkSession, "similar")
+    d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = ws.keep(d.mapInArrow(_sketches(shingle, rows, bands), "doc_id long, digest binary, fp long, keys binary"), "prints")
+    # numbers given once and written, so that classes stay apart
+    classes = prints.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    classes = ws.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    band = lambda t: F.xxhash64(F.substring("keys", t * rows * 8 + 1, rows * 8), F.lit(t))
+    placed = classes.select("rep", F.posexplode(F.array(*[band(t) for t in range(bands)])).alias("t", "key"))
+    shared = placed.groupBy("t", "key").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = ws.keep(placed.join(shared, ["t", "key"]), "members")
+    prime = ws.keep(classes.groupBy("fp").agg(F.min("rep").alias("r")), "prime")
+    near = fingerprint_links(prime.select("fp"), ws)
+    for c in ("u", "v"):
+        near = near.join(prime.select(F.col("fp").alias(c), F.col("r").alias(f"r{c}")), c).drop(c).withColumnRenamed(f"r{c}", c)
+    pairs = members.select("u", F.col("rep").alias("v")).unionByName(near).unionByName(classes.join(prime, "fp").select(F.col("r").alias("u"), F.col("rep").alias("v")))
+    pairs = ws.keep(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    used = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(classes.select("rep", "digest"), "rep")
+    texts = d.withColumn("digest", F.unhex(F.sha2("text", 256))).join(used, "digest").groupBy("rep").agg(F.first("text").alias("text"))
+    texts = ws.keep(texts.select("rep", F.col("text").cast("binary").alias("text")), "texts")
+
+    def verify(some: DataFrame) -> DataFrame:
+        a, c = (texts.select(F.col("rep").alias(k), F.col("text").alias(x)) for k, x in (("u", "a"), ("v", "c")))
+        return some.join(a, "u").join(c, "v").select("u", "v", "a", "c").mapInArrow(_verified(shingle, similarity), "u long, v long")
+
+    links = ws.keep(verify(pairs), "links")
+    roots = component_roots(links).withColumnRenamed("node", "rep")
+    housed = members.select("t", "key", "rep").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    parted = housed.groupBy("t", "key", "root").agg(F.count("*").alias("n")).groupBy("t", "key")
+    parted = parted.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("k")).where("k > 1")
+    open_ = ws.keep(housed.join(parted.select("t", "key", "most"), ["t", "key"]), "open")
+    few = open_.where("root != most").select("t", "key", F.col("rep").alias("x"), F.col("root").alias("rx"))
+    rest = few.join(open_.select("t", "key", "rep", "root"), ["t", "key"]).where("rx != root")
+    rest = rest.select(F.least("x", "rep").alias("u"), F.greatest("x", "rep").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
+    links = ws.keep(links.unionByName(verify(rest)), "all-links")
+    roots = component_roots(links).withColumnRenamed("node", "rep")
+    named = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    reached = ws.keep(named.join(least, "root").select("digest", "component_id"), "reached")
+    out = prints.join(reached, "digest")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -221,7 +221,7 @@ def test_ledger_equals_recount(spark):
 def test_pipeline_stages_against_their_operators(spark, data):
     """Each stage's decisions on what the one before it left, from brute-force versions where they exist."""
     from test_quality import stats
-    from test_simhash_and_passages import brute_passages, components, print_of
+    from test_simhash_and_passages import brute_passages, similar_brute
 
     ws = Workspace(spark, "t")
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -240,7 +240,7 @@ def test_pipeline_stages_against_their_operators(spark, data):
         if s[0] < 10 or 100 * s[4] > 20 * s[0]:
             assert i not in kept
     ids = [r["doc_id"] for r in out[0]]
-    comp = components(ids, [print_of(r["text"]) for r in out[0]])
+    comp = similar_brute([(r["doc_id"], r["text"]) for r in out[0]])
     assert {r["doc_id"] for r in out[1]} == {i for i, c in zip(ids, comp) if i == c}
     want = brute_passages([(r["doc_id"], r["text"]) for r in out[1]])
     got = {r["doc_id"]: len(r["text"].encode().split()) for r in out[2]}

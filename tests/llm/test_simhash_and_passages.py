@@ -41,6 +41,51 @@ def test_fingerprint_query_against_brute_force(spark, data):
     assert sorted(tuple(r) for r in op2_simhash(spark, data).collect()) == want
 
 
+def shingles_of(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w)} if len(w) <= 5 else {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def similar_brute(rows, least=0.8):
+    sets = [shingles_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        low.setdefault(find(k), []).append(i)
+    return [min((x for x in low[find(k)] if x is not None), default=None) for k in range(len(rows))]
+
+
+def test_similar_groups_against_brute_force(spark):
+    """Pairs just above and below 0.8, chains, copies, and texts without five words."""
+    rnd = random.Random(5)
+    word = lambda: rnd.choice("abcdefghij") + str(rnd.randrange(3000))
+    rows = [(900, None), (901, ""), (902, " \t"), (903, "one two"), (904, "ONE two"), (905, "one three"), (None, "alone null id"), (903, "same id other text here now")]
+    for g in range(40):
+        base = [word() for _ in range(rnd.choice([12, 60, 300]))]
+        rows.append((g * 20, " ".join(base)))
+        for k in range(1, rnd.choice([2, 3, 9])):
+            own = list(base)
+            for _ in range(max(1, round(len(own) * rnd.choice([0.01, 0.02, 0.023, 0.03])))):
+                own[rnd.randrange(len(own))] = word()
+            rows.append((g * 20 + k, " ".join(own)))
+            base = own if g % 3 == 0 else base
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, digest string, rep int")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar_groups(df).collect()), key=str)
+    assert got == sorted(zip([i for i, _ in rows], similar_brute(rows)), key=str)
+    assert simhash.similar_groups(df.limit(0)).count() == 0
+
+
 def test_links_are_exactly_two_bits(spark, tmp_path):
     from plumbgrid.workspace import Workspace
 
