@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id; of rows that share it, one by text hash."""
-    found = simhash.near_duplicates(docs)
+    """One document of each group at a five-word similarity of 0.8: the one with the smallest id; of rows that share it, one by text hash."""
+    found = simhash.similar_groups(docs)
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     stay = docs.select(*COLUMNS).join(heads, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
