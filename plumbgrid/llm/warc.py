@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +24,9 @@ from plumbgrid.workspace import Workspace
 
 from .text import pick, slices, to_bytes
 
-SEGMENT_BYTES = 64 << 10
-CHUNK = 8 << 10
+SEGMENT_BYTES = 4 << 10
+CHUNK = 1 << 10
+READ_BYTES = 16 << 10  # of a compressed file at a time
 END = "\r\n\r\n"
 FILE_RECORDS = 2000  # of a segment at most each
 DATE = "2024-01-01T00:00:00Z"
@@ -126,25 +128,62 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = 0, segment_
     out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of an uncompressed WARC file: lower-cased header names, block.  Broken or cut records raise ValueError."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        head_end = data.find(b"\r\n\r\n", at)
+def plain_pieces(raw: bytes) -> Iterator[bytes]:
+    """The content of a file, plain or in any number of gzip members, piece by piece; members cost their own bytes."""
+    if not raw.startswith(b"\x1f\x8b"):
+        yield from (raw[i : i + READ_BYTES] for i in range(0, len(raw), READ_BYTES))
+        return
+    z = zlib.decompressobj(31)
+    for i in range(0, len(raw), READ_BYTES):
+        piece = raw[i : i + READ_BYTES]
+        while piece:
+            if z.eof:  # the next member
+                z = zlib.decompressobj(31)
+            out = z.decompress(piece)
+            if out:
+                yield out
+            piece = z.unused_data
+    if not z.eof:
+        raise ValueError("gzip member cut short")
+
+
+def parse_records(pieces: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of an uncompressed WARC file: lower-cased header names, block.  Broken or cut records raise ValueError.
+
+    Holds one record and one piece at a time.
+    """
+    source = iter((pieces,) if isinstance(pieces, bytes) else pieces)
+    held, gone = bytearray(), 0
+
+    def more() -> bool:
+        piece = next(source, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while held or more():
+        seen = 0
+        while (head_end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                break
+        if not held.startswith(b"WARC/"):
+            raise ValueError(f"no record at byte {gone}")
         if head_end < 0:
-            raise ValueError(f"record head without end at byte {at}")
+            raise ValueError(f"record head without end at byte {gone}")
         head = {}
-        for line in data[at:head_end].split(b"\r\n")[1:]:
+        for line in bytes(held[:head_end]).split(b"\r\n")[1:]:
             k, _, v = line.partition(b":")
             head[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
         size = int(head.get("content-length", "-1"))
         begin = head_end + 4
-        if size < 0 or begin + size + 4 > len(data):
-            raise ValueError(f"record cut short at byte {at}")
-        yield head, data[begin : begin + size]
-        at = begin + size + 4
+        while size >= 0 and len(held) < begin + size + 4 and more():
+            pass
+        if size < 0 or len(held) < begin + size + 4:
+            raise ValueError(f"record cut short at byte {gone}")
+        yield head, bytes(held[begin : begin + size])
+        del held[: begin + size + 4]
+        gone += begin + size + 4
 
 
 def http_payload(block: bytes) -> tuple[dict[str, str], bytes | None]:
@@ -181,7 +220,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     revisits as stated), ``ok`` and, if asked for, ``payload``.  ``ok`` is false, and what cannot be known is null,
     where segments are missing, repeated or of another total length than stated, where the chunked framing is broken,
     or where the digest differs.  Continuations without a first segment give a row of kind ``continuation``.  A file
-    with a broken record raises.  A file is held in memory while it is parsed, records of other types are skipped.
+    with a broken record raises.  A file is held as it is stored while it is parsed record by record, records of other types are skipped.
     """
     types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.bool_()] + [pa.binary()] * with_payload
     names = ["id", "kind", "uri", "digest", "refers", "payload_bytes", "payload_digest", "ok"] + ["payload"] * with_payload
@@ -190,19 +229,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     all_types = [*types, pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         for batch in batches:
             for data in batch.column("content"):
-                raw = data.as_buffer().to_pybytes()
-                plain = []
-                while raw[:2] == b"\x1f\x8b":  # members of a gzip file one after another
-                    z = zlib.decompressobj(31)
-                    plain.append(z.decompress(raw))
-                    raw = z.unused_data
-                text = b"".join(plain) if plain else raw
                 rows, room = [], 0
-                for head, block in parse_records(text):
+                for head, block in parse_records(plain_pieces(data.as_buffer().to_pybytes())):
                     kind = head.get("warc-type")
                     if kind not in ("response", "revisit", "continuation"):
                         continue

@@ -68,6 +68,29 @@ def test_broken_segments(spark, tmp_path):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort"))
 
 
+def test_many_members_and_pieces(spark, tmp_path):
+    """A file of one gzip member per record, as archives usually are, is read in linear time."""
+    records = [warc.page_records(i, "u", (b"%d " % i) * (i % 700), None, 1 << 20)[0] + b"\r\n\r\n" for i in range(2000)]
+    (tmp_path / "m.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert {int(r["id"].split(":")[2]): bytes(r["payload"]) for r in got} == {i: (b"%d " % i) * (i % 700) for i in range(2000)}
+    raw = b"".join(records[:50])
+    whole = list(warc.parse_records(raw))
+    for n in (1, 3, 1000):
+        assert list(warc.parse_records(raw[i : i + n] for i in range(0, len(raw), n))) == whole
+    with pytest.raises(ValueError):
+        list(warc.plain_pieces(gzip.compress(b"x" * 1000)[:-9]))
+
+
+def test_query_reassembles_segments(spark, data):
+    """Pages beyond a segment's size are cut and joined again on the way of the query."""
+    ws = Workspace(spark, "t")
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    warc.write_archives(pages, ws.path("a"))
+    kinds = [r["kind"] for f in spark.read.format("binaryFile").load(ws.path("a") + "/*.gz").collect() for r in [{"kind": h["warc-type"]} for h, _ in warc.parse_records(warc.plain_pieces(bytes(f["content"])))]]
+    assert kinds.count("continuation") > 0.05 * len(kinds)
+
+
 def test_chunked_framing():
     for data in (b"", b"a", bytes(range(256)) * 100):
         assert warc.dechunked(warc.chunked(data, 7)) == data
