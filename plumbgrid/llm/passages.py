@@ -30,6 +30,7 @@ WIDTH, MINI = 20, 3
 LONGEST_RUN = 256
 SLICE_BYTES, MERGE_BYTES, CHUNK_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20, 2 << 20, 32 << 20
 LEAST_BUCKETS, BUCKET_MEAN = 1024, 8 << 20
+PART_BYTES = 64 << 20  # of strings, before compression, for a task
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -91,7 +92,7 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 def _pack(d: np.ndarray, h: np.ndarray, pos: np.ndarray, strings: list[bytes]) -> bytes:
     """Strings of one bucket with their places, compressed; ids as differences."""
-    head = np.array([len(d)], "<i8").tobytes() + np.diff(d, prepend=0).astype("<i8").tobytes() + h.astype("<i4").tobytes() + pos.astype("<i4").tobytes()
+    head = np.array([len(d)], "<i8").tobytes() + np.diff(d, prepend=0).astype("<i8").tobytes() + h.astype("<i8").tobytes() + pos.astype("<i4").tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"\n".join(strings))
 
 
@@ -99,8 +100,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     d = np.cumsum(np.frombuffer(raw, "<i8", n, 8))
-    h = np.frombuffer(raw, "<i4", n, 8 + 8 * n)
-    return d, h, np.frombuffer(raw, "<i4", n, 8 + 12 * n), raw[8 + 16 * n :].split(b"\n")
+    h = np.frombuffer(raw, "<i8", n, 8 + 8 * n)
+    return d, h, np.frombuffer(raw, "<i4", n, 8 + 16 * n), raw[8 + 20 * n :].split(b"\n")
 
 
 def _super_kmers(buckets: int):
@@ -162,7 +163,7 @@ def _super_kmers(buckets: int):
     return run
 
 
-_NOVEL = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("s", pa.binary())])
+_NOVEL = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("s", pa.binary())])
 
 
 def _first_windows(d: np.ndarray, h: np.ndarray, pos: np.ndarray, strings: list[bytes]) -> pa.RecordBatch | None:
@@ -217,7 +218,7 @@ def _buckets(limit: int):
 
     def through(part: tuple) -> pa.RecordBatch:
         d, h, pos, strings = part
-        cols = [pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(pos, pa.int32()), pa.nulls(len(d), pa.int32()), pa.array(strings, pa.binary())]
+        cols = [pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(pos, pa.int32()), pa.nulls(len(d), pa.int32()), pa.array(strings, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, schema=_NOVEL)
 
     def work(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +258,7 @@ def _buckets(limit: int):
     return run
 
 
-_WINDOWS = pa.schema([("d", pa.int64()), ("h", pa.int32()), ("pos", pa.int32()), ("s", pa.binary())])
+_WINDOWS = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("s", pa.binary())])
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +272,7 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _cut(with_text: bool, carry: tuple[str, ...]):
-    names = [("doc_id", pa.int64()), ("h", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
+    names = [("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     labels = [n for n, _ in names] + ["kept_text"] * with_text + list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +308,7 @@ def _cut(with_text: bool, carry: tuple[str, ...]):
                     cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([*cols, *[batch.column(f"c{k}") for k in range(len(carry))]], names=labels)
 
-    return run, "doc_id long, h int, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return run, "doc_id long, h long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...] = (), bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -315,7 +316,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, carry: tuple[str, ..
 
     A word goes if a window covers it whose word sequence also starts earlier: in a smaller ``doc_id``, or before in
     the same text; windows are judged on the input.  Null ids come last.  Rows with one id but different texts are
-    ordered by the texts' hash ``h``; wholly equal rows count as one document and share their result.  Null and short
+    ordered by the texts' hash (63 bits of ``h``); wholly equal rows count as one document and share their result.  Null and short
     texts lose nothing.  ``kept_text`` is the text itself where nothing was removed, else the kept words joined by one
     space.  Other columns are ignored.  No rows give no rows.
     """
@@ -323,16 +324,18 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, carry: tuple[str, ..
     kinds = dict(docs.dtypes)
     extra = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
-    d = d.withColumn("h", F.xxhash64("text").cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    # 63 bits of the text's hash; the sign tells rows without an id, which come last, from those with the largest one
+    half = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    d = d.withColumn("h", F.when(F.col("doc_id").isNull(), half).otherwise(half.bitwiseOR(F.lit(-(2**63)))))
     d = d.withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1)))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-3 * total // BUCKET_MEAN))  # strings take about three times the text
     packed = d.select("d", "h", "text").mapInArrow(_super_kmers(buckets), "bucket int, blob binary")
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = ws.keep(dealt.mapInArrow(_buckets(bucket_bytes), "d long, h int, pos int, n int, s binary"), "found")
+    dealt = packed.repartition(ws.parts(3 * total, PART_BYTES), "bucket").sortWithinPartitions("bucket")
+    found = ws.keep(dealt.mapInArrow(_buckets(bucket_bytes), "d long, h long, pos int, n int, s binary"), "found")
     del packed, dealt
     ws.release()
-    outgrown = found.where("s is not null").select("d", "h", "pos", "s").mapInArrow(_single_windows, "d long, h int, pos int, s binary")
+    outgrown = found.where("s is not null").select("d", "h", "pos", "s").mapInArrow(_single_windows, "d long, h long, pos int, s binary")
     least = outgrown.groupBy("s").agg(F.min(F.struct("d", "h", "pos")).alias("m")).select("m.*", F.lit(1).alias("n"))
     runs = found.where("s is null").select("d", "h", "pos", "n").unionByName(least)
     packed_run = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))

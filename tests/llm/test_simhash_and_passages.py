@@ -169,6 +169,20 @@ def test_passage_edges(spark):
     assert passages.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    """Texts that share the low 31 bits of their hash, and a row with the largest id beside one without any."""
+    text = " ".join(f"w{i}" for i in range(30))
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & 0x7FFFFFFF
+    first = {low(t): t for t in (f"{text} a{i}" for i in range(100_000))}
+    a, b = next((first[low(t)], t) for t in (" ".join(f"v{i}" for i in range(30)) + f" b{k}" for k in range(400_000)) if low(t) in first)
+    big = 2**63 - 1
+    other = " ".join(f"x{i}" for i in range(25))
+    rows = [(1, text), (None, a), (None, b), (big, other), (None, other), (5, b), (5, a)]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(1, 30, 0, text), (None, 31, 31, ""), (None, 31, 31, ""), (big, 25, 0, other), (None, 25, 25, ""), (5, 31, 0, b), (5, 31, 30, a.split()[-1])]
+    assert got == sorted(want, key=str)
+
+
 def test_hash_helpers():
     h = np.arange(50, dtype=np.uint64) * np.uint64(7919)
     for n in (1, 2, 3, 5, 20):
