@@ -115,3 +115,14 @@ def recent_items(items: DataFrame, most: int = 12) -> DataFrame:
 def top_values(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
     """The ``k`` largest values, ties by smaller key."""
     return df.orderBy(F.desc(value), F.asc(key)).limit(k)
+
+
+def ordered_distinct(rows: DataFrame, *columns: str, order: str = "seq") -> DataFrame:
+    """Each combination of ``columns`` once, at its first place by ``order``, in that order; nulls are values."""
+    return rows.groupBy(*columns).agg(F.min(order).alias(order)).orderBy(order)
+
+
+def distinct_paths(paths: DataFrame, path: str = "path", order: str = "seq") -> DataFrame:
+    """Paths without repeats that differ in case only: the first spelling of each, in order of first appearance."""
+    first = paths.where(F.col(path).isNotNull()).groupBy(F.lower(path).alias("folded")).agg(F.min_by(path, order).alias(path), F.min(order).alias(order))
+    return first.select(path, order).orderBy(order)

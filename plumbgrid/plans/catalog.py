@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -399,7 +400,7 @@ def point_frequency_weight(spark, d):
     return covisibility.point_frequencies(b.observations(spark, d)).select("point_id", "frequency", F.round("weight", 9).alias("weight"))
 
 
-_RANKED = f"""{O}, own AS (SELECT name, count(*) AS own FROM o GROUP BY name), pt AS (SELECT p_size % 5 AS region, p_partkey AS point_id FROM part WHERE p_size <= 10),
+_RANKED = f"""{O}, own AS (SELECT name, count(*) AS own FROM o GROUP BY name), pt AS (SELECT p_size % 5 AS region, p_partkey AS point_id FROM part),
  s AS (SELECT region, name, count(*) AS shared FROM o JOIN pt USING (point_id) GROUP BY region, name),
  k AS (SELECT s.*, shared >= greatest(3, least(25, ceil(own * 0.01))) AS fits, row_number() OVER (PARTITION BY region ORDER BY shared DESC, lower(name), name) AS rk FROM s JOIN own USING (name)),
  c AS (SELECT *, count(*) FILTER (fits) OVER (PARTITION BY region) AS nf, count(*) OVER (PARTITION BY region) AS na FROM k)"""
@@ -407,7 +408,7 @@ _RANKED = f"""{O}, own AS (SELECT name, count(*) AS own FROM o GROUP BY name), p
 
 @query(f"WITH {_RANKED} SELECT region, name, shared, row_number() OVER (PARTITION BY region ORDER BY rk)::INTEGER AS rank FROM c WHERE CASE WHEN nf < least(3, na) THEN rk <= 3 ELSE fits END")
 def ranked_images(spark, d):
-    part = b.table(spark, d, "part").where("p_size <= 10").select(F.pmod("p_size", F.lit(5)).alias("region"), F.col("p_partkey").alias("point_id"))
+    part = b.table(spark, d, "part").select(F.pmod("p_size", F.lit(5)).alias("region"), F.col("p_partkey").alias("point_id"))
     return covisibility.ranked_images(b.observations(spark, d), part, by=["region"])
 
 
@@ -465,21 +466,17 @@ def coverage_ratios(spark, d):
     return covisibility.coverage_ratios(core, b.observations(spark, d), refs).select("block", F.round("covered", 9).alias("covered"), F.round("unseen", 9).alias("unseen"))
 
 
-@query("""SELECT 'union_all' AS op, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'union_distinct', count(*) FROM (SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer)
-UNION ALL SELECT 'intersect', count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'except', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)""")
+@query("""SELECT 'union_all' AS op, k FROM (SELECT o_custkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer) UNION ALL SELECT 'union_distinct', k FROM (SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer)
+UNION ALL SELECT 'intersect', k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'except', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)""")
 def set_ops(spark, d):
     o, c = b.table(spark, d, "orders").select(F.col("o_custkey").alias("k")), b.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     parts = {"union_all": blocks.union_parts([o, c]), "union_distinct": o.union(c).distinct(), "intersect": o.intersect(c), "except": c.subtract(o)}
-    out = None
-    for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("op"), "k") for name, df in parts.items()])
 
 
 @query("SELECT p_brand, min(p_partkey) AS seq FROM part GROUP BY p_brand")
 def ordered_distinct(spark, d):
-    return b.table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("seq")).orderBy("seq")
+    return sampling.ordered_distinct(b.table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("seq")), "p_brand")
 
 
 # --- quality ----------------------------------------------------------------------------------------------------------
@@ -634,11 +631,11 @@ def pca_frame(spark, d):
     return spark.createDataFrame([(k, round(v, 6), f.corridor) for k, v in enumerate(f.variances)], "axis int, variance double, corridor boolean")
 
 
-@query("SELECT count(*) AS n, round(sum(d), 6) AS total FROM (SELECT abs(o_totalprice - c_acctbal) AS d FROM orders JOIN customer ON o_custkey = c_custkey)")
+@query("SELECT o_orderkey, round(sqrt((o_totalprice - c_acctbal) ** 2 + (o_custkey - c_nationkey) ** 2 + 4), 6) AS length FROM orders JOIN customer ON o_custkey = c_custkey")
 def constraint_lengths(spark, d):
     j = b.table(spark, d, "orders").join(b.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    ends = lambda c: (F.col(c), F.lit(0.0), F.lit(0.0))
-    return j.agg(F.count("*").alias("n"), F.round(F.sum(scalars.straight_distance(ends("o_totalprice"), ends("c_acctbal"))), 6).alias("total"))
+    length = scalars.straight_distance((F.col("o_totalprice"), F.col("o_custkey"), F.lit(0.0)), (F.col("c_acctbal"), F.col("c_nationkey"), F.lit(2.0)))
+    return j.select("o_orderkey", F.round(length, 6).alias("length"))
 
 
 # --- blocks and meshes --------------------------------------------------------------------------------------------------
@@ -650,11 +647,11 @@ def core_crop(spark, d):
     return b.flat(filters.core_crop(b.points(spark, d), [0.0, 0.0, 0.0], eye, [10.0, 5.0, 2.0], [20.0, 25.0, 6.0]))
 
 
-@query(f"""WITH {P}, k AS (SELECT i, 'block_' || lpad((i + 1)::VARCHAR, 4, '0') AS block, 1 + i * 12.25 - 2.45 AS lo, 1 + (i + 1) * 12.25 + 2.45 AS hi FROM range(4) AS r(i)) SELECT block, count(*) AS n FROM p JOIN k ON x BETWEEN lo - 1e-9 AND hi + 1e-9 GROUP BY block""")
+@query(f"""WITH {P}, k AS (SELECT i, 'block_' || lpad((i + 1)::VARCHAR, 4, '0') AS block, 1 + i * 12.25 - 2.45 AS lo, 1 + (i + 1) * 12.25 + 2.45 AS hi FROM range(4) AS r(i)) SELECT block, {K} FROM p JOIN k ON x BETWEEN lo - 1e-9 AND hi + 1e-9""")
 def halo_assign(spark, d):
     p = b.points(spark, d).select("point_id", F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("w"))
     boxes = [{"block": f"block_{i + 1:04d}", "halo_lower": [1 + i * 12.25 - 2.45, -1e9, -1e9], "halo_upper": [1 + (i + 1) * 12.25 + 2.45, 1e9, 1e9]} for i in range(4)]
-    return blocks.halo_points(p, boxes).groupBy("block").agg(F.count("*").alias("n"))
+    return blocks.halo_points(p, boxes).select("block", "point_id.*")
 
 
 @query()
@@ -812,6 +809,92 @@ def input_fingerprint(spark, d):
     return t.select("doc_id", hashing.input_fingerprint(F.col("source"), F.col("n_chars"), F.col("doc_id"), 16).alias("fingerprint"))
 
 
-@query()
+@query("""WITH a AS (SELECT event_id, ((event_id::UHUGEINT + 11400714819323198485) % 18446744073709551616)::UBIGINT AS x FROM events),
+ b AS (SELECT event_id, ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616)::UBIGINT AS x FROM a),
+ c AS (SELECT event_id, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616)::UBIGINT AS x FROM b)
+SELECT event_id, lower(to_hex(xor(x, x >> 31))) AS mixed FROM c""")
 def split_mix(spark, d):
     return b.table(spark, d, "events").select("event_id", F.lower(F.hex(hashing.split_mix(F.col("event_id")))).alias("mixed"))
+
+
+# --- sessions, links and measurements -----------------------------------------------------------------------------------
+
+_LINKS = "m AS (SELECT l_suppkey AS pair, l_quantity AS px, l_extendedprice % 1000 AS py, l_quantity + l_tax * 100 AS qx, l_extendedprice % 700 AS qy, l_linenumber % 3 <> 0 AS inlier FROM lineitem)"
+
+
+def _links(spark, d):
+    t = b.table(spark, d, "lineitem")
+    return t.select(F.col("l_suppkey").alias("pair"), F.col("l_quantity").alias("px"), (F.col("l_extendedprice") % 1000).alias("py"), (F.col("l_quantity") + F.col("l_tax") * 100).alias("qx"), (F.col("l_extendedprice") % 700).alias("qy"), (F.col("l_linenumber") % 3 != 0).alias("inlier"))
+
+
+@query(f"WITH {_LINKS} SELECT pair, round((max(px) - min(px)) / 60 * (max(py) - min(py)) / 1000, 9) AS coverage FROM m GROUP BY pair")
+def feature_coverage(spark, d):
+    return captures.feature_coverage(_links(spark, d), 60, 1000).select("pair", F.round("coverage", 9).alias("coverage"))
+
+
+@query(f"""WITH {_LINKS} SELECT pair, count(*) AS match_count, count(*) FILTER (inlier) AS inlier_count, round(least((max(px) - min(px)) / 60 * (max(py) - min(py)) / 1000, (max(qx) - min(qx)) / 60 * (max(qy) - min(qy)) / 1000), 9) AS feature_coverage,
+ round(median(sqrt((px - qx) ** 2 + (py - qy) ** 2)) FILTER (inlier) / 1200, 9) AS displacement FROM m GROUP BY pair""")
+def weak_link_stats(spark, d):
+    out = captures.weak_link_stats(_links(spark, d), 1200, 60, 1000)
+    return out.select("pair", "match_count", "inlier_count", F.round("feature_coverage", 9).alias("feature_coverage"), F.round("displacement", 9).alias("displacement"))
+
+
+@query("SELECT event_id, round(greatest(0, least((value - 3) / 0.5, 639)), 9) AS px, round(greatest(0, least((user_id - 2) / 0.5, 479)), 9) AS py FROM events")
+def image_pixels(spark, d):
+    px, py = scalars.image_pixel(F.col("value"), F.col("user_id"), (3, 2), 0.5, 640, 480)
+    return b.table(spark, d, "events").select("event_id", F.round(px, 9).alias("px"), F.round(py, 9).alias("py"))
+
+
+@query("SELECT c_custkey AS project, CASE WHEN c_custkey % 3 = 0 THEN 'filtered' WHEN c_custkey % 5 <> 0 THEN 'raw' ELSE 'none' END AS source, c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS transform FROM customer")
+def display_source(spark, d):
+    s = b.table(spark, d, "customer").select(F.col("c_custkey").alias("project"), (F.col("c_custkey") % 3 == 0).alias("has_processed_cloud"), (F.col("c_custkey") % 5 != 0).alias("has_geometry"))
+    return stages.display_source(s)
+
+
+@query("""WITH i AS (SELECT DISTINCT l_partkey % 7 AS block, l_suppkey AS name FROM lineitem WHERE l_suppkey % 4 <> 0), r AS (SELECT * FROM i WHERE name % 3 = 0)
+SELECT (SELECT count(DISTINCT block) FROM i) AS block_count, (SELECT count(*) FROM i) AS image_assignments, (SELECT count(DISTINCT name) FROM i) AS assigned_images, (SELECT count(*) FROM r) AS reference_assignments,
+ (SELECT count(DISTINCT name) FROM r) AS unique_references, (SELECT count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT name FROM i)) AS unassigned_images""")
+def plan_totals(spark, d):
+    i = b.table(spark, d, "lineitem").where("l_suppkey % 4 != 0").select((F.col("l_partkey") % 7).alias("block"), F.col("l_suppkey").alias("name")).distinct()
+    return blocks.plan_totals(i, i.where("name % 3 = 0"), b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("name")))
+
+
+@query("""WITH f AS (SELECT i AS a, i // 500 AS block FROM (SELECT unnest(range((SELECT count(*) - 2 FROM part))) AS i)) SELECT block, count(DISTINCT a) AS face_count, count(DISTINCT v) AS vertex_count FROM (SELECT block, a, unnest([a, a + 1, a + 2]) AS v FROM f) GROUP BY block""")
+def mesh_stats(spark, d):
+    f, _ = _mesh(spark, d)
+    return blocks.mesh_block_stats(f, f.select("face_id", F.floor(F.col("face_id") / 500).alias("block")))
+
+
+_RING = "c AS (SELECT s_suppkey AS seq, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier)"
+
+
+def _ring(spark, d):
+    return b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+
+
+@query(f"""WITH {_RING}, n AS (SELECT x, y, coalesce(lead(x) OVER (ORDER BY seq), first_value(x) OVER (ORDER BY seq)) AS nx, coalesce(lead(y) OVER (ORDER BY seq), first_value(y) OVER (ORDER BY seq)) AS ny FROM c)
+SELECT round(abs(sum(x * ny - nx * y)) / 2, 4) AS area FROM n""")
+def polygon_area(spark, d):
+    return spark.createDataFrame([(round(measurements.polygon_area(_ring(spark, d).withColumn("z", F.lit(5.0))), 4),)], "area double")
+
+
+@query(f"WITH {_RING}, h AS (SELECT count(*) // 2 AS h FROM c), r AS (SELECT CASE WHEN row_number() OVER (ORDER BY seq) <= h THEN 1.0 ELSE 3.5 END AS z FROM c, h) SELECT round(max(z) - min(z), 6) AS spacing FROM r")
+def plane_spacing(spark, d):
+    p = _ring(spark, d)
+    half = p.count() // 2
+    p = p.withColumn("z", F.when(F.row_number().over(Window.orderBy("seq")) <= half, 1.0).otherwise(3.5))
+    return spark.createDataFrame([(round(measurements.plane_spacing(p, half), 6),)], "spacing double")
+
+
+@query(f"""WITH {_RING}, g AS (SELECT x AS tx, y AS ty, (seq % 11)::DOUBLE AS tz FROM c), a AS (SELECT avg(tx) AS ax, avg(ty) AS ay, avg(tz) AS az FROM g),
+ s AS (SELECT max(sqrt((tx - ax) ** 2 + (ty - ay) ** 2 + (tz - az) ** 2)) AS extent, max(tz) - min(tz) AS height, count(*) AS n FROM g, a)
+SELECT n, round(extent, 6) AS extent, round(height / extent, 6) AS vertical_ratio, concat_ws('; ', CASE WHEN height / extent < 0.1 THEN 'weak vertical distribution' END, CASE WHEN n < 5 THEN 'fewer than five control points' END, 'fewer than two check points') AS warnings FROM s""")
+def control_warnings(spark, d):
+    g = _ring(spark, d).select(F.col("x").alias("tx"), F.col("y").alias("ty"), (F.col("seq") % 11).cast("double").alias("tz"))
+    return calibration.control_warnings(g, 1).select("n", F.round("extent", 6).alias("extent"), F.round("vertical_ratio", 6).alias("vertical_ratio"), "warnings")
+
+
+@query("""WITH p AS (SELECT p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS path FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY seq) AS k FROM p) SELECT path, seq FROM k WHERE k = 1""")
+def distinct_paths(spark, d):
+    p = b.table(spark, d, "part")
+    return sampling.distinct_paths(p.select(F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.lower("p_brand")).alias("path")))
