@@ -43,8 +43,15 @@ def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**k)))
 
 
-def _unit(vectors: list, dims: int) -> np.ndarray:
-    v = np.array(vectors, dtype=np.float64).reshape(-1, dims)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Components of a list column one after another in double precision, and where each vector starts."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    starts = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False).astype(np.float64)[starts[0] : starts[-1]], starts - starts[0]
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(axis=1, keepdims=True)  # before squaring, so that no square over- or underflows
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -55,15 +62,15 @@ def _keys(k: int, tables: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            vectors = batch.column("v").to_pylist()
-            sizes = np.array([len(v) for v in vectors])
-            out: list[bytes | None] = [None] * len(vectors)
+            flat, starts = _flat(batch.column("v"))
+            sizes = np.diff(starts)
+            out: list[bytes | None] = [None] * len(sizes)
             for dims in np.unique(sizes).tolist():
                 if dims not in planes:
                     rng = np.random.default_rng([seed, dims])
                     planes[dims] = rng.standard_normal((dims, k * tables)), rng.uniform(0, CELL, k * tables)
                 at = np.flatnonzero(sizes == dims)
-                cells = np.floor((_unit([vectors[i] for i in at], dims) @ planes[dims][0] + planes[dims][1]) / CELL)
+                cells = np.floor((_unit(flat[starts[at][:, None] + np.arange(dims)]) @ planes[dims][0] + planes[dims][1]) / CELL)
                 cells = cells.astype(np.int64).view(np.uint64).reshape(len(at), tables, k)
                 h = np.broadcast_to(np.arange(tables, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dims), (len(at), tables)).copy()
                 for j in range(k):
@@ -123,12 +130,16 @@ def _bucket_links(threshold: float, tables: int):
             f = lambda c: table.column(c).to_numpy()
             key, t, i, j, rep, n, chunk = map(f, ("key", "t", "i", "j", "rep", "n", "chunk"))
             change = np.flatnonzero((np.diff(key) != 0) | (np.diff(t) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            vs, ks = table.column("v").to_pylist(), table.column("keys").to_pylist()
+            flat, starts = _flat(table.column("v"))
+            sizes, ks = np.diff(starts), table.column("keys").to_pylist()
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(key)]):
-                if b - a < 2 or len({len(x) for x in vs[a:b]}) > 1:  # keys mix the length: differing ones met by chance
+                if b - a < 2 or (sizes[a:b] != sizes[a]).any():  # keys mix the length: differing ones met by chance
+                    continue
+                v = _unit(flat[starts[a] : starts[b]].reshape(b - a, sizes[a]))
+                if b - a <= STRIP and np.count_nonzero(v @ v.T >= threshold - 1e-9) == b - a:  # each is near itself only
                     continue
                 k = np.frombuffer(b"".join(ks[a:b]), dtype=np.int64).reshape(-1, tables)
-                out = _group_links(int(t[a]), int(i[a]), int(j[a]), rep[a:b], n[a:b], chunk[a:b], _unit(vs[a:b], len(vs[a])), k, threshold)
+                out = _group_links(int(t[a]), int(i[a]), int(j[a]), rep[a:b], n[a:b], chunk[a:b], v, k, threshold)
                 if out is not None:
                     yield out
 
