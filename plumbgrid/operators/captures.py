@@ -49,22 +49,28 @@ def near_duplicates(records: DataFrame, distance=None, look_back: int = LOOK_BAC
 
 def scan_summary(records: DataFrame) -> DataFrame:
     """One row: counts, median sigmas of fixed positions and the distinct camera models, sorted."""
+    from plumbgrid.operators.quantiles import exact_quantiles
+
+    sigmas = ("sigma_x", "sigma_y", "sigma_z")
+    mid = exact_quantiles(records.where("rtk_status = 'RTK_FIX'"), list(sigmas))
     n = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
     valid, fix = F.col("valid"), F.col("rtk_status") == "RTK_FIX"
     return records.agg(
         F.count("*").alias("total"), n(valid, "valid"), n(~valid, "invalid"), n(F.col("duplicate_of").isNotNull(), "exact_duplicates"),
         n(F.col("near_duplicate_of").isNotNull(), "near_duplicates"), n(F.col("selected"), "selected"), n(F.col("warnings") != "", "with_warnings"),
         n(F.col("lat").isNotNull() & F.col("lon").isNotNull(), "geotagged"), n(fix, "rtk_fix"), n(F.col("rtk_status") == "RTK_FLOAT", "rtk_float"),
-        F.median(F.when(fix, F.col("sigma_x"))).alias("sigma_x"), F.median(F.when(fix, F.col("sigma_y"))).alias("sigma_y"),
-        F.median(F.when(fix, F.col("sigma_z"))).alias("sigma_z"),
+        *[F.max(F.lit(m).cast("double")).alias(c) for m, c in zip(mid, sigmas)],
         F.sort_array(F.collect_set(F.when(F.col("camera_model") != "", F.col("camera_model")))).alias("camera_models"),
     )
 
 
 def resolution_distribution(records: DataFrame) -> DataFrame:
     """Smallest, median and largest megapixels of the valid records."""
-    mp = F.col("width") * F.col("height") / 1e6
-    return records.where("valid").agg(F.min(mp).alias("min_mp"), F.median(mp).alias("median_mp"), F.max(mp).alias("max_mp"))
+    from plumbgrid.operators.quantiles import exact_quantiles
+
+    sizes = records.where("valid").select((F.col("width") * F.col("height") / 1e6).alias("mp"))
+    mid = exact_quantiles(sizes, ["mp"])[0]
+    return sizes.agg(F.min("mp").alias("min_mp"), F.max(F.lit(mid).cast("double")).alias("median_mp"), F.max("mp").alias("max_mp"))
 
 
 def unique_names(records: DataFrame) -> DataFrame:
