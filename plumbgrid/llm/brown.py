@@ -35,8 +35,8 @@ from plumbgrid.workspace import Workspace
 from .text import claim, pick, slices, to_bytes, trim
 
 HOT_WORDS, HOT_BYTES, CLASSES = 131_072, 64, 30
-SWEEPS = 6  # at most, of each of the two exchanges
-STANDS = 2e-3  # nats a word pair; a sweep that raises the likelihood by less is the last
+SWEEPS = 12  # at most, of each of the two exchanges; four and one stand on the tables at hand
+STANDS = 1e-2  # nats a word pair; a sweep that raises the likelihood by less is the last
 ALPHA, BETA = 0.1, 5.0  # added to word counts; strength of the class unigram behind class transitions
 SHARE = 0.25  # of the class unigram in a transition, as classes fit the pairs they were made from
 COUNTER_WORDS = 400_000  # distinct words that a task counts before it hands them on
@@ -161,8 +161,9 @@ def _contexts(classes_of, classes: int, hot: int, words: bool):
                     continue
                 at = ids * width if hot * width < 1 << 30 else ids.astype(np.int64) * width
                 left, right = at[:-1] + c[1:], at[1:] + (c[:-1] + m)
-                np.add.at(table, left, 1)
-                np.add.at(table, right, 1)
+                both = np.sort(np.concatenate((left, right)))  # counted in order: many times faster than at random places
+                last = np.flatnonzero(np.append(both[1:] != both[:-1], True))
+                table[both[last]] += np.diff(last, prepend=-1).astype(np.int32)
                 same = np.flatnonzero(ids[:-1] == ids[1:])
                 np.subtract.at(table, left[same], 1)
                 np.subtract.at(table, right[same], 1)
