@@ -12,6 +12,8 @@ from plumbgrid.workspace import Workspace
 from . import bpe, brown, embeddings, mixing, passages, quality, simhash, token_counts, url_filter, warc
 from .text import n_words
 
+#: Keys over which a group of equal documents is spread in the count query.
+SPREAD = 64
 #: The rules of the URL query: (action, host, path).
 URL_RULES = [
     ("allow", "org", "/"),
@@ -77,7 +79,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = [keyed.select("doc_id", F.lit(v).alias("version"), F.lit(1).alias("seq"), F.lit("insert").alias("op"), "source", "lang", c.alias("n_tokens")) for v, c in versions.items()]
     ledger.commit("load", first[0].unionByName(first[1]))
     heads = sized.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count("*").alias("c")).where("c > 1")
-    copies = sized.join(heads, "digest").where("doc_id != head").select("doc_id")
+    # a group of copies is spread over ``SPREAD`` keys, its head repeated for each
+    salts = F.explode(F.array(*map(F.lit, range(SPREAD)))).alias("salt")
+    own = sized.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int").alias("salt"))
+    copies = own.join(heads.select("digest", "head", salts), ["digest", "salt"]).where("doc_id != head").select("doc_id")
     gone = copies.select("doc_id", F.explode(F.array(*map(F.lit, versions))).alias("version"), F.lit(1).alias("seq"), F.lit("delete").alias("op"))
     gone = gone.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_tokens", "long"))])
     ledger.commit("copies", gone)

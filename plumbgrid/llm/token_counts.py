@@ -8,7 +8,8 @@ the previous totals plus the delta, so a batch costs its own rows and the state
 
 A commit is published by one small manifest that is created last and at once; what a lost driver leaves behind is
 unreferenced and overwritten by the next try.  Batches are known by name: one that the manifest lists is not applied
-again.  The state is split by document hash into ``parts`` folders; a batch rewrites only the parts that it touches.
+again.  The state is split by document hash into ``parts`` folders, as many as the first batch asks for; a batch rewrites
+only the parts that it touches, each in files of bounded size.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LEAST_PARTS, PART_ROWS, FILE_BYTES = 16, 2_000_000, 64 << 20
 KEY = ["doc_id", "version"]
 GROUP = ["source", "lang", "version"]
 STATE = "doc_id long, version string, source string, lang string, n_tokens long"
@@ -25,9 +27,12 @@ TOTALS = "source string, lang string, version string, n_docs long, n_tokens long
 
 
 class TokenLedger:
-    """Rollup of token counts under ``path``, a folder that the cluster shares; one writer at a time."""
+    """Rollup of token counts under ``path``, a folder that the cluster shares; one writer at a time.
 
-    def __init__(self, spark: SparkSession, path: str, parts: int = 16) -> None:
+    ``parts`` is fixed by the first batch that is not empty: as given, else by its number of rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int | None = None) -> None:
         self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
 
     # small files by Hadoop's file system, so that any store that Spark writes will do
@@ -69,8 +74,9 @@ class TokenLedger:
     def state(self) -> DataFrame:
         return self._read(sorted(self._manifest()["state"].values()), STATE)
 
-    def _part(self):
-        return F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int")
+    @staticmethod
+    def _part(parts: int):
+        return F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply ``changes(doc_id, version, seq, op, source, lang, n_tokens)``; False if the batch is known already.
@@ -90,7 +96,8 @@ class TokenLedger:
         c = changes.select(F.col("doc_id").cast("long").alias("doc_id"), "version", "seq", "op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
         c = c.where(rank.isNotNull() & F.col("doc_id").isNotNull() & F.col("version").isNotNull())
         last = c.groupBy(*KEY).agg(F.max(F.struct("seq", rank.alias("rank"), "n_tokens", "source", "lang")).alias("c"))
-        last = last.withColumn("part", self._part())
+        parts = m.get("parts") or self.parts or max(LEAST_PARTS, -(-changes.count() // PART_ROWS))
+        last = last.withColumn("part", self._part(parts))
         last.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/batch/{number}")
         last = self.spark.read.parquet(f"{self.path}/batch/{number}") if last.take(1) else last
         touched = sorted(r[0] for r in last.select("part").distinct().collect())  # as many as there are parts at most
@@ -112,8 +119,11 @@ class TokenLedger:
         j = j.select(*KEY, "old", new.alias("new"), F.col("c").isNotNull().alias("hit"))
         j.write.mode("overwrite").parquet(f"{self.path}/merged/{number}")
         j = self.spark.read.schema(j.schema).parquet(f"{self.path}/merged/{number}")
-        state = j.where("new is not null").select(*KEY, "new.source", "new.lang", "new.n_tokens").withColumn("part", self._part())
-        state.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/state/{number}")
+        state = j.where("new is not null").select(*KEY, "new.source", "new.lang", "new.n_tokens").withColumn("part", self._part(parts))
+        fs, merged = self._fs(f"merged/{number}")
+        files = max(1, -(-int(fs.getContentSummary(merged).getLength()) // (max(1, len(touched)) * FILE_BYTES)))
+        state = state.withColumn("file", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(files))).repartition(max(1, len(touched)) * files, "part", "file").drop("file")
+        state.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/state/{number}")
         signed = lambda c, sign: j.where(f"hit and {c} is not null").select("version", f"{c}.source", f"{c}.lang", F.lit(sign).cast("long").alias("n_docs"), (F.col(f"{c}.n_tokens") * sign).alias("n_tokens"))
         delta = signed("old", -1).unionByName(signed("new", 1)).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         delta.select(*GROUP, "n_docs", "n_tokens").write.mode("overwrite").parquet(f"{self.path}/delta/{number}")
@@ -128,7 +138,7 @@ class TokenLedger:
             placed.pop(str(p), None)
             if fs.exists(self._fs(own)[1]):
                 placed[str(p)] = own
-        self._publish({"version": number, "batches": [*m["batches"], batch], "state": placed, "totals": f"totals/{number}"})
+        self._publish({"version": number, "batches": [*m["batches"], batch], "state": placed, "totals": f"totals/{number}", "parts": parts if touched else m.get("parts")})
         for folder in (f"merged/{number}", f"batch/{number}"):
             fs.delete(self._fs(folder)[1], True)
         return True

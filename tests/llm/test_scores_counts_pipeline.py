@@ -218,6 +218,22 @@ def test_ledger_equals_recount(spark):
     assert TokenLedger(spark, Workspace(spark, "t").path("none")).totals().count() == 0
 
 
+def test_ledger_survives_a_half_written_commit(spark, monkeypatch):
+    """What a lost driver leaves behind is overwritten; extra columns with the ledger's own names are ignored."""
+    ledger = TokenLedger(spark, Workspace(spark, "t").path("ledger"))
+    rows = [(i, "v", 1, "insert", "a", "en", i) for i in range(20)]
+    df = lambda r: spark.createDataFrame([(*x, 9, "x", 3) for x in r], SCHEMA + ", part int, c string, hit int")
+    assert ledger.commit("one", df(rows))
+    more = [(i, "v", 1, "revise", None, None, 100) for i in range(5)]
+    with monkeypatch.context() as patch:
+        patch.setattr(TokenLedger, "_publish", lambda self, m: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            ledger.commit("two", df(more))
+    assert {(r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()} == {(20, 190)} and ledger.batches() == ["one"]
+    assert ledger.commit("two", df(more)) and not ledger.commit("two", df(more))
+    assert {(r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()} == {(20, 680)} and ledger.state().count() == 20
+
+
 def test_pipeline_stages_against_their_operators(spark, data):
     """Each stage's decisions on what the one before it left, from brute-force versions where they exist."""
     from test_quality import stats
