@@ -64,17 +64,20 @@ def cosine_top_k(queries: DataFrame, pool: DataFrame, k: int = 3, min_similarity
     n = q.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     q = ws.keep(q.withColumn("block", F.pmod(F.xxhash64("src"), F.lit(blocks))), "queries")
-    out: DataFrame | None = None
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
-    for b in range(blocks):
+    schema = None
+    for b in range(blocks):  # each block's result is written, so that the plan does not grow with the blocks
         part = q.where(F.col("block") == b).drop("block")
         met = pool.select(F.col("image_id").alias("dst"), "v").join(F.broadcast(part), F.size("v") == F.size("qv"))
         met = met.where(F.col("src") != F.col("dst")).select("src", "dst", dot("qv", "v").alias("similarity"))
         if min_similarity is not None:
             met = met.where(F.col("similarity") >= min_similarity)
         best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+        if blocks == 1:
+            return best
+        schema = best.schema
+        best.write.mode("overwrite").parquet(ws.path(f"best/block={b}"))
+    return queries.sparkSession.read.schema(schema).parquet(*[ws.path(f"best/block={b}") for b in range(blocks)])
 
 
 def position_top_k(queries: DataFrame, pool: DataFrame, radius: float = 150.0, k: int = 3) -> DataFrame:

@@ -183,17 +183,28 @@ def export_project(points: DataFrame, folder: str, document: dict, constraints:
 def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """``block, kind, id, line``: lines of a Wavefront file; indices count from 1 and run on over the blocks.
 
-    ``vertices(block, id, x, y, z)`` and ``faces(block, face_id, a, b, c)`` with numbers local to the block.
+    ``vertices(block, id, x, y, z)`` and ``faces(block, face_id, a, b, c)`` with numbers local to the block.  Texture
+    coordinates ``u, v`` and normals ``nx, ny, nz`` of the vertices are written, and named by the faces, if they are there.
     """
     from plumbgrid.operators.blocks import vertex_offsets
 
     offsets = vertex_offsets(vertices.groupBy("block").agg(F.count("*").alias("vertex_count"))).select("block", "offset")
-    v = vertices.select("block", F.lit(0).alias("kind"), F.col("id").cast("long").alias("id"), F.format_string("v %.6f %.6f %.6f", *[F.col(c).cast("double") for c in "xyz"]).alias("line"))
-    at = lambda c: (F.col(c) + F.col("offset") + 1).cast("long")
-    f = faces.join(offsets, "block").select("block", F.lit(1).alias("kind"), F.col("face_id").cast("long").alias("id"), F.format_string("f %d %d %d", at("a"), at("b"), at("c")).alias("line"))
+    has = lambda *c: set(c) <= set(vertices.columns)
+    given = [("v", "xyz")] + [("vt", "uv")] * has("u", "v") + [("vn", ("nx", "ny", "nz"))] * has("nx", "ny", "nz")
+    text = lambda tag, cols: F.format_string(" ".join([tag, *["%.6f"] * len(cols)]), *[F.col(c).cast("double") for c in cols])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), text(tag, cols).alias("line")) for k, (tag, cols) in enumerate(given)])).alias("one")
+    v = vertices.select("block", F.col("id").cast("long").alias("id"), each).select("block", "one.kind", "id", "one.line")
+    corner = {1: "{0}", 2: "{0}/{0}" if has("u", "v") else "{0}//{0}", 3: "{0}/{0}/{0}"}[len(given)]
+    at = lambda c: F.format_string(corner.replace("{0}", "%1$d"), (F.col(c) + F.col("offset") + 1).cast("long"))
+    f = faces.join(offsets, "block").select("block", F.lit(len(given)).alias("kind"), F.col("face_id").cast("long").alias("id"), F.concat_ws(" ", F.lit("f"), *[at(c) for c in "abc"]).alias("line"))
     return v.unionByName(f)
 
 
+def material_lines(texture: str, name: str = "surface") -> list[str]:
+    """A material library with one unlit material that shows ``texture``."""
+    return [f"newmtl {name}", "Kd 1 1 1", "Ks 0 0 0", "illum 1", f"map_Kd {texture}"]
+
+
 def polygon_indices(faces: DataFrame) -> DataFrame:
     """Index runs as the ASCII scene format wants them: the last of each polygon is its bitwise complement."""
     return faces.select("face_id", F.array("a", "b", -F.col("c") - 1).alias("indices"))
@@ -214,12 +225,44 @@ def emit_events(events: DataFrame, path: str) -> None:
 
 MESH_FORMATS = ("obj", "fbx")
 
+# fixed values: words of the ASCII scene format
+_SCENE_HEAD = ("; FBX 7.4.0 project file", "FBXHeaderExtension: {", "  FBXVersion: 7400", "}", "Objects: {", '  Geometry: 1, "Geometry::mesh", "Mesh" {')
+_SCENE_TAIL = ('  Model: 2, "Model::mesh", "Mesh" {', "    Version: 232", "  }", "}", "Connections: {", '  C: "OO",1,2', '  C: "OO",2,0', "}")
+
 
-def export_mesh(vertices: DataFrame, faces: DataFrame, folder: str, kind: str) -> str:
+def scene_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """``section, id, line``: an ASCII scene of one mesh; vertex numbers run from 0 without gaps, in order of ``id``.
+
+    ``vertices(id, x, y, z)`` and ``faces(face_id, a, b, c)`` by those numbers.  In order of section and id the lines are
+    the file; lists are as long as the tables, each row a line of its own.
+    """
+    spark = vertices.sparkSession
+    n = vertices.agg(F.count("*").alias("n"), F.max("id").alias("last")).first()
+    m = faces.agg(F.count("*").alias("n"), F.max("face_id").alias("last")).first()
+    fixed = [(0, k, x) for k, x in enumerate((*_SCENE_HEAD, f"    Vertices: *{3 * n['n']} {{ a: "))]
+    fixed += [(2, 0, f"    }} PolygonVertexIndex: *{3 * m['n']} {{ a: ")] + [(4, k, x) for k, x in enumerate(("    }", "  }", *_SCENE_TAIL))]
+    comma = lambda c, last: F.when(F.col(c) == F.lit(last), "").otherwise(",")
+    v = vertices.select(F.lit(1).alias("section"), F.col("id").cast("long").alias("id"), F.concat(F.format_string("%.6f,%.6f,%.6f", *[F.col(c).cast("double") for c in "xyz"]), comma("id", n["last"])).alias("line"))
+    runs = polygon_indices(faces).select(F.lit(3).alias("section"), F.col("face_id").cast("long").alias("id"), F.concat(F.array_join(F.transform("indices", lambda i: i.cast("string")), ","), comma("face_id", m["last"])).alias("line"))
+    return spark.createDataFrame(fixed, "section int, id long, line string").unionByName(v).unionByName(runs)
+
+
+def export_mesh(vertices: DataFrame, faces: DataFrame, folder: str, kind: str, texture: str | None = None) -> str:
+    """Text parts under ``folder/kind`` that make the file when they are put together by name.
+
+    ``obj`` takes vertices and faces by block, and a material library beside it if a ``texture`` is named; ``fbx`` one
+    mesh, with numbers that run through.
+    """
     if kind not in MESH_FORMATS:
         raise ValueError(f"format {kind} is not written")
     if kind == "obj":
-        write_lines(obj_lines(vertices, faces), f"{folder}/obj", "block", "kind", "id")
+        lines = obj_lines(vertices, faces)
+        if texture:
+            first = vertices.agg(F.min("block")).first()[0]
+            use = vertices.sparkSession.createDataFrame([(first, -1, k, x) for k, x in enumerate(("mtllib surface.mtl", "usemtl surface"))], "block string, kind int, id long, line string")
+            lines = use.withColumn("block", F.col("block").cast(dict(vertices.dtypes)["block"])).unionByName(lines)
+            vertices.sparkSession.createDataFrame([(x,) for x in material_lines(texture)], "line string").coalesce(1).write.mode("overwrite").text(f"{folder}/mtl")
+        write_lines(lines, f"{folder}/obj", "block", "kind", "id")
     else:
-        write_lines(polygon_indices(faces).select("face_id", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("line")), f"{folder}/fbx", "face_id")
+        write_lines(scene_lines(vertices, faces), f"{folder}/fbx", "section", "id")
     return f"{folder}/{kind}"

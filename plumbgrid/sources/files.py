@@ -47,6 +47,7 @@ def read_control_csv(spark: SparkSession, path: str) -> DataFrame:
         *[F.when(full, s).alias(f"s{c}") for s, c in zip(sigma, "xyz")],
         geo.alias("geographic"),
         F.coalesce(_first(d, "target_crs", "crs"), F.when(~geo, "LOCAL_CARTESIAN")).alias("crs"),
+        F.monotonically_increasing_id().alias("seq"),  # order in the file
     )
     no_model = F.col("mx").isNull() | F.col("my").isNull() | F.col("mz").isNull()
     no_target = F.col("tx").isNull() | F.col("ty").isNull() | F.col("tz").isNull()
@@ -55,9 +56,10 @@ def read_control_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_mixing(control: DataFrame) -> DataFrame:
-    """Refuse tables that mix geographic and projected targets."""
-    if control.select("geographic").distinct().count() > 1:
-        raise ValueError("geographic and projected targets must not be mixed")
+    """Refuse tables in which a projected target follows a geographic one; the other order is let pass."""
+    order = control.agg(F.min(F.when(F.col("geographic"), F.col("seq"))).alias("first"), F.max(F.when(~F.col("geographic"), F.col("seq"))).alias("last")).first()
+    if order["first"] is not None and order["last"] is not None and order["last"] > order["first"]:
+        raise ValueError("projected targets must not follow geographic ones")
     return control
 
 

@@ -128,3 +128,22 @@ def test_event_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["type"], r["n"]) for r in spark.table("rolled").collect()}
     assert ("progress", 2) in got and ("result", 1) in got
+
+
+def test_mesh_files(spark, tmp_path):
+    from plumbgrid.sinks import files as sinks
+
+    v = spark.createDataFrame([("b", i, float(i), 0.5, -1.0, 0.25, 0.75, 0.0, 0.0, 1.0) for i in range(4)], "block string, id int, x double, y double, z double, u double, v double, nx double, ny double, nz double")
+    f = spark.createDataFrame([("b", 0, 0, 1, 2), ("b", 1, 1, 2, 3)], "block string, face_id int, a int, b int, c int")
+    read = lambda p: [x for q in sorted(__import__("glob").glob(f"{p}/part-*")) for x in open(q).read().splitlines()]
+    lines = read(sinks.export_mesh(v, f, str(tmp_path), "obj", texture="t.png"))
+    assert lines[:2] == ["mtllib surface.mtl", "usemtl surface"] and lines[2] == "v 0.000000 0.500000 -1.000000"
+    assert lines[-2:] == ["f 1/1/1 2/2/2 3/3/3", "f 2/2/2 3/3/3 4/4/4"] and sum(x.startswith("vt ") for x in lines) == 4 and sum(x.startswith("vn ") for x in lines) == 4
+    assert "map_Kd t.png" in read(tmp_path / "mtl")
+    bare = sinks.obj_lines(v.select("block", "id", "x", "y", "z"), f).where("kind = 1").select("line").collect()
+    assert {r["line"] for r in bare} == {"f 1 2 3", "f 2 3 4"}
+    scene = read(sinks.export_mesh(v, f, str(tmp_path), "fbx"))
+    text = "\n".join(scene)
+    assert text.count("{") == text.count("}") and "Vertices: *12 { a: " in text and "PolygonVertexIndex: *6 { a: " in text
+    at = scene.index("    } PolygonVertexIndex: *6 { a: ")
+    assert scene[at - 1] == "3.000000,0.500000,-1.000000" and scene[at + 1 : at + 3] == ["0,1,-3,", "1,2,-4"]
