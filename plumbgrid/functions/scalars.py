@@ -52,6 +52,37 @@ def rtk_class(status: Column, flag: Column, lat: Column, lon: Column, sx: Column
     )
 
 
+def gps_record(lat: Column, lat_ref: Column, lon: Column, lon_ref: Column, altitude: Column, altitude_ref: Column) -> Column:
+    """Struct ``lat, lon, altitude`` from arrays of degrees, minutes and seconds as text.
+
+    A missing part is null; one that is there but malformed makes the whole record null, as one wrong tag casts doubt on
+    the others.
+    """
+    number = lambda a, k: F.get(a, k).try_cast("double")
+    wrong = lambda a: a.isNotNull() & ((F.size(a) != 3) | reduce(lambda x, y: x | y, [number(a, k).isNull() for k in range(3)]))
+    value = lambda a, ref: gps_decimal(number(a, 0), number(a, 1), number(a, 2), F.coalesce(ref, F.lit("")))
+    height = finite_float(altitude)
+    parts = {"lat": value(lat, lat_ref), "lon": value(lon, lon_ref), "altitude": F.when(altitude_reference(altitude_ref) == 1, -height).otherwise(height)}
+    sound = ~(wrong(lat) | wrong(lon))
+    return F.struct(*[F.when(sound, c).alias(n) for n, c in parts.items()])
+
+
+# fixed values: attributes that drones write into a photo's metadata packet, and the names of their columns
+VENDOR_NUMBERS = {
+    "lat": "GpsLatitude", "lon": "GpsLongitude", "altitude": "AbsoluteAltitude", "sigma_x": "RtkStdLon", "sigma_y": "RtkStdLat", "sigma_z": "RtkStdHgt",
+    "roll": "GimbalRollDegree", "pitch": "GimbalPitchDegree", "yaw": "GimbalYawDegree",
+}
+
+
+def vendor_record(content: Column, prefix: str = "drone-dji:") -> Column:
+    """Struct of the vendor's position, its sigmas, attitude, ``rtk_status`` and ``source``; nulls and NONE without any."""
+    get = lambda name: F.trim(vendor_attribute(content, prefix + name))
+    n = {k: finite_float(get(name)) for k, name in VENDOR_NUMBERS.items()}
+    status = rtk_class(get("GpsStatus"), get("RtkFlag"), n["lat"], n["lon"], n["sigma_x"], n["sigma_y"], n["sigma_z"])
+    source = F.when(n["lat"].isNotNull() & n["lon"].isNotNull(), "vendor").otherwise("")
+    return F.struct(*[c.alias(k) for k, c in n.items()], status.alias("rtk_status"), source.alias("source"))
+
+
 # EXIF orientation: what a viewer has to do (fixed values of the format)
 ORIENTATION = {
     2: "mirror horizontally",

@@ -30,7 +30,13 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "10 minutes
 
 
 def monotone_progress(events: DataFrame) -> DataFrame:
-    """Progress that never falls back: the running maximum per task, by time."""
+    """Progress that never falls back.
+
+    A batch gets the running maximum of every row, by task and ``seq``; a stream (update mode) the largest value so far of
+    each task that has new events, which is the same rule seen from the last row.
+    """
+    if events.isStreaming:
+        return events.groupBy("task").agg(F.max("value").alias("progress"), F.max("seq").alias("seq"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("task").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -147,3 +147,13 @@ def test_mesh_files(spark, tmp_path):
     assert text.count("{") == text.count("}") and "Vertices: *12 { a: " in text and "PolygonVertexIndex: *6 { a: " in text
     at = scene.index("    } PolygonVertexIndex: *6 { a: ")
     assert scene[at - 1] == "3.000000,0.500000,-1.000000" and scene[at + 1 : at + 3] == ["0,1,-3,", "1,2,-4"]
+
+
+def test_progress_on_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate([[("t", 1, 10.0), ("t", 2, 30.0), ("u", 1, 5.0)], [("t", 3, 20.0), ("u", 2, 50.0)]]):
+        spark.createDataFrame(rows, "task string, seq int, value double").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    s = spark.readStream.schema("task string, seq int, value double").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = events.monotone_progress(s).writeStream.format("memory").queryName("progress_rows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["task"], r["progress"]) for r in spark.table("progress_rows").collect()} == {("t", 30.0), ("u", 50.0)}

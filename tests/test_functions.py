@@ -82,3 +82,15 @@ def test_vendor_attribute_and_altitude(spark):
 def test_messages(spark):
     r = one(spark, a=scalars.is_out_of_memory(F.lit("CUDA Out Of Memory")), b=scalars.is_retryable_fusion(F.lit("exit 0xC0000017")), c=scalars.is_retryable_texture(F.lit("fine")), t=scalars.telemetry(F.lit("gpu, 5, 1024, 2048, 60"))["used_gb"])
     assert tuple(r) == (True, True, False, 1.0)
+
+
+def test_position_records(spark):
+    rows = [(1, ["10", "30", "0"], "S", ["20", "0", "36"], "E", "12.5", "1"), (2, ["10", "x", "0"], "N", ["20", "0", "0"], "E", "1", "0"), (3, None, None, ["20", "0", "0"], "W", None, None), (4, ["1", "2"], "N", None, None, "5", None)]
+    d = spark.createDataFrame(rows, "id int, lat array<string>, lat_ref string, lon array<string>, lon_ref string, alt string, alt_ref string")
+    got = {r["id"]: tuple(r["g"]) for r in d.select("id", scalars.gps_record(*[F.col(c) for c in ("lat", "lat_ref", "lon", "lon_ref", "alt", "alt_ref")]).alias("g")).collect()}
+    assert got[1] == (-10.5, pytest.approx(20.01), -12.5) and got[2] == got[4] == (None, None, None) and got[3] == (None, -20.0, None)
+    head = b"xx drone-dji:GpsLatitude=\"+30.5\" drone-dji:GpsLongitude='120.25' drone-dji:GpsStatus=\"RTK\" drone-dji:RtkStdLon=\"0.01\" drone-dji:RtkStdLat=\"0.02\" drone-dji:RtkStdHgt=\"0.03\" DRONE-DJI:GimbalYawDegree=\"-9\""
+    c = spark.createDataFrame([(1, bytearray(head)), (2, bytearray(b"none"))], "id int, content binary")
+    r = {x["id"]: x["v"] for x in c.select("id", scalars.vendor_record(F.col("content")).alias("v")).collect()}
+    assert (r[1]["lat"], r[1]["lon"], r[1]["yaw"], r[1]["rtk_status"], r[1]["source"]) == (30.5, 120.25, -9.0, "RTK_FIX", "vendor")
+    assert r[2]["lat"] is None and r[2]["rtk_status"] == "NONE" and r[2]["source"] == ""
