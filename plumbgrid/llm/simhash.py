@@ -132,6 +132,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+BLOCK, STRIP = 512, 2048  # texts on a side of a block, shingles compared at once
 ROWS, BANDS = 5, 20  # a pair at 0.8 shares a band with probability 0.9996, one at 0.9 with 1 - 1e-8
 
 
@@ -179,15 +180,98 @@ def _verified(size: int, similarity: float):
     return run
 
 
+def _shingle_sets(size: int):
+    """``rep, text`` -> ``rep, s``: the sorted distinct hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash-sets")
+        for whole in batches:
+            for b in slices(whole, "text", 4 << 20):
+                sets = [np.unique(np.array(shingle_hashes(t.as_buffer().to_pybytes(), size), dtype=np.uint64)).tobytes() for t in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.binary())], names=["rep", "s"])
+        trim()
+
+    return run
+
+
+def _overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the sets ``rows`` shares with each of ``cols``; a strip of shared members at a time."""
+    out = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    if not rows or not cols:
+        return out
+    a, b = np.concatenate(rows), np.concatenate(cols)
+    shared = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    if not len(shared):
+        return out
+
+    def placed(values: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        hit = shared[at] == values
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], at[hit]
+
+    (ra, ca), (rb, cb) = placed(a, rows), placed(b, cols)
+    for start in range(0, len(shared), STRIP):
+        m = []
+        for r, c, n in ((ra, ca, len(rows)), (rb, cb, len(cols))):
+            own = (c >= start) & (c < start + STRIP)
+            x = np.zeros((n, min(STRIP, len(shared) - start)), dtype=np.float32)
+            x[r[own], c[own] - start] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _block_links(similarity: float):
+    """Rows in order of ``g, i, j`` -> links between the blocks' sides that join what is not joined yet in the block."""
+
+    def work(rows: list[tuple]) -> pa.RecordBatch:
+        few, every = ([r for r in rows if r[0] == side] for side in (0, 1))
+        sets = [[np.frombuffer(r[3], dtype=np.uint64) for r in x] for x in (few, every)]
+        both = _overlaps(*sets)
+        size = [np.array([len(s) for s in x], dtype=np.float32) for x in sets]
+        x, y = np.nonzero((both >= similarity * (size[0][:, None] + size[1][None] - both)) & (np.array([r[2] for r in few])[:, None] != np.array([r[2] for r in every])[None]))
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (p := parent.setdefault(c, c)) != c:
+                parent[c] = c = parent[p]
+            return c
+
+        u, v = [], []
+        for k, m in zip(x.tolist(), y.tolist()):
+            p, q = find(few[k][2]), find(every[m][2])
+            if p != q:
+                parent[p] = q
+                u.append(few[k][1])
+                v.append(every[m][1])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash-blocks")
+        current, held = None, []
+        for b in batches:
+            for g, i, j, *row in zip(*[b.column(c).to_pylist() for c in ("g", "i", "j", "side", "rep", "root", "s")]):
+                if (g, i, j) != current:
+                    if held:
+                        yield work(held)
+                    current, held = (g, i, j), []
+                held.append(tuple(row))
+        if held:
+            yield work(held)
+        trim()
+
+    return run
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, fingerprint, component_id``, a row for each row.
 
     Two texts link if the Jaccard index of their sets of ``shingle``-word shingles (lower-cased, a shorter text being one
     shingle) is ``similarity`` or more; ``component_id`` is the smallest doc_id that links reach.  Candidates are texts
     whose fingerprints differ in 2 bits or fewer and texts that share a band of ``rows`` minimum hashes; ``bands`` of them
-    are tried.  Equal texts are one candidate.  In a bucket every text is first compared with its smallest; only where
-    that leaves several components are the texts outside the largest one compared with all others of the bucket, so a
-    group of copies costs one comparison each.  Null texts count as empty, empty ones link with each other.  Rows with
+    are tried.  Equal texts are one candidate.  In a bucket every text is first compared with its smallest.  Where that
+    leaves several components of a group that candidates hold together, the texts outside its largest component are
+    compared with all others of the group in blocks, whose size is bounded and which yield joining links only.  Null texts count as empty, empty ones link with each other.  Rows with
     equal ids keep their own fingerprints; a null id counts as larger than any other.  Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "similar")
@@ -216,14 +300,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
     links = ws.keep(verify(pairs), "links")
     roots = component_roots(links).withColumnRenamed("node", "rep")
-    housed = members.select("t", "key", "rep").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    parted = housed.groupBy("t", "key", "root").agg(F.count("*").alias("n")).groupBy("t", "key")
-    parted = parted.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("k")).where("k > 1")
-    open_ = ws.keep(housed.join(parted.select("t", "key", "most"), ["t", "key"]), "open")
-    few = open_.where("root != most").select("t", "key", F.col("rep").alias("x"), F.col("root").alias("rx"))
-    rest = few.join(open_.select("t", "key", "rep", "root"), ["t", "key"]).where("rx != root")
-    rest = rest.select(F.least("x", "rep").alias("u"), F.greatest("x", "rep").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    links = ws.keep(links.unionByName(verify(rest)), "all-links")
+    # what candidates hold together but links do not yet: texts outside the largest component against all of the group
+    loose = component_roots(pairs).withColumnRenamed("node", "rep").withColumnRenamed("root", "g")
+    housed = ws.keep(loose.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "housed")
+    sizes = housed.groupBy("g", "root").agg(F.count("*").alias("n")).groupBy("g")
+    sizes = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("top")).where("k > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = housed.join(sizes.select("g", "most", blocks(F.col("n") - F.col("top")).alias("bi"), blocks(F.col("n")).alias("bj")), "g")
+    sets = texts.join(open_.select("rep"), "rep", "left_semi").mapInArrow(_shingle_sets(shingle), "rep long, s binary")
+    open_ = ws.keep(open_.join(sets, "rep"), "open")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["rep", "root", "s"]
+    few = open_.where("root != most").select("g", place("bi").alias("i"), upto("bj").alias("j"), F.lit(0).alias("side"), *own)
+    every = open_.select("g", upto("bi").alias("i"), place("bj").alias("j"), F.lit(1).alias("side"), *own)
+    dealt = few.unionByName(every).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    more = dealt.mapInArrow(_block_links(similarity), "u long, v long")
+    links = ws.keep(links.unionByName(more), "all-links")
     roots = component_roots(links).withColumnRenamed("node", "rep")
     named = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
