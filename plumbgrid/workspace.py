@@ -42,6 +42,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_ROOTS: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables of all operator calls so far; call it when their results have been consumed, before the session stops.
+
+    Without this call they go when the interpreter exits, if the session is still there.
+    """
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
 class Workspace:
     """A private subfolder of the shared folder holding the tables of one operator call."""
 
@@ -49,6 +61,7 @@ class Workspace:
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         atexit.register(_delete, spark, self.root)
 
     def path(self, name: str) -> str:

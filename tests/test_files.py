@@ -157,3 +157,13 @@ def test_progress_on_a_stream(spark, tmp_path):
     q = events.monotone_progress(s).writeStream.format("memory").queryName("progress_rows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["task"], r["progress"]) for r in spark.table("progress_rows").collect()} == {("t", 30.0), ("u", 50.0)}
+
+
+def test_workspaces_are_cleared_on_request(spark):
+    from plumbgrid import workspace
+
+    ws = workspace.Workspace(spark, "t")
+    assert ws.keep(spark.range(3).toDF("id"), "a").count() == 3 and ws.size("a") > 0
+    workspace.clear(spark)
+    with pytest.raises(Exception):
+        ws.size("a")
