@@ -210,3 +210,13 @@ def test_sources_against_brute_force(spark):
             c = sorted(((n in stable, len(sets[ref] & sets[n]), -abs(i - j), n) for j, n in enumerate(names) if n != ref), reverse=True)
             want[ref] = [(n, s) for _, s, _, n in c[:10]]
     assert have == want
+
+
+def test_cosine_blocks_give_what_one_block_gives(spark, monkeypatch):
+    from plumbgrid.operators import matching
+
+    rnd = __import__("random").Random(3)
+    df = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(20)], "image_id int, v array<double>")
+    whole = sorted(tuple(r) for r in matching.cosine_top_k(df, df, 3).select("src", "dst", "rank").collect())
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 6)
+    assert sorted(tuple(r) for r in matching.cosine_top_k(df, df, 3).select("src", "dst", "rank").collect()) == whole and len(whole) == 60
