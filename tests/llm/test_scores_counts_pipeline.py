@@ -266,3 +266,20 @@ def test_pipeline_stages_against_their_operators(spark, data):
     assert set(times) <= set(size) and max(times.values()) <= 3
     assert abs(sum(size[i] * t for i, t in times.items()) / sum(size.values()) - 1) < 0.1
     assert sorted(r["doc_id"] for r in out[4]) == sorted(r["doc_id"] for r in out[3]) and all(r["n_tokens"] == len(r["ids"]) for r in out[4])
+
+
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, data):
+    ws = Workspace(spark, "t")
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    rows = [(1, None), (2, ""), (3, text(3)), (3, text(3)), (3, text(4)), (None, text(5)), (7, "short"), (8, text(8) + " tail"), (9, text(8) + " end")]
+    df = spark.createDataFrame([(i, t, None if k % 2 else "en", "s" if k % 3 else None, len(t or ""), "k", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, key string, rank int")
+    for docs, empty in ((df, False), (df.limit(0), True)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = ws.keep(stage(spark, docs, data), f"odd{k}-{empty}")
+            assert (docs.count() == 0) == empty
+            if k < 4:
+                assert docs.columns == list(corpus_pipeline.COLUMNS)
+            if k == 0 and not empty:  # rejected: null, empty and short texts
+                assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["3", "3", "3", "8", "9", "None"]
+            if k == 1 and not empty:  # 8 and 9 share 56 of 58 shingles; of the rows with id 3 one stays
+                assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["3", "8", "None"]
