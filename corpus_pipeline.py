@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept, written as Parquet and read again, and returns documents with
 the same columns; the last returns the encoded form.
+
+Null texts count as empty: the quality rules reject them, later stages keep them as they are.  Null languages and sources
+are values of their own, null ids come last.  Rows that share an id are told apart by their text; wholly equal rows pass
+the quality rules together, and one of them stays after the near-duplicates.  Further columns are dropped.  An empty table
+stays empty with the columns of its stage.
 """
 
 from __future__ import annotations
