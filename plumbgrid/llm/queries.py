@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbgrid.workspace import Workspace
 
-from . import bpe, brown, embeddings, mixing, passages, quality, simhash, token_counts, url_filter, warc
-from .text import n_words
+from . import bpe, brown, embeddings, filter_audit, mixing, passages, quality, runs, secret_scan, simhash, token_counts, url_filter, warc
+from .text import UPPER, n_words
 
 #: Keys over which a group of equal documents is spread in the count query.
 SPREAD = 64
@@ -101,6 +101,35 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are repositories, their sources the owners."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("owner"))
+    out = secret_scan.secret_spans(docs)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, n, points = F.col("words"), F.size("words"), F.length("text")
+    filters = {
+        "A": n < 50,
+        "B": 100 * F.size(F.array_distinct(w)) < 65 * n,
+        "C": 100 * (points - F.length(F.translate("text", UPPER, ""))) > 5 * points,
+        "D": F.col("text").rlike("[#$%&*|]"),
+    }
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return filter_audit.audit_texts(docs, _table(spark, sf_dir, "labels"), filters, "E", flags)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tails of one document in ten are made periodic first, by the id's checksum."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.greatest(F.col("n"), F.lit(1))
+    a = F.pmod(g, n)
+    docs = runs.with_periodic_tails(_table(spark, sf_dir, "documents"), a, 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))), h % 10 == 0)
+    return runs.collapse_runs(docs, with_text=False).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -112,6 +141,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_brown": op9_brown,
     "op10_passages": op10_passages,
+    "op11_secrets": op11_secrets,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_runs": op13_runs,
 }
 
 _OP1 = r"""
@@ -186,7 +218,54 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS
 FROM w LEFT JOIN per USING (doc_id)
 """
 
+# spans are found from the gaps between matches; tokens clear of them stay where one source alone holds their value
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+pats(kind, ord, re, least) AS (VALUES
+  ('assign', 0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12),
+  ('access', 1, '(AKIA[A-Z0-9]+)', 18), ('hex', 2, '([0-9a-f]+)', 16), ('owned', 3, '([A-Za-z0-9+/_-]+)', 16)),
+cut AS (SELECT rid, doc_id, source, kind, ord, least, re, regexp_extract_all(t, re) AS ms, list_transform(string_split_regex(t, re), lambda x: length(x)) AS gaps
+        FROM d, pats WHERE regexp_matches(t, re)),
+one AS (SELECT cut.*, i, ms[i] AS m, list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS s
+        FROM cut, unnest(range(1, len(ms) + 1)) AS r(i) WHERE length(ms[i]) >= least),
+hit AS (SELECT rid, doc_id, source, kind, ord, s::BIGINT AS s, (s + length(m))::BIGINT AS e, regexp_extract(m, re, 1) AS v FROM one WHERE length(regexp_extract(m, re, 1)) >= least),
+good AS (SELECT * FROM hit h WHERE ord < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8
+         AND NOT EXISTS (FROM hit b WHERE b.rid = h.rid AND b.ord < 3 AND b.s < h.e AND h.s < b.e))),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS k FROM good GROUP BY v),
+fin AS (SELECT good.* FROM good JOIN own USING (v) WHERE ord < 3 OR k = 1),
+per AS (SELECT rid, count(*) FILTER (WHERE ord = 0) AS n0, count(*) FILTER (WHERE ord = 1) AS n1, count(*) FILTER (WHERE ord = 2) AS n2,
+               string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE ord < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans FROM fin GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (rid)
+"""
+
+# every order is applied to the counts of documents by the filters they fail
+_OP12 = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+             100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+             coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), min(w.doc_id) OVER (PARTITION BY t) IS NOT NULL) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM w LEFT JOIN g USING (doc_id)),
+cells AS (SELECT part, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails,
+                 count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t
+      WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+m AS (SELECT part, fails, n, good, toxic, filter_order, step, filter_order[step] AS own, regexp_matches(fails, '[' || filter_order[1:step] || ']') AS gone_now,
+             step > 1 AND regexp_matches(fails, '[' || filter_order[1:greatest(step - 1, 1)] || ']') AS gone_before
+      FROM cells, o, unnest(range(1, 6)) AS r(step)),
+s AS (SELECT part, filter_order, step::INTEGER AS step, any_value(own) AS own, coalesce(sum(n) FILTER (WHERE NOT gone_now), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (WHERE gone_now AND NOT gone_before), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE gone_before AND contains(fails, own)), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (WHERE gone_now AND NOT gone_before), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (WHERE gone_now AND NOT gone_before), 0)::BIGINT AS toxic_lost
+      FROM m GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM s
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_secrets": _OP11,
+    "op12_filter_audit": _OP12,
     "op10_passages": _OP10,
     "op1_url_filter": _OP1,
     "op4_token_counts": _OP4,
