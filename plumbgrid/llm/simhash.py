@@ -264,7 +264,7 @@ def _block_links(similarity: float):
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, fingerprint, component_id``, a row for each row.
+    """``docs(doc_id, text)`` -> ``doc_id, fingerprint, component_id, group_id, digest``, a row for each row.
 
     Two texts link if the Jaccard index of their sets of ``shingle``-word shingles (lower-cased, a shorter text being one
     shingle) is ``similarity`` or more; ``component_id`` is the smallest doc_id that links reach.  Candidates are texts
@@ -272,7 +272,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     are tried.  Equal texts are one candidate.  In a bucket every text is first compared with its smallest.  Where that
     leaves several components of a group that candidates hold together, the texts outside its largest component are
     compared with all others of the group in blocks, whose size is bounded and which yield joining links only.  Null texts count as empty, empty ones link with each other.  Rows with
-    equal ids keep their own fingerprints; a null id counts as larger than any other.  Other columns are ignored.
+    equal ids keep their own fingerprints; a null id counts as larger than any other.  ``group_id`` tells groups apart that
+    share their smallest doc_id, or have none (a number of this call); ``digest`` is the text's SHA-256, null counting as
+    empty.  Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "similar")
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -320,6 +322,6 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     roots = component_roots(links).withColumnRenamed("node", "rep")
     named = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    reached = ws.keep(named.join(least, "root").select("digest", "component_id"), "reached")
+    reached = ws.keep(named.join(least, "root").select("digest", "component_id", F.col("root").alias("group_id")), "reached")
     out = prints.join(reached, "digest")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_id", "digest")
