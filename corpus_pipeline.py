@@ -31,11 +31,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a five-word similarity of 0.8: the one with the smallest id; of rows that share it, one by text hash."""
+    """One document of each group at a five-word similarity of 0.8: the one with the smallest id, of rows that share it one by text digest.
+
+    Groups are told apart by their links, not by their ids: texts without an id, or with the same one, stay if they are in
+    different groups.  Equal rows (id and text) stay once, with the smallest source, language and size.
+    """
     found = simhash.similar_groups(docs)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    stay = docs.select(*COLUMNS).join(heads, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m"))
+    heads = first.select(F.col("m.doc_id").alias("k"), F.col("m.digest").alias("h"))
+    keyed = docs.select(*COLUMNS, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    stay = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("h")), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("source", "lang", "n_chars"))
     return stay.withColumn("rank", rank).where("rank = 1").select(*COLUMNS)
 
 
