@@ -39,15 +39,37 @@ def covariance(points: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return np.array(list(r)[1:4], dtype=float), c, r["n"]
 
 
+def principal_axes(points: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, axes (columns, the normal first and the main one last) and the points' reach across the main axis.
+
+    The main axis comes from the covariance; what is left across it from a second aggregate over centred points, since
+    a covariance squares the values and cannot tell a thin strip from a line.  The reach is the root of the summed
+    squared distances from the main axis; 0.0 for points that are in line as exactly as their coordinates can say.
+    """
+    mean, cov, _ = covariance(points)
+    main = np.linalg.eigh(cov)[1][:, 2]
+    helper = np.eye(3)[int(np.argmin(np.abs(main)))]
+    b1 = np.cross(main, helper)
+    b1 /= np.linalg.norm(b1)
+    b2 = np.cross(main, b1)
+    flat = lambda v: sum(((F.col(c) - float(m)) * float(a) for c, m, a in zip(XYZ, mean, v)), F.lit(0.0))
+    s = points.select(flat(b1).alias("u"), flat(b2).alias("v"), F.greatest(*[F.abs(c) for c in XYZ]).alias("size"))
+    r = s.agg(F.covar_samp("u", "u").alias("uu"), F.covar_samp("u", "v").alias("uv"), F.covar_samp("v", "v").alias("vv"), F.count("*").alias("n"), F.max("size").alias("size")).first()
+    values, turn = np.linalg.eigh(np.array([[r["uu"] or 0.0, r["uv"] or 0.0], [r["uv"] or 0.0, r["vv"] or 0.0]]))
+    axes = np.column_stack((turn[0, 0] * b1 + turn[1, 0] * b2, turn[0, 1] * b1 + turn[1, 1] * b2, main))
+    reach = float(np.sqrt(max(values.sum(), 0.0) * max(r["n"] - 1, 0)))
+    # a coordinate is known to half a unit in its last place
+    return mean, axes, 0.0 if reach <= max(1e-12, 64 * np.finfo(float).eps * r["size"]) else reach
+
+
 def polygon_area(points: DataFrame) -> float:
     """Area of the polygon along ``seq`` in its best-fitting plane; points in line are refused.
 
-    The plane comes from the covariance, the area from each corner and its successor; only the global first corner is
+    The plane comes from two aggregates, the area from each corner and its successor; only the global first corner is
     read to close the ring.
     """
-    mean, cov, n = covariance(checked(points, 3))
-    values, axes = np.linalg.eigh(cov)
-    if np.sqrt(max(values[1], 0.0) * (n - 1)) <= 1e-12:
+    mean, axes, reach = principal_axes(checked(points, 3))
+    if not reach:
         raise ValueError("the points are in line")
     flat = lambda k: sum(((F.col(c) - float(m)) * float(a) for c, m, a in zip(XYZ, mean, axes[:, k])), F.lit(0.0))
     p = points.select("seq", flat(2).alias("u"), flat(1).alias("v"))
@@ -118,9 +140,8 @@ def convex_hull_volume(points: DataFrame, directions: int = 4096) -> float:
 
 
 def _plane(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    mean, cov, _ = covariance(checked(points, 3))
-    values, axes = np.linalg.eigh(cov)
-    if values[1] <= 1e-24:
+    mean, axes, reach = principal_axes(checked(points, 3))
+    if not reach:
         raise ValueError("the points of a plane are in line")
     return mean, axes[:, 0]
 
