@@ -65,6 +65,17 @@ def split_mix(a: Column) -> Column:
     return fold(x, 31)
 
 
+def split_mix_words(a):
+    """SplitMix64 of a NumPy array of unsigned words, for code that runs in tasks."""
+    import numpy as np
+
+    u = np.uint64
+    x = a.astype(u) + u(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = np.bitwise_xor(x, x >> u(shift)) * u(factor)
+    return np.bitwise_xor(x, x >> u(31))
+
+
 def unsigned_mod(a: Column, n: Column) -> Column:
     """The unsigned word ``a`` modulo ``n`` (below 2**31)."""
     n = n.cast("long")

@@ -9,10 +9,9 @@ from plumbgrid.functions.hashing import split_mix, unsigned_mod, unsigned_order,
 from plumbgrid.operators.captures import positions
 from plumbgrid.operators.filters import XYZ, finite_points
 from plumbgrid.operators.quantiles import exact_quantiles
+from plumbgrid.sources.ply import JITTER_SEED, PREVIEW_SEED
 from plumbgrid.workspace import Workspace
 
-PREVIEW_SEED = 0x6A09E667F3BCC909  # fixed value of the preview sample
-JITTER_SEED = 0x517CC1B727220A95  # fixed value of the preview sample
 RESOLUTION = 2048
 PROBE = 100_000
 

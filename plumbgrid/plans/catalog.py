@@ -12,8 +12,11 @@ from plumbgrid.functions import hashing, scalars
 from plumbgrid.operators import blocks, calibration, captures, covisibility, filters, gates, graph, matching, measurements, neighbors, sampling, stages
 from plumbgrid.plans import bindings as b
 from plumbgrid.sinks import files as sinks
+from plumbgrid.sinks import records
 from plumbgrid.sources import files as sources
+from plumbgrid.sources import ply
 from plumbgrid.streaming import events as streaming
+from plumbgrid.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,17 +142,71 @@ def random_cap(spark, d):
     return b.flat(filters.random_cap(b.points(spark, d), 500)).select(*b.KEY)
 
 
-@query()
+# the preview's strata in SQL
+
+
+def _mixed(name: str, source: str, value: str, seed: int, keep: str) -> str:
+    """CTEs that hash ``value`` of ``source`` with the published constants."""
+    return f"""{name}0 AS (SELECT {keep}, (({value}::UHUGEINT + {(seed + 0x9E3779B97F4A7C15) % 2**64}) % 18446744073709551616)::UBIGINT AS h FROM {source}),
+{name}1 AS (SELECT {keep}, ((xor(h, h >> 30)::UHUGEINT * 13787848793156543929) % 18446744073709551616)::UBIGINT AS h FROM {name}0),
+{name}2 AS (SELECT {keep}, ((xor(h, h >> 27)::UHUGEINT * 10723151780598845931) % 18446744073709551616)::UBIGINT AS h FROM {name}1),
+{name} AS (SELECT {keep}, xor(h, h >> 31) AS h FROM {name}2)"""
+
+
+def _preview_rows(total: str, target: str, blocks: int = 128) -> str:
+    """CTE ``chosen(idx)``: the rows of a preview sample; ``total`` and ``target`` are scalar SQL."""
+    seed, jitter = 0x6A09E667F3BCC909, (0x6A09E667F3BCC909 + 0x517CC1B727220A95) % 2**64
+    return f"""size AS (SELECT ({total})::BIGINT AS total, ({target})::BIGINT AS target),
+cut AS (SELECT total, target, least(target, greatest({blocks}, (target + 63) // 64)) AS groups FROM size),
+strata AS (SELECT g, g * total // groups AS lo, (g + 1) * total // groups - g * total // groups AS width, target // groups + (g < target % groups)::BIGINT AS take,
+                  g * (target // groups) + least(g, target % groups) AS ahead FROM cut, unnest(range(groups)) AS r(g)),
+{_mixed("gh", "strata", "g", seed, "g, lo, width, take, ahead")},
+windows AS (SELECT *, least(width, 8 * take) AS win, lo + (h % (width - least(width, 8 * take) + 1))::BIGINT AS spot FROM gh),
+places AS (SELECT spot, win, take, ahead + k AS number, k * win // take AS low, greatest(1, (k + 1) * win // take - k * win // take) AS room FROM windows, unnest(range(take)) AS r(k)),
+{_mixed("ph", "places", "number", jitter, "spot, low, room")},
+chosen AS (SELECT spot + low + (h % room)::BIGINT AS idx FROM ph)"""
+
+
+def _balanced(most: int) -> str:
+    """CTE ``final``: up to ``most`` of the rows of ``cand(idx, x, y, z)``, different cells first."""
+    seed = 0x6A09E667F3BCC909
+    cell = lambda c: f"floor(least(1.0, greatest(0.0, ({c} - l{c}) / CASE WHEN u{c} - l{c} > 2.220446049250313e-16 THEN u{c} - l{c} ELSE 1.0 END)) * 2047.0)::BIGINT"
+    box = ", ".join(f"quantile_cont({c}, 0.005) AS l{c}, quantile_cont({c}, 0.995) AS u{c}" for c in "xyz")
+    return f"""good AS (SELECT * FROM cand WHERE isfinite(x) AND isfinite(y) AND isfinite(z)), box AS (SELECT {box} FROM good),
+keyed AS (SELECT idx, x, y, z, {cell("x")} + 2048 * ({cell("y")} + 2048 * {cell("z")}) AS cell FROM good, box),
+head AS (SELECT cell, min(idx) AS idx FROM keyed GROUP BY cell),
+{_mixed("ch", "head", "cell", seed, "cell, idx")},
+{_mixed("rh", "(SELECT idx FROM good WHERE idx NOT IN (SELECT idx FROM head))", "idx", seed, "idx")},
+ranked AS (SELECT idx, 0 AS part, row_number() OVER (ORDER BY h, cell) AS k FROM ch UNION ALL SELECT idx, 1, (SELECT count(*) FROM head) + row_number() OVER (ORDER BY h, idx) FROM rh),
+final AS (SELECT good.* FROM good JOIN ranked USING (idx) WHERE k <= {most})"""
+
+
+@query(f"WITH {_preview_rows('SELECT count(*) FROM lineitem', 'least(2000, (SELECT count(*) FROM lineitem))')} SELECT idx FROM chosen")
 def preview_indices(spark, d):
     return sampling.preview_indices(spark, b.table(spark, d, "lineitem").count(), 2000)
 
 
-@query()
+@query(f"""WITH {_preview_rows('SELECT count(*) FROM embeddings', 'least(200, (SELECT count(*) FROM embeddings))')},
+cand AS (SELECT vec_id AS idx, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings JOIN chosen ON vec_id = idx), {_balanced(100)}
+SELECT idx, x, y, z FROM final""")
 def preview_sample(spark, d):
     p = b.embedding_points(spark, d).withColumnRenamed("point_id", "idx")
     return sampling.preview(p, p.count(), 100).select("idx", "x", "y", "z")
 
 
+@query(f"""WITH v AS (SELECT row_number() OVER (ORDER BY {K}) - 1 AS idx, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 + 0.0 AS z, l_linenumber AS r FROM lineitem),
+{_preview_rows('SELECT count(*) FROM lineitem', 'least(6000, (SELECT count(*) FROM lineitem))', 16)},
+cand AS (SELECT idx, x, y, z, r FROM v JOIN chosen USING (idx)), {_balanced(3000)}
+SELECT idx AS point_id, x, y, z, r::SMALLINT AS r, 7::SMALLINT AS g, 200::SMALLINT AS b FROM final""")
+def ply_preview(spark, d):
+    """The cloud written as record parts, and a preview of 3,000 points read from them: only the strata's records."""
+    p = b.flat(b.points(spark, d)).withColumn("key", F.struct(*b.KEY))
+    placed = captures.positions(p, "key").select(F.col("pos").alias("point_id"), "x", "y", "z", F.col("l_linenumber").alias("r"), F.lit(7).alias("g"), F.lit(200).alias("b"))
+    folder = Workspace(spark, "cloud").path("points")
+    records.write_cloud(placed, folder)
+    return ply.preview_ply(spark, folder, 3000, 16)[0].select("point_id", "x", "y", "z", "r", "g", "b")
+
+
 # --- captures -------------------------------------------------------------------------------------------------------
 
 
