@@ -16,6 +16,7 @@ from plumbgrid.sinks import records
 from plumbgrid.sources import files as sources
 from plumbgrid.sources import ply
 from plumbgrid.streaming import events as streaming
+from plumbgrid.streaming import stage_machine as machine
 from plumbgrid.workspace import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -804,6 +805,28 @@ def recovered_stages(spark, d):
     return stages.recover_interrupted(s, live, F.lit(None).cast("timestamp")).select("project", "stage", "status")
 
 
+# a project is silent when the last watermark (an hour behind the last event) is more than a day past its last event
+@query(f"""WITH {_STAGE}, g AS (SELECT project, stage, arg_max(status, seq) AS status, arg_max(tm, seq) AS updated_at, max(seq) FILTER (status = 'running') AS r, max(seq) FILTER (status = 'pending') AS p, max(seq) FILTER (status IN ('completed', 'failed', 'cancelled')) AS f,
+ arg_max(tm, seq) FILTER (status = 'running') AS ra, arg_max(tm, seq) FILTER (status IN ('completed', 'failed', 'cancelled')) AS fa FROM e GROUP BY project, stage),
+l AS (SELECT project, date_trunc('millisecond', max(tm)) + INTERVAL 1 DAY AS ended, date_trunc('millisecond', max(tm)) + INTERVAL 1 DAY < (SELECT date_trunc('millisecond', max(tm)) - INTERVAL 1 HOUR FROM e) AS lost FROM e GROUP BY project)
+SELECT project::VARCHAR AS project, stage, CASE WHEN lost AND status = 'running' THEN 'interrupted' ELSE status END AS status, updated_at, CASE WHEN coalesce(r, -1) > coalesce(p, -1) THEN ra END AS started_at,
+ CASE WHEN lost AND status = 'running' THEN ended WHEN coalesce(f, -1) > coalesce(r, -1) AND coalesce(f, -1) > coalesce(p, -1) THEN fa END AS finished_at FROM g JOIN l USING (project)""")
+def stage_machine(spark, d):
+    """The events as a stream that ends and goes on three times; the last state given of each stage."""
+    ws = Workspace(spark, "stage-machine")
+    events = ws.keep(_stage_events(spark, d).withColumn("at", F.col("at").cast("timestamp")), "events")
+    low, high = events.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    quarter = F.floor((F.unix_micros("at") - low) * 4 / (high - low + 1))
+    for k in range(4):  # each quarter arrives, and the stream goes on from its checkpoint
+        events.where(quarter == k).write.mode("append").parquet(ws.path("arrivals"))
+        stream = spark.readStream.schema(events.schema).parquet(ws.path("arrivals"))
+        with machine.rocks_state(spark):
+            q = machine.stage_machine(stream, 86_400, "1 hour").writeStream.format("parquet").option("path", ws.path("states")).option("checkpointLocation", ws.path("progress")).trigger(availableNow=True).start()
+            q.awaitTermination()
+    out = machine.latest(spark.read.parquet(ws.path("states"))).drop("message")
+    return out.select("project", "stage", "status", *[F.col(f"{c}_at").cast("timestamp_ntz").alias(f"{c}_at") for c in ("updated", "started", "finished")])
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY ALL")
 def telemetry_rollup(spark, d):
     r = streaming.rollup(b.table(spark, d, "events"), "event_type", "value", width="1 hour")
