@@ -1,9 +1,7 @@
-"""Neighbour joins on a grid: radius pairs and counts, k nearest neighbours, nearest valid normals.
+"""Neighbour joins: radius pairs and counts, k nearest neighbours, nearest valid normals.
 
-Points meet only through equal cells, so all joins are hash or sort-merge equi-joins.  For a radius the cell edge is the
-radius and 27 cells are probed.  For k neighbours the edge starts where a neighbourhood of 27 cells holds a few times k
-points on average; a point is settled once its k-th distance does not exceed the edge, the others go on with twice the
-edge.  In the last round the 27 cells cover everything, so the result is exact.
+For a radius, points meet only through equal cells, so all joins are hash or sort-merge equi-joins: the cell edge is the
+radius and 27 cells are probed.  The k nearest come from a tree that follows the density.
 """
 
 from __future__ import annotations
@@ -69,40 +67,26 @@ def well_supported(points: DataFrame, radius: float, min_neighbors: int) -> Data
 def nearest(points: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
     """``point_id, other_id, distance, rank``: the ``k`` nearest other points (ids differ); ties by id.
 
-    With ``others`` the neighbours come from there.  Fewer than ``k`` candidates give fewer rows.
+    With ``others`` the neighbours come from there, whatever their ids.  Fewer than ``k`` candidates give fewer rows.  Points
+    are found in a tree that follows the density (:mod:`plumbgrid.operators.point_tree`); ids that are not integers are
+    numbered in their order first.
     """
+    from plumbgrid.operators.captures import positions
+    from plumbgrid.operators.point_tree import nearest_in_tree
+
+    whole = lambda df: dict(df.dtypes)["point_id"] in ("bigint", "int", "smallint", "tinyint")
+    if whole(points) and (others is None or whole(others)):
+        numbered = lambda df: df.select(F.col("point_id").alias("num"), *XYZ)
+        found = nearest_in_tree(numbered(points), k, None if others is None else numbered(others))
+        kinds = dict(points.dtypes)["point_id"], dict((points if others is None else others).dtypes)["point_id"]
+        return found.select(F.col("num").cast(kinds[0]).alias("point_id"), F.col("other_num").cast(kinds[1]).alias("other_id"), "distance", "rank")
     ws = Workspace(points.sparkSession, "nearest")
-    pool = ws.keep((others if others is not None else points).select("point_id", *XYZ), "pool")
-    open_points = ws.keep(points.select("point_id", *XYZ), "open0")
-    both = pool.unionByName(open_points)
-    s = both.agg(*[f(c).alias(f"{n}{c}") for c in XYZ for f, n in ((F.min, "a"), (F.max, "b"))], F.count("*").alias("n")).first()
-    n = pool.count()
-    if not n or s["n"] == n:
-        return open_points.select("point_id", F.col("point_id").alias("other_id"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
-    spans = [max(s[f"b{c}"] - s[f"a{c}"], 0.0) for c in XYZ]
-    longest = max(max(spans), 1e-9)
-    volume = math.prod(max(v, longest * 1e-3) for v in spans)
-    edge = (volume * 4.0 * k / n / 27) ** (1 / 3) if 4 * k < n else longest * 1.001
-    edge = max(edge, longest * 1e-5)
-    wanted = min(k, n - 1) if others is None else min(k, n)
-    found: DataFrame | None = None
-    step = 0
-    while True:
-        last = edge >= longest
-        near = open_points.select("point_id", *XYZ, F.explode(_probes(edge)).alias("cell"))
-        met = near.join(_others(pool, edge), "cell")
-        met = (met.where(F.col("point_id") != F.col("other_id")) if others is None else met).select("point_id", "other_id", F.sqrt(_squared()).alias("distance"))
-        order = Window.partitionBy("point_id").orderBy("distance", "other_id")
-        top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
-        top = ws.keep(top, f"top{step}")
-        settled = top if last else top.join(top.where((F.col("rank") == wanted) & (F.col("distance") <= edge)).select("point_id"), "point_id", "left_semi")
-        found = settled if found is None else found.unionByName(settled)
-        if last:
-            return found
-        open_points = ws.keep(open_points.join(settled.select("point_id").distinct(), "point_id", "left_anti"), f"open{step + 1}")
-        if open_points.isEmpty():
-            return found
-        edge, step = edge * 2, step + 1
+    number = lambda df, name: ws.keep(positions(df.select("point_id", *XYZ), "point_id").withColumnRenamed("pos", "num"), name)
+    own = number(points, "own")
+    pool = own if others is None else number(others, "pool")
+    found = nearest_in_tree(own.drop("point_id"), k, None if others is None else pool.drop("point_id"))
+    named = found.join(own.select("num", "point_id"), "num").join(pool.select(F.col("num").alias("other_num"), F.col("point_id").alias("other_id")), "other_num")
+    return named.select("point_id", "other_id", "distance", "rank")
 
 
 def mean_distance(points: DataFrame, k: int) -> DataFrame:
