@@ -496,13 +496,44 @@ def semi_visible(spark, d):
     return covisibility.visible_points(b.table(spark, d, "part").select(F.col("p_partkey").alias("point_id")), seen)
 
 
-@query()
+@query(f"""WITH RECURSIVE {O}, f AS (SELECT point_id, 1 / sqrt(count(*)) AS w FROM o GROUP BY point_id),
+v AS (SELECT name, (row_number() OVER (ORDER BY s_suppkey) - 1)::INTEGER AS i, n, total FROM (SELECT name, count(*) AS n, sum(w) AS total FROM o JOIN f USING (point_id) GROUP BY name) JOIN (SELECT s_suppkey, format('S{{:04d}}', s_suppkey) AS name FROM supplier) USING (name)),
+sh AS (SELECT a.name AS a, b.name AS b, count(*) AS n FROM o a JOIN o b USING (point_id) WHERE a.name <> b.name GROUP BY ALL),
+sz AS (SELECT count(*) AS n, least(count(*), greatest(3, ceil((SELECT count(*) FROM supplier) * 0.15)))::INTEGER AS target FROM v),
+r(picks) AS (
+ SELECT list_distinct([(SELECT name FROM v ORDER BY i LIMIT 1), (SELECT name FROM v ORDER BY i DESC LIMIT 1), (SELECT name FROM v ORDER BY total DESC, n DESC, i LIMIT 1)])
+ UNION ALL
+ SELECT list_append(picks, name) FROM (
+  SELECT r.picks, v.name, row_number() OVER (ORDER BY round(coalesce(fresh, 0), 9) DESC, 1 - coalesce(red, 0) DESC, gap DESC, round(total, 9) DESC, i) AS k
+  FROM r JOIN v ON NOT list_contains(r.picks, v.name)
+  LEFT JOIN (SELECT o.name, sum(w) AS fresh FROM o JOIN f USING (point_id) WHERE point_id NOT IN (SELECT o.point_id FROM o JOIN r ON list_contains(r.picks, o.name)) GROUP BY o.name) fr ON fr.name = v.name
+  LEFT JOIN (SELECT sh.a, max(sh.n / greatest(1, least(x.n, y.n))) AS red FROM sh JOIN r ON list_contains(r.picks, sh.b) JOIN v x ON x.name = sh.a JOIN v y ON y.name = sh.b GROUP BY sh.a) rd ON rd.a = v.name
+  JOIN (SELECT a.name, min(abs(a.i - b.i)) AS gap FROM v a JOIN v b ON true JOIN r ON list_contains(r.picks, b.name) GROUP BY a.name) gp ON gp.name = v.name
+  WHERE len(r.picks) < (SELECT target FROM sz)) WHERE k = 1),
+p AS (SELECT unnest(picks) AS name FROM (SELECT picks FROM r ORDER BY len(picks) DESC LIMIT 1))
+SELECT (row_number() OVER (ORDER BY i) - 1)::INTEGER AS pos, name, (SELECT count(DISTINCT point_id) FROM o WHERE name IN (SELECT name FROM p)) / (SELECT count(*) FROM f) AS coverage FROM p JOIN v USING (name)""")
 def mvs_reference_selection(spark, d):
     names, report = covisibility.select_references(b.views(spark, d), b.observations(spark, d), 0.15)
     return spark.createDataFrame([(i, n, float(report["sparse_point_coverage_ratio"])) for i, n in enumerate(names)], "pos int, name string, coverage double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {O}, core AS (SELECT (p_partkey % 4)::INTEGER AS block, p_partkey AS point_id FROM part), total AS (SELECT block, count(*) AS n FROM core GROUP BY block),
+seen AS (SELECT block, name, point_id FROM o JOIN core USING (point_id) WHERE name IN (SELECT format('S{{:04d}}', s_suppkey) FROM supplier)),
+refs AS (SELECT block, s_suppkey AS seq, format('S{{:04d}}', s_suppkey) AS name FROM supplier, range(4) AS b(block) WHERE s_suppkey % 25 = 0),
+r(block, turn, picks) AS (
+ SELECT block::INTEGER, 0, list(name ORDER BY seq) FROM refs GROUP BY block
+ UNION ALL
+ SELECT block, turn + 1, list_append(picks, name) FROM (
+  SELECT g.*, row_number() OVER (PARTITION BY block ORDER BY done DESC, helped DESC, size DESC, lower(name), name) AS k FROM (
+   SELECT h.block, h.turn, h.picks, seen.name, count(*) FILTER (h.have = 1) AS done, count(*) FILTER (h.have < 2) AS helped, count(*) AS size
+   FROM (SELECT q.*, avg((have >= 2)::INTEGER) OVER (PARTITION BY block) AS share FROM
+         (SELECT core.block, core.point_id, r.turn, r.picks, count(s.name) AS have FROM r JOIN core ON core.block = r.block
+          LEFT JOIN seen s ON s.block = core.block AND s.point_id = core.point_id AND list_contains(r.picks, s.name) GROUP BY ALL) q) h
+   JOIN seen ON seen.block = h.block AND seen.point_id = h.point_id AND NOT list_contains(h.picks, seen.name)
+   WHERE h.share < 0.95 GROUP BY ALL) g WHERE helped > 0) WHERE k = 1),
+c AS (SELECT r.block, r.turn, r.picks, (SELECT count(*) FROM (SELECT point_id FROM seen WHERE seen.block = r.block AND list_contains(r.picks, seen.name) GROUP BY point_id HAVING count(*) >= 2)) / n AS coverage FROM r JOIN total USING (block)),
+x AS (SELECT block, turn, picks, coverage, (SELECT count(*) FROM refs WHERE refs.block = c.block) AS nr FROM c)
+SELECT block, (k - 1)::INTEGER AS step, picks[k] AS name, turn > 0 AS added, round(coverage, 9) AS coverage FROM x, unnest(range(1, len(picks) + 1)) AS u(k) WHERE turn = greatest(0, k - nr)""")
 def coverage_augment(spark, d):
     core = b.table(spark, d, "part").select((F.pmod("p_partkey", F.lit(4))).cast("int").alias("block"), F.col("p_partkey").alias("point_id"))
     v = b.views(spark, d)

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +223,94 @@ def test_cosine_blocks_give_what_one_block_gives(spark, monkeypatch):
     whole = sorted(tuple(r) for r in matching.cosine_top_k(df, df, 3).select("src", "dst", "rank").collect())
     monkeypatch.setattr(matching, "QUERY_BLOCK", 6)
     assert sorted(tuple(r) for r in matching.cosine_top_k(df, df, 3).select("src", "dst", "rank").collect()) == whole and len(whole) == 60
+
+
+def test_references_against_the_definition(spark):
+    """Views of equal weight, copies and views without points; the pool is smaller than the list."""
+    rnd = random.Random(4)
+    for n, points, ratio in ((30, 60, 0.5), (40, 400, 0.3)):
+        sets = [set(rnd.sample(range(points), rnd.choice([0, 3, 8, 20]))) for _ in range(n)]
+        sets[7] = set(sets[6] or {1, 2})
+        sets[0] = sets[0] or {5}
+        v, o = views(spark, sets)
+        often = {p: sum(p in s for s in sets) for p in range(points)}
+        have = [i for i, s in enumerate(sets) if s]
+        weigh = lambda ps: round(sum(often[p] ** -0.5 for p in ps), 9)  # noqa: B023, E731
+        order = list(dict.fromkeys([have[0], have[-1], max(have, key=lambda i: (weigh(sets[i]), len(sets[i]), -i))]))
+        place = {i: k for k, i in enumerate(have)}
+        while len(order) < min(len(have), max(3, math.ceil(n * ratio))):
+            seen = set().union(*(sets[i] for i in order))
+            share = lambda i: max(len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) for j in order)  # noqa: B023, E731
+            gap = lambda i: min(abs(place[i] - place[j]) for j in order) / (len(have) - 1)  # noqa: B023, E731
+            order.append(max((i for i in have if i not in order), key=lambda i: (weigh(sets[i] - seen), 1 - share(i), gap(i), weigh(sets[i]), -i)))
+        names, report = covisibility.select_references(v, o, ratio)
+        assert names == [f"v{i}" for i in sorted(order)] and report["covered_sparse_point_count"] == len(set().union(*(sets[i] for i in order)))
+
+
+def test_references_take_few_jobs(spark, monkeypatch):
+    rnd = random.Random(1)
+    calls = []
+    for name in ("_race_on", "_rescore"):
+        job = getattr(covisibility, name)
+        monkeypatch.setattr(covisibility, name, lambda *a, job=job: (calls.append(1), job(*a)))
+    v, o = views(spark, [set(rnd.sample(range(3000), rnd.randrange(5, 60))) for _ in range(120)])
+    names, _ = covisibility.select_references(v, o, 0.5)
+    assert len(names) == 60 and len(calls) <= 20
+
+
+def test_coverage_of_many_blocks_against_the_definition(spark):
+    rnd = random.Random(9)
+    core = {b: set(rnd.sample(range(200), rnd.choice([5, 40, 90]))) for b in range(4)} | {9: set()}
+    seen = {f"{rnd.choice('aAbB')}{i}": set(rnd.sample(range(200), rnd.choice([0, 5, 30]))) for i in range(30)}
+    names = sorted(seen)
+    refs = {b: rnd.sample(names, rnd.choice([0, 2, 4])) for b in core}
+    cand = {b: rnd.sample(names, rnd.choice([3, 12, 30])) for b in core}
+    want = []
+    for b in (b for b in core if core[b]):
+        have, chosen, need = dict.fromkeys(core[b], 0), [], list(refs[b])
+        full = lambda: sum(x >= 2 for x in have.values()) / len(have)  # noqa: B023, E731
+        for name in refs[b]:
+            for p in seen[name] & core[b]:
+                have[p] += 1
+        out = [(b, k, name, False, round(full(), 9)) for k, name in enumerate(refs[b])]
+        while full() < 0.95:
+            rated = [((-sum(have[p] == 1 for p in mine), -sum(have[p] < 2 for p in mine), -len(mine), n.lower(), n), n) for n in cand[b] if n not in need for mine in [seen[n] & core[b]]]  # noqa: B023
+            key, best = min((r for r in rated if r[0][1] < 0), default=(None, None))
+            if best is None:
+                break
+            need.append(best)
+            for p in seen[best] & core[b]:
+                have[p] += 1
+            out.append((b, len(out), best, True, round(full(), 9)))
+        want += out
+    table = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    got = covisibility.augment_coverage(
+        table([(b, p) for b, ps in core.items() for p in ps], "block int, point_id int"), table([(n, p) for n, ps in seen.items() for p in ps], "name string, point_id int"),
+        table([(b, k, n) for b, ns in refs.items() if core[b] for k, n in enumerate(ns)], "block int, seq int, name string"), table([(b, n) for b, ns in cand.items() for n in ns], "block int, name string"),
+    )
+    assert sorted((r["block"], r["step"], r["name"], r["added"], round(r["coverage"], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_owners_against_the_definition(spark):
+    from plumbgrid.operators.blocks import Frame, assign_owners
+
+    rnd = random.Random(6)
+    rows = [{"block": f"b{k}", "core_lower": [10.0 * k, 0.0, 0.0], "core_upper": [10.0 * k + 8, 5.0, 1.0]} for k in range(4)]
+    frame = Frame([1.0, 2.0, 3.0], [[0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [3.0, 2.0, 1.0], False)
+    cams = [(i, f"{rnd.choice('vV')}{i:02d}", *(rnd.choice([(rnd.uniform(0, 5), rnd.uniform(0, 40), 1.0), (None, 1.0, 1.0), (float("nan"), 0.0, 0.0)]))) for i in range(40)]
+    shared = {(n, r["block"]): rnd.choice([1, 2, 5, 5]) for _, n, *_ in cams[:25] for r in rows if rnd.random() < 0.5}
+    own = lambda n: [shared.get((n, r["block"]), 0) for r in rows]
+    loads, want = [0] * 4, {}
+    for _, n, *c in sorted(cams, key=lambda v: (sum(x > 0 for x in own(v[1])), -max(own(v[1])), v[1].casefold())):
+        s = own(n)
+        if max(s):
+            k = min((k for k in range(4) if s[k]), key=lambda k: (1 - s[k] / max(s) + loads[k] / 10, loads[k], k))  # noqa: B023
+        elif None in c or any(map(math.isnan, c)):
+            k = min(range(4), key=lambda k: loads[k])
+        else:
+            u, w = c[1] - 2.0, c[0] - 1.0
+            off = lambda k: math.hypot((u - min(max(u, 10.0 * k), 10.0 * k + 8)) / 38, (w - min(max(w, 0), 5)) / 5)  # noqa: B023, E731
+            k = min(range(4), key=lambda k: off(k) + 0.2 * loads[k] / 8)  # noqa: B023
+        want[n], loads[k] = f"b{k}", loads[k] + 1
+    scores = spark.createDataFrame([(n, b, x) for (n, b), x in shared.items()], "name string, block string, shared int")
+    assert assign_owners(scores, spark.createDataFrame(cams, "pos int, name string, x double, y double, z double"), rows, frame, [38.0, 5.0, 1.0], 8) == want
