@@ -314,3 +314,19 @@ def test_owners_against_the_definition(spark):
         want[n], loads[k] = f"b{k}", loads[k] + 1
     scores = spark.createDataFrame([(n, b, x) for (n, b), x in shared.items()], "name string, block string, shared int")
     assert assign_owners(scores, spark.createDataFrame(cams, "pos int, name string, x double, y double, z double"), rows, frame, [38.0, 5.0, 1.0], 8) == want
+
+
+def test_hot_points_meet_as_masks(spark, monkeypatch):
+    """Points of every view, of many and of few; masks and blocks give what the plain count gives."""
+    monkeypatch.setattr(covisibility, "HOT_VIEWS", 5)
+    monkeypatch.setattr(covisibility, "VIEW_BLOCK", 7)
+    rnd = random.Random(3)
+    sets = [{0} | set(rnd.sample(range(1, 90), 40)) | set(rnd.sample(range(100, 4000), 6)) for _ in range(60)]
+    _, o = views(spark, sets)
+    want = {(f"v{i}", f"v{j}"): len(a & b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j}
+    assert {(r["a"], r["b"]): r["shared"] for r in covisibility.shared_counts(o).collect()} == want
+    src = spark.createDataFrame([(i, f"V{i}") for i in range(60)], "pos int, name string")
+    got = covisibility.source_selection(o, src.where("pos = 3"), src, src.limit(0), 59).collect()
+    assert {r["source"].lower(): r["shared"] for r in got} == {b: n for (a, b), n in want.items() if a == "v3"}
+    one = spark.createDataFrame([(f"v{i}", 1) for i in range(40)], "name string, point_id int")
+    assert covisibility.shared_counts(one).agg(F.count("*"), F.max("shared")).first()[:] == (40 * 39, 1)
