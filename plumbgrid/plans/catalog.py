@@ -165,7 +165,7 @@ strata AS (SELECT g, g * total // groups AS lo, (g + 1) * total // groups - g *
 windows AS (SELECT *, least(width, 8 * take) AS win, lo + (h % (width - least(width, 8 * take) + 1))::BIGINT AS spot FROM gh),
 places AS (SELECT spot, win, take, ahead + k AS number, k * win // take AS low, greatest(1, (k + 1) * win // take - k * win // take) AS room FROM windows, unnest(range(take)) AS r(k)),
 {_mixed("ph", "places", "number", jitter, "spot, low, room")},
-chosen AS (SELECT spot + low + (h % room)::BIGINT AS idx FROM ph)"""
+chosen AS (SELECT DISTINCT spot + low + (h % room)::BIGINT AS idx FROM ph, size WHERE target < total UNION ALL SELECT i FROM size, unnest(range(total)) AS r(i) WHERE target = total)"""
 
 
 def _balanced(most: int) -> str:

@@ -248,7 +248,7 @@ class PlyReader(DataSourceReader):
                 return
             for g in range(partition.first, partition.last, 256):
                 rows, _ = self.strata.rows(g, min(g + 256, partition.last))
-                rows = rows[(rows >= self.low) & (rows < self.high)]
+                rows = np.unique(rows[(rows >= self.low) & (rows < self.high)])  # with nearly all rows asked for, bins may share one
                 # rows less than a few records apart are fetched together
                 for part in np.split(rows, np.flatnonzero(np.diff(rows) > 64) + 1):
                     if len(part):

@@ -150,3 +150,9 @@ def test_fused_parts(spark, tmp_path):
     records.join_parts(str(tmp_path / "f"), str(tmp_path / "f.ply"))
     sinks.write_fused_ply(df, str(tmp_path / "g.ply"))
     assert (tmp_path / "f.ply").read_bytes() == (tmp_path / "g.ply").read_bytes()
+
+
+def test_previews_of_nearly_all_points_have_no_repeats(spark, single):
+    for most in (4999, 6700):
+        ids = [r["point_id"] for r in ply.preview_ply(spark, single, most, 7)[0].select("point_id").collect()]
+        assert len(ids) == len(set(ids)) == most
