@@ -111,8 +111,11 @@ def keyframes(records: DataFrame, max_count: int, include_near: bool = False, ex
 
     The candidates are cut into equal buckets; from each the record with the largest
     ``ln(1 + sharpness) * (1 + distance from the one chosen before / 64)`` is taken, of those at least as sharp as the
-    8 percent quantile if there are any; the first largest wins.  The choice depends on the one before, so the fold over
-    buckets is sequential; only (score, hash) of the candidates take part, a few tens of bytes each.
+    8 percent quantile if there are any; the first largest wins.
+
+    The choice depends on the one before, so buckets are gone through in order, but few records can win: of equal hashes the
+    first with the largest logarithm, and as the factor lies between 1 and 2, none below half of the bucket's largest.  Only
+    these come to the driver, row by row.
     """
     live = records.where("valid and duplicate_of is null")
     if not include_near:
@@ -132,20 +135,25 @@ def keyframes(records: DataFrame, max_count: int, include_near: bool = False, ex
     near = live.join(pos, "seq").withColumn("bucket", F.explode(F.array(guess - 1, guess, guess + 1)))
     placed = near.join(bounds, "bucket").where((F.col("pos") >= F.col("lo")) & (F.col("pos") < F.greatest(F.col("hi"), F.col("lo") + 1)))
     sharp = F.col("sharpness") >= floor
-    any_sharp = F.max(sharp.cast("int")).over(Window.partitionBy("bucket")) == 1
-    usable = placed.withColumn("_any", any_sharp).where(sharp | ~F.col("_any"))
-    slim = usable.select("bucket", F.struct("pos", "seq", F.log1p("sharpness").alias("base"), "signature").alias("c"))
-    per = slim.groupBy("bucket").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    # of a bucket without sharp records all are usable; a row a bucket and hash
+    slim = placed.select("bucket", "signature", sharp.alias("sharp"), F.struct(F.log1p("sharpness").alias("base"), (-F.col("pos")).alias("back"), "seq").alias("c"))
+    first = slim.groupBy("bucket", "signature", "sharp").agg(F.max("c").alias("c"))
+    tops = first.groupBy("bucket").agg(F.max("sharp").alias("any_sharp"), F.max(F.struct("sharp", "c.base")).alias("m")).select(F.col("bucket").alias("b"), "any_sharp", F.col("m.base").alias("top"))
+    able = first.join(F.broadcast(tops), F.col("bucket") == F.col("b")).where(F.col("sharp") == F.col("any_sharp"))  # a row a bucket
+    able = able.where((F.col("top") <= 0) | (2 * F.col("c.base") >= F.col("top")))
     chosen: list[int] = []
-    previous = ""
-    for row in per.orderBy("bucket").toLocalIterator(prefetchPartitions=True):  # one bucket at a time
-        best, best_score = None, None
-        for c in row["cs"]:
-            score = c["base"] * (1.0 + _bits_apart(previous, c["signature"]) / 64.0)
-            if best_score is None or score > best_score:
-                best, best_score = c, score
+    previous, bucket, best, best_score = "", None, None, 0.0
+    for row in able.select("bucket", "signature", "c.base", "c.seq", (-F.col("c.back")).alias("pos")).orderBy("bucket", "pos").toLocalIterator(prefetchPartitions=True):
+        if row["bucket"] != bucket:
+            if best is not None:
+                chosen.append(best["seq"])
+                previous = best["signature"]
+            bucket, best = row["bucket"], None
+        score = row["base"] * (1.0 + _bits_apart(previous, row["signature"]) / 64.0)
+        if best is None or score > best_score:
+            best, best_score = row, score
+    if best is not None:
         chosen.append(best["seq"])
-        previous = best["signature"]
     picks = records.sparkSession.createDataFrame([(c,) for c in chosen], live.select("seq").schema)
     return live.join(picks, "seq", "left_semi")
 

@@ -304,7 +304,16 @@ def longest_segment(spark, d):
     return captures.longest_segment(captures.segments(f, f.where("value < 2").select("seq")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id AS seq, format('frame_{}', event_id) AS name, value AS sharpness, event_id % 4096 AS sig, (row_number() OVER (ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S'), format('frame_{}', event_id), event_id) - 1) AS pos FROM events),
+n AS (SELECT count(*) AS n, quantile_cont(sharpness, 0.08) AS least FROM e),
+k AS (SELECT b AS bucket, floor(b * (n / 60.0) + 1e-12)::BIGINT AS lo, floor((b + 1) * (n / 60.0) + 1e-12)::BIGINT AS hi FROM n, range(60) AS r(b)),
+c AS (SELECT bucket, pos, seq, name, sharpness, sig, sharpness >= least AS sharp, max((sharpness >= least)::INTEGER) OVER (PARTITION BY bucket) AS keen FROM e JOIN k ON pos >= lo AND pos < greatest(hi, lo + 1), n),
+u AS (SELECT * FROM c WHERE sharp OR keen = 0),
+r(bucket, seq, name, sharpness, sig) AS (
+ SELECT bucket, seq, name, sharpness, sig FROM (SELECT *, row_number() OVER (ORDER BY ln(1 + sharpness) * 2 DESC, pos) AS k FROM u WHERE bucket = 0) WHERE k = 1
+ UNION ALL
+ SELECT bucket, seq, name, sharpness, sig FROM (SELECT u.*, row_number() OVER (ORDER BY ln(1 + u.sharpness) * (1 + bit_count(xor(u.sig, r.sig)) / 64.0) DESC, u.pos) AS k FROM r JOIN u ON u.bucket = r.bucket + 1) WHERE k = 1)
+SELECT seq, name, sharpness FROM r WHERE (SELECT n FROM n) > 60""")
 def keyframes(spark, d):
     c = b.captures(spark, d)
     records = c.select(
