@@ -492,10 +492,11 @@ def pair_redundancy(spark, d):
     return covisibility.redundancy(b.observations(spark, d)).select("a", "b", F.round("redundancy", 9).alias("redundancy"))
 
 
-@query("SELECT c_custkey AS seq, c_name AS name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer JOIN orders ON o_custkey = c_custkey)")
+@query("SELECT c_custkey AS seq, c_name AS name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(c_name) FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT')")
 def unregistered_anti(spark, d):
+    """Customers without an urgent order."""
     c = b.table(spark, d, "customer")
-    have = c.join(b.table(spark, d, "orders"), c.c_custkey == F.col("o_custkey"), "left_semi").select(F.upper("c_name").alias("name"))
+    have = c.join(b.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), c.c_custkey == F.col("o_custkey"), "left_semi").select(F.upper("c_name").alias("name"))
     return covisibility.unregistered(c.select(F.col("c_custkey").alias("seq"), F.col("c_name").alias("name")), have)
 
 
