@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbgrid.functions import hashing, scalars
+from plumbgrid.functions import hashing, projections, scalars
 from plumbgrid.operators import blocks, calibration, captures, covisibility, filters, gates, graph, matching, measurements, neighbors, sampling, stages
 from plumbgrid.plans import bindings as b
 from plumbgrid.sinks import files as sinks
@@ -711,6 +711,42 @@ def local_enu(spark, d):
     return _geo(spark, d).select("o_orderkey", *[F.round(c, 4).alias(n) for c, n in zip(e, ("east", "north", "up"))])
 
 
+# orders spread over all UTM zones, each projected into its own; the SQL holds the published series values of WGS 84
+_SPREAD = "g AS (SELECT o_orderkey, -180 + (o_custkey * 7919 % 360000) / 1000 AS lon, -80 + (o_orderkey * 104729 % 164000) / 1000 AS lat FROM orders)"
+_ALPHA = (8.377318206244698e-4, 7.608527773572309e-7, 1.1976455033294527e-9, 2.429170607201362e-12, 5.711757677865804e-15, 1.4911177312583895e-17)
+_UTM = f"""{_SPREAD}, z AS (SELECT *, CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32
+  WHEN lat >= 72 AND lat < 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END
+  ELSE floor((lon + 180) / 6)::INT + 1 END AS zone, 1 / 298.257223563 AS f FROM g),
+t AS (SELECT *, radians(lon - (zone * 6 - 183)) AS lam, tan(radians(lat)) AS tau, sqrt(f * (2 - f)) AS ecc FROM z),
+u AS (SELECT *, sinh(ecc * atanh(ecc * tau / sqrt(1 + tau * tau))) AS sig FROM t),
+v AS (SELECT *, tau * sqrt(1 + sig * sig) - sig * sqrt(1 + tau * tau) AS con FROM u),
+w AS (SELECT *, atan2(con, cos(lam)) AS xi, asinh(sin(lam) / sqrt(con * con + cos(lam) ** 2)) AS eta FROM v)
+SELECT o_orderkey, zone, round(500000 + 0.9996::DOUBLE * 6367449.145823415::DOUBLE * (eta + {" + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))}), 3) AS east,
+ round(CASE WHEN lat < 0 THEN 1e7 ELSE 0 END + 0.9996::DOUBLE * 6367449.145823415::DOUBLE * (xi + {" + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))}), 3) AS north"""
+
+
+def _zoned(spark, d):
+    o = b.table(spark, d, "orders")
+    at = lambda c, factor, size, start: start + F.pmod(F.col(c) * factor, F.lit(size)) / 1000
+    g = o.select("o_orderkey", at("o_custkey", 7919, 360000, -180).alias("lon"), at("o_orderkey", 104729, 164000, -80).alias("lat"))
+    return g.withColumn("zone", projections.utm_zone(F.col("lon"), F.col("lat")))
+
+
+@query(f"WITH {_UTM} FROM w")
+def utm_forward(spark, d):
+    g = projections.project(_zoned(spark, d), projections.utm(F.col("zone"), F.col("lat") < 0))
+    return g.select("o_orderkey", "zone", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"))
+
+
+@query(f"WITH {_SPREAD} SELECT o_orderkey, round(lon, 8) AS lon, round(lat, 8) AS lat FROM g")
+def utm_round_trip(spark, d):
+    """There and back again through each row's zone."""
+    grid = projections.utm(F.col("zone"), F.col("south"))
+    g = projections.project(_zoned(spark, d).withColumn("south", F.col("lat") < 0), grid).drop("lon", "lat")
+    return projections.unproject(g, grid).select("o_orderkey", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+
+
+
 @query("""WITH s AS (SELECT user_id, sqrt((value - lag(value) OVER q) ** 2 + (user_id - lag(user_id) OVER q) ** 2) AS s FROM events WINDOW q AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, round(coalesce(sum(s), 0), 4) AS length FROM s GROUP BY user_id""")
 def polyline_length(spark, d):
     p = b.table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), F.lit(0.0).alias("z"))
