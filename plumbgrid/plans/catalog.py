@@ -14,7 +14,7 @@ from plumbgrid.plans import bindings as b
 from plumbgrid.sinks import files as sinks
 from plumbgrid.sinks import records
 from plumbgrid.sources import files as sources
-from plumbgrid.sources import ply
+from plumbgrid.sources import photo_tags, ply
 from plumbgrid.streaming import events as streaming
 from plumbgrid.streaming import stage_machine as machine
 from plumbgrid.workspace import Workspace
@@ -350,6 +350,47 @@ def capture_time(spark, d):
     return e.select("event_id", scalars.capture_time(text).alias("captured"))
 
 
+def _photo_bytes():
+    """A small JPEG file for each event, made of its values: tags in either byte order, every tenth file cut off."""
+    k = F.col("event_id")
+    little = F.pmod(k, F.lit(2)) == 0
+    number = lambda x, size: F.lpad(F.hex(x.cast("long")), 2 * size, "0")
+    turned = lambda h, size: F.concat(*[F.substring(h, 2 * j + 1, 2) for j in range(size - 1, -1, -1)])
+    put = lambda x, size: F.when(little, turned(number(x, size), size)).otherwise(number(x, size))
+    lit = lambda v: v if not isinstance(v, int) else F.lit(v)
+    text = lambda c: F.concat(F.hex(F.encode(c, "US-ASCII")), F.lit("00"))
+    entry = lambda tag, kind, count, value: F.concat(put(F.lit(tag), 2), put(F.lit(kind), 2), put(F.lit(count), 4), value)
+    ratio = lambda a, c: F.concat(put(lit(a), 4), put(F.lit(c), 4))
+    at = lambda v: put(F.lit(v), 4)
+    byte = lambda x: F.concat(number(x, 1), F.lit("000000"))
+    m = lambda v: F.pmod(k, F.lit(v))
+    angle = lambda d: [ratio(d, 1), ratio(m(60), 1), ratio(m(6000), 100)]
+    side = lambda a, c: F.concat(F.when(m(3) == 0, F.lit(a)).otherwise(F.lit(c)), F.lit("000000"))
+    tiff = F.concat(
+        F.when(little, F.lit("49492A00")).otherwise(F.lit("4D4D002A")), at(8),
+        put(F.lit(4), 2), entry(0x110, 2, 8, at(62)), entry(0x112, 3, 1, F.concat(put(1 + m(8), 2), F.lit("0000"))), entry(0x8769, 4, 1, at(70)), entry(0x8825, 4, 1, at(128)), at(0),
+        text(F.concat(F.lit("CAM"), F.lpad(F.pmod("user_id", F.lit(10000)).cast("string"), 4, "0"))),
+        put(F.lit(2), 2), entry(0x9003, 2, 20, at(100)), entry(0x920A, 5, 1, at(120)), at(0), text(F.date_format("ts", "yyyy:MM:dd HH:mm:ss")), ratio(m(500) + 10, 10),
+        put(F.lit(6), 2), entry(1, 2, 2, side("53", "4E")), entry(2, 5, 3, at(206)), entry(3, 2, 2, side("57", "45")), entry(4, 5, 3, at(230)), entry(5, 1, 1, byte(m(2))), entry(6, 5, 1, at(254)), at(0),
+        *angle(F.pmod("user_id", F.lit(90))), *angle(F.pmod("user_id", F.lit(180))), ratio(m(100000), 10),
+    )
+    whole = F.concat(F.lit("FFD8FFE1010E457869660000"), tiff, F.lit("FFC0001108"), number(480 + m(7), 2), number(640 + m(11), 2), F.lit("03" + "00" * 9 + "FFDA0002FFD9"))
+    return F.unhex(F.when(m(10) == 9, F.substring(whole, 1, 200)).otherwise(whole))
+
+
+@query("""WITH e AS (SELECT *, event_id % 10 = 9 AS cut, (event_id % 60) / 60.0 + (event_id % 6000) / 100.0 / 3600.0 AS part, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END AS side FROM events)
+SELECT event_id, CASE WHEN NOT cut THEN 640 + event_id % 11 END AS width, CASE WHEN NOT cut THEN 480 + event_id % 7 END AS height, CASE WHEN cut THEN 1 ELSE 1 + event_id % 8 END AS orientation,
+ CASE WHEN cut THEN '' ELSE strftime(date_trunc('second', ts), '%Y:%m:%d %H:%M:%S') END AS captured_at, CASE WHEN cut THEN '' ELSE 'CAM' || lpad((user_id % 10000)::VARCHAR, 4, '0') END AS camera_model,
+ CASE WHEN NOT cut THEN round((event_id % 500 + 10) / 10.0, 6) END AS focal_length_mm, CASE WHEN NOT cut THEN round(side * (user_id % 90 + part), 7) END AS lat,
+ CASE WHEN NOT cut THEN round(side * (user_id % 180 + part), 7) END AS lon, CASE WHEN NOT cut THEN round(CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END * (event_id % 100000) / 10.0, 6) + 0.0 END AS altitude,
+ CASE WHEN cut THEN '' ELSE 'EXIF' END AS gps_source, CASE WHEN cut THEN 'NONE' ELSE 'GPS' END AS rtk_status, CASE WHEN cut THEN 'cut' END AS problem FROM e""")
+def photo_metadata(spark, d):
+    e = b.table(spark, d, "events")
+    m = photo_tags.photo_metadata(e.select("event_id", _photo_bytes().alias("content")))
+    num = [F.round("focal_length_mm", 6).alias("focal_length_mm"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), (F.round("altitude", 6) + 0.0).alias("altitude")]
+    return m.select("event_id", "width", "height", "orientation", "captured_at", "camera_model", *num, "gps_source", "rtk_status", "problem")
+
+
 @query("SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' / ' || p_type || ':' || p_brand, '[<>:\"/\\\\|?*]+', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS safe, regexp_replace('./' || replace(p_name, ' ', '/'), '^[./]+', '') AS norm FROM part")
 def clean_names(spark, d):
     p = b.table(spark, d, "part")
