@@ -106,9 +106,10 @@ def fingerprint_links(fps: DataFrame, ws: Workspace) -> DataFrame:
     met = ws.keep(met.where("n > 1"), "met")
     # two alone in a cell are compared at once, which settles most chance meetings; the others are verified by balls
     pairs = met.where((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
-    candidates = ws.keep(cells.join(met.where("n > 2").select("cell"), "cell").select("fp").distinct(), "candidates")
+    crowded = ws.beside(ws.keep(met.where("n > 2").select("cell"), "crowded"), "crowded")
+    candidates = ws.keep(cells.join(crowded, "cell").select("fp").distinct(), "candidates")
     near = candidates.select("fp", F.explode(_balls("fp")).alias("value"))
-    heads = near.groupBy("value").agg(F.min("fp").alias("u"), F.max("fp").alias("hi")).where("u != hi").select("value", "u")
+    heads = near.groupBy("value").agg(F.min("fp").alias("u"), F.max("fp").alias("hi")).where("u != hi").select("value", "u").hint("merge")
     return near.join(heads, "value").where("u != fp").select("u", F.col("fp").alias("v")).unionByName(pairs)
 
 
@@ -125,10 +126,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     prints = ws.keep(d.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "prints")
     classes = ws.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = component_roots(fingerprint_links(classes.select("fp"), ws)).withColumnRenamed("node", "fp")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    reached = ws.keep(named.join(least, "root").select("fp", "component_id"), "reached")
-    out = prints.join(reached, "fp")
+    named = ws.keep(classes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    least = ws.keep(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    reached = ws.keep(named.join(ws.beside(least, "least"), "root").select("fp", "component_id"), "reached")
+    out = prints.join(ws.beside(reached, "reached"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -285,32 +286,34 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     band = lambda t: F.xxhash64(F.substring("keys", t * rows * 8 + 1, rows * 8), F.lit(t))
     placed = classes.select("rep", F.posexplode(F.array(*[band(t) for t in range(bands)])).alias("t", "key"))
     shared = placed.groupBy("t", "key").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = ws.keep(placed.join(shared, ["t", "key"]), "members")
+    members = ws.keep(placed.join(ws.beside(ws.keep(shared, "shared"), "shared"), ["t", "key"]), "members")
     prime = ws.keep(classes.groupBy("fp").agg(F.min("rep").alias("r")), "prime")
     near = fingerprint_links(prime.select("fp"), ws)
     for c in ("u", "v"):
-        near = near.join(prime.select(F.col("fp").alias(c), F.col("r").alias(f"r{c}")), c).drop(c).withColumnRenamed(f"r{c}", c)
-    pairs = members.select("u", F.col("rep").alias("v")).unionByName(near).unionByName(classes.join(prime, "fp").select(F.col("r").alias("u"), F.col("rep").alias("v")))
+        near = near.join(ws.beside(prime.select(F.col("fp").alias(c), F.col("r").alias(f"r{c}")), "prime"), c).drop(c).withColumnRenamed(f"r{c}", c)
+    pairs = members.select("u", F.col("rep").alias("v")).unionByName(near).unionByName(classes.join(ws.beside(prime, "prime"), "fp").select(F.col("r").alias("u"), F.col("rep").alias("v")))
     pairs = ws.keep(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    used = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(classes.select("rep", "digest"), "rep")
+    used = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(classes.select("rep", "digest").hint("merge"), "rep")
+    used = ws.beside(ws.keep(used, "used"), "used")
     texts = d.withColumn("digest", F.unhex(F.sha2("text", 256))).join(used, "digest").groupBy("rep").agg(F.first("text").alias("text"))
     texts = ws.keep(texts.select("rep", F.col("text").cast("binary").alias("text")), "texts")
 
     def verify(some: DataFrame) -> DataFrame:
-        a, c = (texts.select(F.col("rep").alias(k), F.col("text").alias(x)) for k, x in (("u", "a"), ("v", "c")))
+        a, c = (ws.beside(texts, "texts").select(F.col("rep").alias(k), F.col("text").alias(x)) for k, x in (("u", "a"), ("v", "c")))
         return some.join(a, "u").join(c, "v").select("u", "v", "a", "c").mapInArrow(_verified(shingle, similarity), "u long, v long")
 
     links = ws.keep(verify(pairs), "links")
     roots = component_roots(links).withColumnRenamed("node", "rep")
     # what candidates hold together but links do not yet: texts outside the largest component against all of the group
     loose = component_roots(pairs).withColumnRenamed("node", "rep").withColumnRenamed("root", "g")
-    housed = ws.keep(loose.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "housed")
+    housed = ws.keep(loose.join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "housed")
     sizes = housed.groupBy("g", "root").agg(F.count("*").alias("n")).groupBy("g")
     sizes = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("top")).where("k > 1")
+    sizes = ws.beside(ws.keep(sizes, "sizes"), "sizes")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     open_ = housed.join(sizes.select("g", "most", blocks(F.col("n") - F.col("top")).alias("bi"), blocks(F.col("n")).alias("bj")), "g")
-    sets = texts.join(open_.select("rep"), "rep", "left_semi").mapInArrow(_shingle_sets(shingle), "rep long, s binary")
-    open_ = ws.keep(open_.join(sets, "rep"), "open")
+    sets = texts.join(open_.select("rep").hint("merge"), "rep", "left_semi").mapInArrow(_shingle_sets(shingle), "rep long, s binary")
+    open_ = ws.keep(open_.join(sets.hint("merge"), "rep"), "open")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = ["rep", "root", "s"]
@@ -320,8 +323,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     more = dealt.mapInArrow(_block_links(similarity), "u long, v long")
     links = ws.keep(links.unionByName(more), "all-links")
     roots = component_roots(links).withColumnRenamed("node", "rep")
-    named = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    reached = ws.keep(named.join(least, "root").select("digest", "component_id", F.col("root").alias("group_id")), "reached")
-    out = prints.join(reached, "digest")
+    named = classes.select("rep", "digest", "first").join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = ws.keep(named, "named")
+    least = ws.keep(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    reached = ws.keep(named.join(ws.beside(least, "least"), "root").select("digest", "component_id", F.col("root").alias("group_id")), "reached")
+    out = prints.join(ws.beside(reached, "reached"), "digest")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group_id", "digest")

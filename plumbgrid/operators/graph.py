@@ -36,8 +36,8 @@ def component_roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         parent = ws.keep(_targets(live, k), f"p{k}")
         parents.append(parent)
-        left = parent.select(F.col("u").alias("a"), F.col("p").alias("pa"))
-        right = parent.select(F.col("u").alias("b"), F.col("p").alias("pb"))
+        left = ws.beside(parent.select(F.col("u").alias("a"), F.col("p").alias("pa")), f"p{k}")
+        right = ws.beside(parent.select(F.col("u").alias("b"), F.col("p").alias("pb")), f"p{k}")
         moved = live.join(left, F.col("u") == F.col("a")).join(right, F.col("v") == F.col("b"))
         live = ws.keep(
             moved.where("pa != pb").select(F.least("pa", "pb").alias("u"), F.greatest("pa", "pb").alias("v")).distinct(),
@@ -49,9 +49,9 @@ def component_roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if not parents:
         return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = parents[-1].select(F.col("u").alias("node"), F.col("p").alias("root"))
-    for parent in reversed(parents[:-1]):
-        up = roots.select(F.col("node").alias("p"), F.col("root"))
-        roots = parent.join(up, "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root"))
+    for k in range(len(parents) - 2, -1, -1):
+        up = ws.beside(roots.select(F.col("node").alias("p"), F.col("root")), f"p{k + 1}")  # a row for each of that table
+        roots = parents[k].join(up, "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root"))
     return ws.keep(roots, "roots")
 
 
@@ -64,8 +64,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     inner = edges.join(known.select(F.col("node").alias("u")), "u", "left_semi")
     inner = inner.join(known.select(F.col("node").alias("v")), "v", "left_semi")
     roots = component_roots(inner.select("u", "v"))
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    named = roots.join(least, "root").select("node", "component")
+    ws = Workspace(nodes.sparkSession, "named")
+    least = ws.keep(roots.groupBy("root").agg(F.min("node").alias("component")), "least")
+    named = ws.keep(roots.join(ws.beside(least, "least"), "root").select("node", "component"), "named")
+    named = ws.beside(named, "named")
     return known.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
