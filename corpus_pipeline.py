@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = simhash.similar_groups(docs)
     first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m"))
-    heads = first.select(F.col("m.doc_id").alias("k"), F.col("m.digest").alias("h"))
+    heads = first.select(F.col("m.doc_id").alias("k"), F.col("m.digest").alias("h")).hint("merge")  # a row for each group is no broadcast
     keyed = docs.select(*COLUMNS, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     stay = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("h")), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("source", "lang", "n_chars"))
