@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +13,10 @@ from plumbgrid.functions.scalars import pair_id
 from plumbgrid.operators.graph import connected_components
 from plumbgrid.workspace import Workspace
 
-#: Images outside the main component that retrieval compares at once; their vectors are a bounded broadcast.
-QUERY_BLOCK = 1024
+#: Images outside the main component that retrieval compares at once; their vectors are a broadcast of a bounded number of bytes.
+QUERY_BLOCK, BLOCK_BYTES = 8192, 4 << 20
+#: Queries of a block that meet a block of the pool at a time.
+STRIP = 256
 
 
 def verified_edges(images: DataFrame, geometries: DataFrame, min_inliers: int) -> DataFrame:
@@ -53,31 +59,103 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(vectors: DataFrame, blocks: int, name: str) -> DataFrame:
+    """``vectors(id, v)`` -> ``block, len`` and the block's vectors in order of their ids; ``len`` is the vectors' length."""
+    dealt = vectors.where("id is not null and v is not null").withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "len": F.size("v")})
+    return dealt.groupBy("block", "len").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(name))
+
+
+def _matrix(cell: pa.StructScalar, length: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, vectors and which of them hold nulls."""
+    rows = cell.values
+    flat = rows.field("v").flatten()
+    m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), length)
+    return rows.field("id"), m, np.asarray(flat.is_null()).reshape(len(rows), length).any(axis=1)
+
+
+def _best_of_blocks(k: int, min_similarity: float | None):
+    """Pairs of blocks ``len, q, p`` -> ``src, dst, similarity``: each query's best ``k`` of the block.
+
+    A matrix product bounds the similarities; whatever can be among the best ``k`` within its rounding errors is summed
+    again in the vectors' order, as :func:`dot` does, so results do not depend on blocks.
+    """
+
+    def best(q: tuple, p: tuple, length: int, rows: slice, same: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, b = q[1][rows], p[1]
+        with np.errstate(all="ignore"):
+            rough = a @ b.T
+            slack = 8 * (length + 1) * np.finfo(float).eps * np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1).max(initial=0.0)
+        rough[np.isnan(rough)] = np.inf  # NaN comes first, null last
+        rough[q[2][rows]] = -np.inf
+        rough[:, p[2]] = -np.inf
+        own = [(i, same[i + rows.start]) for i in range(len(a)) if i + rows.start in same]
+        for i, j in own:
+            rough[i, j] = -np.inf
+        if rough.shape[1] > k:
+            least = np.partition(rough, rough.shape[1] - k, axis=1)[:, [rough.shape[1] - k]]
+            with np.errstate(all="ignore"):
+                floor = least - slack
+            can = (rough >= floor) | np.isnan(floor)
+        else:
+            can = np.ones(rough.shape, dtype=bool)
+        for i, j in own:
+            can[i, j] = False
+        i, j = np.nonzero(can)
+        value = np.zeros(len(i))
+        with np.errstate(all="ignore"):
+            for d in range(length):
+                value += a[i, d] * b[j, d]
+        none = q[2][rows][i] | p[2][j]
+        value[none] = 0.0
+        if min_similarity is not None:
+            fits = ~none & ((value >= min_similarity) | np.isnan(value))
+            i, j, value, none = i[fits], j[fits], value[fits], none[fits]
+        high = np.isnan(value)
+        order = np.lexsort((j, -np.where(high, 0.0, value), none * 2 - high, i))
+        i, j, value, none = i[order], j[order], value[order], none[order]
+        take = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[take] + rows.start, j[take], value[take], none[take]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                length = batch.column("len")[r].as_py()
+                q, p = _matrix(batch.column("q")[r], length), _matrix(batch.column("p")[r], length)
+                at = {x: j for j, x in enumerate(p[0].to_pylist())}
+                same = {i: at[x] for i, x in enumerate(q[0].to_pylist()) if x in at}
+                for start in range(0, len(q[0]), STRIP):
+                    i, j, value, none = best(q, p, length, slice(start, start + STRIP), same)
+                    yield pa.RecordBatch.from_arrays([q[0].take(pa.array(i)), p[0].take(pa.array(j)), pa.array(value, mask=none)], names=["src", "dst", "similarity"])
+
+    return run
+
+
 def cosine_top_k(queries: DataFrame, pool: DataFrame, k: int = 3, min_similarity: float | None = None) -> DataFrame:
     """``src, dst, similarity, rank``: the ``k`` pool vectors of equal length nearest to each query vector, ties by id.
 
-    Queries are taken in blocks of ``QUERY_BLOCK``, a bounded broadcast, against one scan of the pool each; every task
-    keeps its own best ``k`` before the shuffle.
+    Ids are distinct on either side.  Both sides are packed into blocks of bounded size; a block of queries is broadcast to all blocks of the pool,
+    which meet it in matrix products and keep each query's best ``k`` before the shuffle.
     """
     ws = Workspace(queries.sparkSession, "cosine")
-    q = queries.select(F.col("image_id").alias("src"), F.col("v").alias("qv"))
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    q = ws.keep(q.withColumn("block", F.pmod(F.xxhash64("src"), F.lit(blocks))), "queries")
+    q, p = (df.select(F.col("image_id").alias("id"), F.col("v").cast("array<double>").alias("v")) for df in (queries, pool))
+    n, wide = q.agg(F.count("*"), F.max(F.size("v"))).first()
+    each = max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * max(wide or 1, 1))))
+    blocks = max(1, -(-n // each))
+    q = ws.keep(_packed(q, blocks, "q"), "queries")
+    p = ws.keep(_packed(p, max(ws.spark.sparkContext.defaultParallelism, -(-pool.count() // each)), "p").drop("block").repartition(ws.spark.sparkContext.defaultParallelism), "pool")
+    kinds = dict(queries.dtypes)["image_id"], dict(pool.dtypes)["image_id"]
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
-    schema = None
+
+    def met(part: DataFrame) -> DataFrame:
+        pairs = p.join(F.broadcast(part.drop("block")), "len")  # a block of queries has BLOCK_BYTES at most, for each length
+        found = pairs.select("len", "q", "p").mapInArrow(_best_of_blocks(k, min_similarity), f"src {kinds[0]}, dst {kinds[1]}, similarity double")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    if blocks == 1:
+        return met(q)
     for b in range(blocks):  # each block's result is written, so that the plan does not grow with the blocks
-        part = q.where(F.col("block") == b).drop("block")
-        met = pool.select(F.col("image_id").alias("dst"), "v").join(F.broadcast(part), F.size("v") == F.size("qv"))
-        met = met.where(F.col("src") != F.col("dst")).select("src", "dst", dot("qv", "v").alias("similarity"))
-        if min_similarity is not None:
-            met = met.where(F.col("similarity") >= min_similarity)
-        best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if blocks == 1:
-            return best
-        schema = best.schema
-        best.write.mode("overwrite").parquet(ws.path(f"best/block={b}"))
-    return queries.sparkSession.read.schema(schema).parquet(*[ws.path(f"best/block={b}") for b in range(blocks)])
+        met(q.where(F.col("block") == b)).write.mode("overwrite").parquet(ws.path(f"best/block={b}"))
+    return queries.sparkSession.read.schema(met(q).schema).parquet(*[ws.path(f"best/block={b}") for b in range(blocks)])
 
 
 def position_top_k(queries: DataFrame, pool: DataFrame, radius: float = 150.0, k: int = 3) -> DataFrame:

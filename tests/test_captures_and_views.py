@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +331,38 @@ def test_hot_points_meet_as_masks(spark, monkeypatch):
     assert {r["source"].lower(): r["shared"] for r in got} == {b: n for (a, b), n in want.items() if a == "v3"}
     one = spark.createDataFrame([(f"v{i}", 1) for i in range(40)], "name string, point_id int")
     assert covisibility.shared_counts(one).agg(F.count("*"), F.max("shared")).first()[:] == (40 * 39, 1)
+
+
+def test_cosine_top_k_is_exact_over_blocks_ties_and_odd_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    v = {i: base[i % 40].tolist() for i in range(120)}  # three copies of each
+    v |= {200: [None] * 8, 201: [float("nan")] * 8, 202: [0.0] * 8, 203: [1.0, 2.0]}
+    df = spark.createDataFrame(list(v.items()), "image_id long, v array<double>")
+
+    def expected(src):
+        found = []
+        for dst, w in v.items():
+            if dst != src and len(w) == len(v[src]):
+                s = 0.0
+                for x, y in zip(v[src], w):
+                    s = None if s is None or x is None or y is None else s + x * y
+                found.append(((2, 0) if s is None else (0, 0) if s != s else (1, -s), dst))
+        return [(src, dst, k + 1) for k, (_, dst) in enumerate(sorted(found)[:3])]
+
+    want = sorted(r for src in v for r in expected(src))
+    for size in (matching.QUERY_BLOCK, 50):
+        monkeypatch.setattr(matching, "QUERY_BLOCK", size)
+        assert sorted(tuple(r) for r in matching.cosine_top_k(df, df, 3).select("src", "dst", "rank").collect()) == want
+
+
+def test_cosine_top_k_meets_vectors_in_matrix_products(spark):
+    import time
+
+    rng = np.random.default_rng(6)
+    rows = [(i, x) for i, x in enumerate(rng.normal(size=(6000, 64)).tolist())]
+    df = spark.createDataFrame(rows, "image_id long, v array<double>").cache()
+    df.count()
+    start = time.time()
+    assert matching.cosine_top_k(df, df, 3).count() == 18_000
+    assert time.time() - start < 40  # 36 million pairs
