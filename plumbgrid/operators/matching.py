@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbgrid.functions.scalars import pair_id
+from plumbgrid.operators.filters import is_finite
 from plumbgrid.operators.graph import connected_components
 from plumbgrid.workspace import Workspace
 
@@ -159,12 +160,16 @@ def cosine_top_k(queries: DataFrame, pool: DataFrame, k: int = 3, min_similarity
 
 
 def position_top_k(queries: DataFrame, pool: DataFrame, radius: float = 150.0, k: int = 3) -> DataFrame:
-    """``src, dst, distance, rank``: the ``k`` nearest pool positions within ``radius`` metres, through a grid of that edge."""
-    from plumbgrid.operators.neighbors import radius_pairs
+    """``src, dst, distance, rank``: the ``k`` nearest pool positions within ``radius`` metres, ties by id.
 
-    q = queries.select(F.col("image_id").alias("point_id"), "x", "y", "z")
-    p = pool.select(F.col("image_id").alias("point_id"), "x", "y", "z")
-    met = radius_pairs(q, radius, p).where("point_id != other_id").select(F.col("point_id").alias("src"), F.col("other_id").alias("dst"), "distance")
+    The nearest come from the tree of :func:`plumbgrid.operators.neighbors.nearest`, so no place is too dense for a task however
+    many positions lie within the radius; one more than ``k`` is asked for, as an image's own position does not count.
+    """
+    from plumbgrid.operators.neighbors import nearest
+
+    placed = lambda df: df.where(is_finite("x", "y", "z")).select(F.col("image_id").alias("point_id"), "x", "y", "z")
+    met = nearest(placed(queries), k + 1, placed(pool)).where((F.col("point_id") != F.col("other_id")) & (F.col("distance") <= float(radius)))
+    met = met.select(F.col("point_id").alias("src"), F.col("other_id").alias("dst"), "distance")
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -366,3 +366,26 @@ def test_cosine_top_k_meets_vectors_in_matrix_products(spark):
     start = time.time()
     assert matching.cosine_top_k(df, df, 3).count() == 18_000
     assert time.time() - start < 40  # 36 million pairs
+
+
+def test_position_top_k_in_a_dense_place(spark):
+    import time
+
+    rng = np.random.default_rng(7)
+    rows = [(i, *x) for i, x in enumerate(rng.random((30_000, 3)).tolist())] + [(30_000, None, 0.0, 0.0), (30_001, float("nan"), 0.0, 0.0), (30_002, float("inf"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "image_id long, x double, y double, z double").cache()
+    df.count()
+    start = time.time()
+    found = matching.position_top_k(df, df, 2.0, 3).collect()  # 900 million pairs lie within the radius
+    assert time.time() - start < 60 and len(found) == 90_000 and all(r["src"] != r["dst"] for r in found)
+    at = np.array([r[1:] for r in rows[:30_000]])
+    for src in (0, 777, 29_999):
+        d = np.sqrt(((at - at[src]) ** 2).sum(axis=1))
+        d[src] = np.inf
+        assert [r["dst"] for r in sorted((r for r in found if r["src"] == src), key=lambda r: r["rank"])] == np.argsort(d, kind="stable")[:3].tolist()
+
+
+def test_position_top_k_ties_by_id(spark):
+    df = spark.createDataFrame([(i, 0.0, 0.0, float(i % 2)) for i in range(40)], "image_id long, x double, y double, z double")
+    found = {(r["src"], r["dst"]) for r in matching.position_top_k(df, df, 0.5, 3).collect()}
+    assert found == {(i, j) for i in range(40) for j in [x for x in range(40) if x % 2 == i % 2 and x != i][:3]}
