@@ -389,3 +389,22 @@ def test_position_top_k_ties_by_id(spark):
     df = spark.createDataFrame([(i, 0.0, 0.0, float(i % 2)) for i in range(40)], "image_id long, x double, y double, z double")
     found = {(r["src"], r["dst"]) for r in matching.position_top_k(df, df, 0.5, 3).collect()}
     assert found == {(i, j) for i in range(40) for j in [x for x in range(40) if x % 2 == i % 2 and x != i][:3]}
+
+
+def test_shared_counts_send_lists_not_meetings(spark, monkeypatch):
+    import collections
+    import itertools
+
+    rng = random.Random(3)
+    seen = {(f"V{(v * 7) % 60:02d}", p) for p in range(300) for v in rng.sample(range(60), 12)}
+    obs = spark.createDataFrame(sorted(seen), "name string, point_id long")
+    want = collections.Counter()
+    for p in range(300):
+        want.update(itertools.permutations(sorted(n for n, q in seen if q == p), 2))
+    for size in (covisibility.COUNT_BLOCK, 8):
+        monkeypatch.setattr(covisibility, "COUNT_BLOCK", size)
+        found = covisibility.shared_counts(obs)
+        assert {(r["a"], r["b"]): r["shared"] for r in found.collect()} == want
+    # the pairs are counted where they are made: no exchange lies between the lists and the counts
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [block" in plan and plan.count("Generate explode") == 2
