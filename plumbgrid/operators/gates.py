@@ -29,6 +29,15 @@ def sparse_quality(points: DataFrame, registered: int, expected: int) -> DataFra
     )
 
 
+def exact_mean(column: str) -> Column:
+    """Mean of doubles written with up to 16 decimals: their sum is taken as decimals, so no order of rows moves a mean across a limit.
+
+    Where a value does not fit (NaN, infinite, beyond 22 digits), the plain mean stands.
+    """
+    fixed = F.col(column).try_cast("decimal(38,16)")
+    return F.when(F.count(fixed) == F.count(column), F.try_sum(fixed).cast("double") / F.count(column)).otherwise(F.avg(column))
+
+
 def gate_status(registered: Column, ratio: Column, points: Column, error: Column) -> Column:
     """passed, review or blocked."""
     blocked = (registered < 3) | (ratio < BLOCK_RATIO) | (points < F.greatest(F.lit(30), registered * 10)) | F.coalesce(error > BLOCK_ERROR, F.lit(False))
