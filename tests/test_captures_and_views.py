@@ -408,3 +408,15 @@ def test_shared_counts_send_lists_not_meetings(spark, monkeypatch):
     # the pairs are counted where they are made: no exchange lies between the lists and the counts
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [block" in plan and plan.count("Generate explode") == 2
+
+
+def test_plan_blocks_cuts_leaves_of_a_level_together(spark, monkeypatch):
+    rng = random.Random(11)
+    pts = spark.createDataFrame([(i, rng.random() * 100, rng.random() * 60, rng.random()) for i in range(900)], "point_id long, x double, y double, z double")
+    obs = spark.createDataFrame(sorted({(f"v{rng.randrange(90):02d}", p) for p in range(900) for _ in range(6)}), "name string, point_id long")
+    views = spark.createDataFrame([(f"v{i:02d}",) for i in range(90)], "name string")
+    calls, once = [], covisibility.ranked_images
+    monkeypatch.setattr(covisibility, "ranked_images", lambda *a, **k: calls.append(a) or once(*a, **k))
+    _, rows, images = blocks.plan_blocks(pts, obs, views, target_images=10, min_core_points=20)
+    assert len(rows) == 9 and sum(r["core_point_count"] for r in rows) == 900
+    assert len(calls) < 9  # a pass a level, not two a split and one a block
