@@ -292,6 +292,24 @@ def test_coverage_of_many_blocks_against_the_definition(spark):
     assert sorted((r["block"], r["step"], r["name"], r["added"], round(r["coverage"], 9)) for r in got.collect()) == sorted(want)
 
 
+def test_coverage_takes_few_rounds(spark, monkeypatch):
+    """Many choices a round; pools too small for the block, or for their first candidate, choose the same."""
+    rnd = random.Random(5)
+    obs = spark.createDataFrame([(f"v{i:02d}", p) for i in range(60) for p in rnd.sample(range(300), 25)], "name string, point_id int")
+    core = spark.createDataFrame([(p % 2, p) for p in range(300)], "block int, point_id int")
+    cand = obs.select("name").distinct().crossJoin(core.select("block").distinct())
+    kept = []
+    keep = covisibility.Workspace.keep
+    monkeypatch.setattr(covisibility.Workspace, "keep", lambda self, df, name: (kept.append(name), keep(self, df, name))[1])
+    run = lambda c: sorted(map(tuple, covisibility.augment_coverage(c, obs, cand.where("name = 'v00'").withColumn("seq", F.lit(0)), cand).collect()))
+    assert len(run(core)) > 20 and sum(n.startswith("pick") for n in kept) == 1
+    some = core.where("point_id < 20")
+    whole = run(some)
+    monkeypatch.setattr(covisibility, "AUGMENT_VIEWS", 4)
+    monkeypatch.setattr(covisibility, "AUGMENT_ENTRIES", 12)
+    assert run(some) == whole and len(whole) > 4
+
+
 def test_owners_against_the_definition(spark):
     from plumbgrid.operators.blocks import Frame, assign_owners
 
