@@ -259,6 +259,21 @@ def test_references_take_few_jobs(spark, monkeypatch):
     assert len(names) == 60 and len(calls) <= 20
 
 
+def test_references_of_overlapping_views(spark, monkeypatch):
+    """Views that overlap much, their points soon all covered: one round where the pool has all, the same views by small pools."""
+    rnd = random.Random(2)
+    rounds = []
+    job = covisibility._race_on
+    monkeypatch.setattr(covisibility, "_race_on", lambda *a: (rounds.append(1), job(*a)))
+    v, o = views(spark, [set(rnd.sample(range(60), 20)) for _ in range(80)])
+    whole = covisibility.select_references(v, o, 0.3)
+    assert len(whole[0]) == 24 and len(rounds) == 1
+    for name, bound in (("POOL", 40), ("POOL_ROWS", 500)):
+        with monkeypatch.context() as m:
+            m.setattr(covisibility, name, bound)
+            assert covisibility.select_references(v, o, 0.3) == whole and len(rounds) > 2
+
+
 def test_coverage_of_many_blocks_against_the_definition(spark):
     rnd = random.Random(9)
     core = {b: set(rnd.sample(range(200), rnd.choice([5, 40, 90]))) for b in range(4)} | {9: set()}
