@@ -259,6 +259,23 @@ def test_references_take_few_jobs(spark, monkeypatch):
     assert len(names) == 60 and len(calls) <= 20
 
 
+def test_only_the_best_sources_leave_a_block(spark, monkeypatch):
+    """Sources with many ties, counted in blocks and in small pieces, against the definition; few pairs are sorted."""
+    monkeypatch.setattr(covisibility, "COUNT_BLOCK", 7)
+    monkeypatch.setattr(covisibility, "COUNT_ROWS", 50)
+    counted, job = [], covisibility._counted
+    monkeypatch.setattr(covisibility, "_counted", lambda *a: (counted.append(job(*a)), counted[-1])[1])
+    rnd = random.Random(8)
+    sets = [set(rnd.sample(range(120), rnd.choice([1, 10, 30]))) for _ in range(50)]
+    _, o = views(spark, sets)
+    src = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "pos int, name string")
+    got = covisibility.source_selection(o, src, src, src.where("pos % 3 = 0"), 4)
+    key = lambda i: lambda j: (j % 3 == 0, len(sets[i] & sets[j]), -abs(i - j), f"v{j}")
+    want = [(f"v{i}", f"v{j}", len(sets[i] & sets[j]), k + 1) for i in range(50) for k, j in enumerate(sorted((j for j in range(50) if j != i), key=key(i), reverse=True)[:4])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert counted[0].count() < sum(bool(a & b) for i, a in enumerate(sets) for b in sets[:i])  # half of all pairs
+
+
 def test_references_of_overlapping_views(spark, monkeypatch):
     """Views that overlap much, their points soon all covered: one round where the pool has all, the same views by small pools."""
     rnd = random.Random(2)
