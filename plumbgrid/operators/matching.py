@@ -14,10 +14,12 @@ from plumbgrid.operators.filters import is_finite
 from plumbgrid.operators.graph import connected_components
 from plumbgrid.workspace import Workspace
 
-#: Images outside the main component that retrieval compares at once; their vectors are a broadcast of a bounded number of bytes.
-QUERY_BLOCK, BLOCK_BYTES = 8192, 4 << 20
-#: Queries of a block that meet a block of the pool at a time.
-STRIP = 256
+#: Vectors of a block of the pool and of a block of queries that meet at once, and their bytes.
+POOL_BLOCK, QUERY_BLOCK, BLOCK_BYTES = 8192, 2048, 4 << 20
+#: Bytes of the smaller side's blocks that are a broadcast at a time.
+PIECE_BYTES = 16 << 20
+#: Queries of a block that meet a block of the pool at a time, and vectors of the pool whose largest product stands for them.
+STRIP, GROUP = 256, 64
 
 
 def verified_edges(images: DataFrame, geometries: DataFrame, min_inliers: int) -> DataFrame:
@@ -62,7 +64,7 @@ def dot(a: str, b: str) -> Column:
 
 def _packed(vectors: DataFrame, blocks: int, name: str) -> DataFrame:
     """``vectors(id, v)`` -> ``block, len`` and the block's vectors in order of their ids; ``len`` is the vectors' length."""
-    dealt = vectors.where("id is not null and v is not null").withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "len": F.size("v")})
+    dealt = vectors.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "len": F.size("v")})
     return dealt.groupBy("block", "len").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias(name))
 
 
@@ -81,27 +83,48 @@ def _best_of_blocks(k: int, min_similarity: float | None):
     again in the vectors' order, as :func:`dot` does, so results do not depend on blocks.
     """
 
+    def in_groups(rough: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates of finite products: of ``k`` groups' largest products none is above the k-th best, so only groups that reach the least of them are looked into."""
+        starts = np.arange(0, rough.shape[1], GROUP)
+        whole = rough.shape[1] // GROUP
+        tops = rough[:, : whole * GROUP].reshape(len(rough), whole, GROUP).max(axis=2)
+        if whole < len(starts):
+            tops = np.column_stack((tops, rough[:, whole * GROUP :].max(axis=1)))
+        floor = np.partition(tops, len(starts) - k, axis=1)[:, [len(starts) - k]] - slack
+        i, g = np.nonzero(tops >= floor)
+        j = starts[g][:, None] + np.arange(GROUP)
+        near = (j < rough.shape[1]) & (rough[i[:, None], np.minimum(j, rough.shape[1] - 1)] >= floor[i])
+        at, nth = np.nonzero(near)
+        return i[at], j[at, nth]
+
     def best(q: tuple, p: tuple, length: int, rows: slice, same: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         a, b = q[1][rows], p[1]
         with np.errstate(all="ignore"):
+            long_a, long_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1).max(initial=0.0)
+            long_a, long_b = np.maximum(long_a, 1e-150), np.maximum(long_b, 1e-150)  # squares of less vanish
             rough = a @ b.T
-            slack = 8 * (length + 1) * np.finfo(float).eps * np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1).max(initial=0.0)
-        rough[np.isnan(rough)] = np.inf  # NaN comes first, null last
-        rough[q[2][rows]] = -np.inf
-        rough[:, p[2]] = -np.inf
-        own = [(i, same[i + rows.start]) for i in range(len(a)) if i + rows.start in same]
+            slack = 8 * (length + 1) * np.finfo(float).eps * long_a[:, None] * long_b
+            finite = not q[2][rows].any() and not p[2].any() and long_a.max(initial=0.0) * long_b < 1e300
+        if not finite:
+            rough[np.isnan(rough)] = np.inf  # NaN comes first, null last
+            rough[q[2][rows]] = -np.inf
+            rough[:, p[2]] = -np.inf
+        own = [(i, same[i + rows.start]) for i in range(len(a)) if i + rows.start in same] if same else []
         for i, j in own:
             rough[i, j] = -np.inf
-        if rough.shape[1] > k:
-            least = np.partition(rough, rough.shape[1] - k, axis=1)[:, [rough.shape[1] - k]]
-            with np.errstate(all="ignore"):
-                floor = least - slack
-            can = (rough >= floor) | np.isnan(floor)
+        if finite and rough.shape[1] > k * GROUP:
+            i, j = in_groups(rough, slack)
         else:
-            can = np.ones(rough.shape, dtype=bool)
-        for i, j in own:
-            can[i, j] = False
-        i, j = np.nonzero(can)
+            if rough.shape[1] > k:
+                least = np.partition(rough, rough.shape[1] - k, axis=1)[:, [rough.shape[1] - k]]
+                with np.errstate(all="ignore"):
+                    floor = least - slack
+                can = (rough >= floor) | np.isnan(floor)
+            else:
+                can = np.ones(rough.shape, dtype=bool)
+            for i, j in own:
+                can[i, j] = False
+            i, j = np.nonzero(can)
         value = np.zeros(len(i))
         with np.errstate(all="ignore"):
             for d in range(length):
@@ -134,29 +157,39 @@ def _best_of_blocks(k: int, min_similarity: float | None):
 def cosine_top_k(queries: DataFrame, pool: DataFrame, k: int = 3, min_similarity: float | None = None) -> DataFrame:
     """``src, dst, similarity, rank``: the ``k`` pool vectors of equal length nearest to each query vector, ties by id.
 
-    Ids are distinct on either side.  Both sides are packed into blocks of bounded size; a block of queries is broadcast to all blocks of the pool,
-    which meet it in matrix products and keep each query's best ``k`` before the shuffle.
+    Ids are distinct on either side.  Both sides are written once and packed into blocks of bounded size; the smaller one's are
+    broadcast, ``PIECE_BYTES`` at a time, to all blocks of the other, which meet them in matrix products and keep each
+    query's best ``k`` of a block before the shuffle.
     """
     ws = Workspace(queries.sparkSession, "cosine")
-    q, p = (df.select(F.col("image_id").alias("id"), F.col("v").cast("array<double>").alias("v")) for df in (queries, pool))
-    n, wide = q.agg(F.count("*"), F.max(F.size("v"))).first()
-    each = max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * max(wide or 1, 1))))
-    blocks = max(1, -(-n // each))
-    q = ws.keep(_packed(q, blocks, "q"), "queries")
-    p = ws.keep(_packed(p, max(ws.spark.sparkContext.defaultParallelism, -(-pool.count() // each)), "p").drop("block").repartition(ws.spark.sparkContext.defaultParallelism), "pool")
+    tidy = lambda df, name: ws.keep(df.where("image_id is not null and v is not null").select(F.col("image_id").alias("id"), F.col("v").cast("array<double>").alias("v")), name)
+    q, p = tidy(queries, "queries"), tidy(pool, "pool")
+    (n, wide), (held, long) = (df.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first() for df in (q, p))
+    row = 8 * max(wide, long, 1)
+    fits = max(1, BLOCK_BYTES // row)
+    parallel = ws.spark.sparkContext.defaultParallelism
+    few, many = (held, n) if held <= n else (n, held)
+    blocks = {"p": -(-held // min(POOL_BLOCK, fits)), "q": -(-n // min(QUERY_BLOCK, fits))}
+    small, large = ("p", "q") if held <= n else ("q", "p")
+    blocks[large] = min(max(blocks[large], 2 * parallel), max(many, 1))
+    pieces = max(1, -(-few * row // PIECE_BYTES))
+    blocks[small] = max(blocks[small], pieces)
+    packed = {c: ws.keep(_packed(df, blocks[c], c), f"packed-{c}") for c, df in (("q", q), ("p", p))}
+    stream = packed[large].drop("block").repartition(min(blocks[large], 4 * parallel))
     kinds = dict(queries.dtypes)["image_id"], dict(pool.dtypes)["image_id"]
-    order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
 
     def met(part: DataFrame) -> DataFrame:
-        pairs = p.join(F.broadcast(part.drop("block")), "len")  # a block of queries has BLOCK_BYTES at most, for each length
-        found = pairs.select("len", "q", "p").mapInArrow(_best_of_blocks(k, min_similarity), f"src {kinds[0]}, dst {kinds[1]}, similarity double")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    if blocks == 1:
-        return met(q)
-    for b in range(blocks):  # each block's result is written, so that the plan does not grow with the blocks
-        met(q.where(F.col("block") == b)).write.mode("overwrite").parquet(ws.path(f"best/block={b}"))
-    return queries.sparkSession.read.schema(met(q).schema).parquet(*[ws.path(f"best/block={b}") for b in range(blocks)])
+        pairs = stream.join(F.broadcast(part.drop("block")), "len")  # a piece has PIECE_BYTES
+        return pairs.select("len", "q", "p").mapInArrow(_best_of_blocks(k, min_similarity), f"src {kinds[0]}, dst {kinds[1]}, similarity double")
+
+    if pieces == 1:
+        found = met(packed[small])
+    else:
+        for b in range(pieces):  # each piece's result is written, so that the plan does not grow with them
+            met(packed[small].where(F.col("block") % pieces == b)).write.mode("overwrite").parquet(ws.path(f"best/piece={b}"))
+        found = ws.spark.read.schema(met(packed[small]).schema).parquet(*[ws.path(f"best/piece={b}") for b in range(pieces)])
+    order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def position_top_k(queries: DataFrame, pool: DataFrame, radius: float = 150.0, k: int = 3) -> DataFrame:
@@ -179,9 +212,10 @@ def bridge_pairs(components: DataFrame, vectors: DataFrame, locations: DataFrame
 
     Candidates come from descriptor similarity and from positions; ``kinds`` tells from which.
     """
-    main = main_component(components)
-    inside = components.join(F.broadcast(main), "component", "left_semi").select("image_id")  # one row
-    outside = components.join(F.broadcast(main), "component", "left_anti").select("image_id")
+    ws = Workspace(components.sparkSession, "bridge")
+    main = main_component(components).withColumn("inside", F.lit(True))
+    sides = ws.keep(components.join(F.broadcast(main), "component", "left").select("image_id", F.coalesce("inside", F.lit(False)).alias("inside")), "sides")  # one row
+    inside, outside = (ws.beside(sides.where(c).select("image_id"), "sides") for c in ("inside", "not inside"))
     part = lambda df, ids: df.join(ids, "image_id", "left_semi")
     by_look = cosine_top_k(part(vectors, outside), part(vectors, inside), k).select("src", "dst", F.lit("retrieval").alias("kind"))
     by_place = position_top_k(part(locations, outside), part(locations, inside), radius, k).select("src", "dst", F.lit("position").alias("kind"))

@@ -470,3 +470,34 @@ def test_plan_blocks_cuts_leaves_of_a_level_together(spark, monkeypatch):
     _, rows, images = blocks.plan_blocks(pts, obs, views, target_images=10, min_core_points=20)
     assert len(rows) == 9 and sum(r["core_point_count"] for r in rows) == 900
     assert len(calls) < 9  # a pass a level, not two a split and one a block
+
+
+def test_cosine_top_k_starts_no_job_for_each_block_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(240, 4)).tolist())], "image_id long, v array<double>")
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 6)
+    spark.sparkContext.setJobGroup("blocks", "40 blocks of queries")
+    try:
+        assert matching.cosine_top_k(df, df.where("image_id < 20"), 2).count() == 480
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("blocks")) < 40
+
+
+def test_cosine_top_k_looks_into_groups_of_the_pool_and_pieces_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(150, 5))
+    v = np.concatenate([base, base[:70], base[:3].repeat(130, axis=0), 1e-170 * base[:2], 1e100 * base[:2]])  # copies of a few vectors fill groups
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "image_id long, v array<double>")
+    want = []
+    for src in range(0, len(v), 3):
+        s = np.zeros(len(v))
+        for d in range(5):
+            s += v[src, d] * v[:, d]
+        want += [(src, int(dst), r + 1) for r, dst in enumerate([j for j in np.lexsort((np.arange(len(v)), -s)) if j != src][:3])]
+    asked = df.where("image_id % 3 = 0")
+    for piece, pool_block in ((matching.PIECE_BYTES, matching.POOL_BLOCK), (4000, 250)):
+        monkeypatch.setattr(matching, "PIECE_BYTES", piece)
+        monkeypatch.setattr(matching, "POOL_BLOCK", pool_block)
+        assert sorted(tuple(r) for r in matching.cosine_top_k(asked, df, 3).select("src", "dst", "rank").collect()) == sorted(want)
+        assert [r["dst"] for r in matching.cosine_top_k(df, asked, 1).where("src < 9").orderBy("src").collect()] == [max((j for j in range(0, len(v), 3) if j != i), key=lambda j: (sum(np.multiply(v[i], v[j]).tolist()), -j)) for i in range(9)]
