@@ -100,3 +100,93 @@ def test_forgotten_projects_start_anew(spark, tmp_path):
     assert [r["status"] for r in found] == ["completed", "running"] and found[1]["version"] > found[0]["version"] + 1 and [r[2] for r in rows_of(sm.latest(rows))] == ["running"]
     with pytest.raises(ValueError):
         sm.stage_machine(spark.readStream.schema(SCHEMA).json(str(tmp_path / "f" / "in")), 10, forget_s=5)
+
+
+class Kept:
+    """State, timers and clock of one project, in memory; counts the calls."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls, self.now = None, {}, set(), 0, 0
+
+    def getValueState(self, name, schema):
+        call = self._counted
+        return type("V", (), {"get": call(lambda: self.value), "exists": call(lambda: self.value is not None), "update": call(lambda v: setattr(self, "value", v)), "clear": call(lambda: setattr(self, "value", None))})()
+
+    def getMapState(self, name, key, schema):
+        call = self._counted
+        return type("M", (), {"containsKey": call(lambda k: k in self.map), "getValue": call(lambda k: self.map[k]), "updateValue": call(lambda k, v: self.map.update({k: v})), "iterator": call(lambda: iter(list(self.map.items()))), "clear": call(self.map.clear)})()
+
+    def _counted(self, f):
+        def run(_, *args):
+            self.calls += 1
+            return f(*args)
+
+        return run
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.expired
+
+
+def machine_rows(batches, forget=None):
+    """Batches ``(watermark, rows)`` of one project -> the rows given, and the calls of the state for each batch."""
+    h, out, calls = Kept(), [], []
+    m = sm.StageMachine(100, forget)
+    m.init(h)
+    names = ("stage", "status", "message", "seq", "at_us")
+    for now, rows in batches:
+        h.now, before = now, h.calls
+        out += [tuple(r) for r in m.handleInputRows(("p",), iter([type("R", (), dict(zip(names, r))) for r in rows]), h)] if rows else []
+        for t in sorted(t for t in h.timers if t <= now):
+            h.timers.discard(t)
+            h.expired = t
+            out += [tuple(r) for r in m.handleExpiredTimer(("p",), h, h)]
+        calls.append(h.calls - before)
+        assert len(h.timers) <= 1
+    return out, calls
+
+
+def test_a_project_costs_few_calls_of_the_state_however_many_stages_it_has():
+    batches = [(0, [(f"s{i}", "running", "", 10 * k + i, 1000 * (10 * k + i)) for i in range(5)]) for k in range(4)]
+    _, calls = machine_rows(batches)
+    assert max(calls) <= 4
+
+
+@pytest.mark.parametrize("forget", [None, 300])
+def test_stages_beyond_the_packed_ones_have_the_same_states(monkeypatch, forget):
+    rnd = random.Random(11)
+    batches, clock = [], 0
+    for k in range(200):
+        clock += rnd.choice([1, 5, 40, 150, 500])
+        rows = [(rnd.choice(["a", "b", "c", "d", "e", None]), rnd.choice(["pending", "running", "running", "completed"]), "", 10 * k + i, 1000 * (clock + i)) for i in range(rnd.randrange(4))]
+        batches.append((max(clock - 20, 0), rows))
+    want, _ = machine_rows(batches, forget)
+    assert any(r[2] == "interrupted" for r in want)
+    monkeypatch.setattr(sm, "PACKED", 1)
+    got, _ = machine_rows(batches, forget)
+    assert sorted(got) == sorted(want)
+
+
+def test_a_new_stream_has_no_more_partitions_than_the_cores_need(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        with sm.rocks_state(spark):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) <= 2 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "500"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
