@@ -501,3 +501,32 @@ def test_cosine_top_k_looks_into_groups_of_the_pool_and_pieces_without_loss(spar
         monkeypatch.setattr(matching, "POOL_BLOCK", pool_block)
         assert sorted(tuple(r) for r in matching.cosine_top_k(asked, df, 3).select("src", "dst", "rank").collect()) == sorted(want)
         assert [r["dst"] for r in matching.cosine_top_k(df, asked, 1).where("src < 9").orderBy("src").collect()] == [max((j for j in range(0, len(v), 3) if j != i), key=lambda j: (sum(np.multiply(v[i], v[j]).tolist()), -j)) for i in range(9)]
+
+
+def test_redundancy_moves_no_pairs(spark, monkeypatch):
+    """Packs smaller than a point's views, pairs in small batches; no exchange and no join lies above the pairs."""
+    for name, bound in (("PACK_ROWS", 60), ("COUNT_ROWS", 30), ("PAIR_ROWS", 7)):
+        monkeypatch.setattr(covisibility, name, bound)
+    rnd = random.Random(6)
+    sets = [set(rnd.sample(range(150), rnd.choice([1, 9, 25]))) for _ in range(45)]
+    _, o = views(spark, sets)
+    want = {(f"v{i}", f"v{j}"): len(a & b) / min(len(a), len(b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a & b}
+    found = covisibility.redundancy(o)
+    assert sorted(map(tuple, found.collect())) == sorted((*k, v) for k, v in want.items())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.index("MapInArrow") < plan.index("Join") and plan.count("Join") == 1
+
+
+def test_equal_sources_do_not_leave_their_packs(spark, monkeypatch):
+    """All views share one point each two: of equal counts only the nearest in sequence are passed on."""
+    monkeypatch.setattr(covisibility, "PACK_ROWS", 11)
+    counted, job = [], covisibility._counted
+    monkeypatch.setattr(covisibility, "_counted", lambda *a: (counted.append(job(*a)), counted[-1])[1])
+    n = 40
+    _, o = views(spark, [{0, 100 + i} for i in range(n)])
+    src = spark.createDataFrame([(i, f"v{i}") for i in range(n)], "pos int, name string")
+    got = covisibility.source_selection(o, src, src, src.where("pos % 3 = 0"), 4)
+    key = lambda i: lambda j: (j % 3 == 0, -abs(i - j), f"v{j}")
+    want = [(f"v{i}", f"v{j}", 1, k + 1) for i in range(n) for k, j in enumerate(sorted((j for j in range(n) if j != i), key=key(i), reverse=True)[:4])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert counted[0].count() == n * 4 * 2
