@@ -530,3 +530,17 @@ def test_equal_sources_do_not_leave_their_packs(spark, monkeypatch):
     want = [(f"v{i}", f"v{j}", 1, k + 1) for i in range(n) for k, j in enumerate(sorted((j for j in range(n) if j != i), key=key(i), reverse=True)[:4])]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert counted[0].count() == n * 4 * 2
+
+
+def test_reference_rounds_write_nothing(spark, monkeypatch):
+    """Rounds read the points' lists, whatever their number; meetings are made in pieces, a point of every view included."""
+    kept, rounds = [], []
+    keep, job = covisibility.Workspace.keep, covisibility._race_on
+    monkeypatch.setattr(covisibility.Workspace, "keep", lambda self, df, name: (kept.append(name), keep(self, df, name))[1])
+    monkeypatch.setattr(covisibility, "_race_on", lambda *a: (rounds.append(1), job(*a)))
+    rnd = random.Random(12)
+    v, o = views(spark, [{0} | set(rnd.sample(range(1, 300), 20)) for _ in range(40)])
+    whole, first = covisibility.select_references(v, o, 0.3), len(kept)
+    monkeypatch.setattr(covisibility, "POOL", 12)
+    monkeypatch.setattr(covisibility, "COUNT_ROWS", 25)
+    assert covisibility.select_references(v, o, 0.3) == whole and len(rounds) > 3 and len(kept) == 2 * first
